@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import overlap
+from lexmill.llm import glyphs, overlap
 from lexmill.sources.tables import table
 
 
@@ -24,5 +24,13 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return members.join(n.groupBy("cls").agg(F.count("*").alias("n_links")), "cls", "left").select("ord", "split", "source", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.equal_looking(table(spark, sf, "tweets"))
+
+
+def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.with_form(table(spark, sf, "tweets").select("ord", "text")).select("ord", "form")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p3_found, p3_forms)}
 ORACLE: dict[str, str] = {}
