@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import glyphs, overlap
+from lexmill.llm import glyphs, leakage, overlap, proportions
 from lexmill.sources.tables import table
 
 
@@ -32,5 +32,41 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.with_form(table(spark, sf, "tweets").select("ord", "text")).select("ord", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p3_found, p3_forms)}
-ORACLE: dict[str, str] = {}
+def _p4(spark: SparkSession, sf: str) -> DataFrame:
+    train = table(spark, sf, "quality_rows").filter("split = 'train'").select(F.lit("quality_rows").alias("tbl"), "ord", "text")
+    shots = table(spark, sf, "requests").select(F.lit("requests").alias("tbl"), "ord", F.explode("few_shot_texts").alias("text"))
+    return leakage.leaks(train.unionByName(shots), table(spark, sf, "eval_items"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p4(spark, sf).filter(F.col("run") >= leakage.RUN).select("item_id", "tbl", "ord")
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.verdicts(_p4(spark, sf))
+
+
+def _p5(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return proportions.proportional_sample(table(spark, sf, "requests"), table(spark, sf, "target_shares"), ["variety", "sentiment"], "request_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf)[1].filter(~F.col("met")).select("variety", "sentiment")
+
+
+def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf)[0]
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report)}
+ORACLE: dict[str, str] = {
+    "p5_found": """
+        WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
+             c AS (SELECT variety, sentiment, count(DISTINCT request_id) AS c FROM requests GROUP BY ALL)
+        SELECT variety, sentiment FROM target_shares LEFT JOIN c USING (variety, sentiment), n
+        WHERE coalesce(c, 0) < greatest(min_rows::DOUBLE, target_share * (n * 0.2::DOUBLE))""",
+}
