@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import glyphs, leakage, overlap, proportions
+from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions
 from lexmill.sources.tables import table
 
 
@@ -24,6 +24,23 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return members.join(n.groupBy("cls").agg(F.count("*").alias("n_links")), "cls", "left").select("ord", "split", "source", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _p2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "tweets").select(F.lit("tweets").alias("tbl"), "ord", "text", "lang")
+    rows = rows.unionByName(table(spark, sf, "quality_rows").select(F.lit("quality_rows").alias("tbl"), "ord", F.col("mtext").alias("text"), "lang"))
+    labelled = rows.select("text", "lang").unionByName(table(spark, sf, "documents").select("text", "lang"))
+    langs = [r.lang for r in table(spark, sf, "langcodes").select("lang").distinct().limit(500).collect()]
+    return languages.identify(rows, labelled, langs)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    missing = F.coalesce(F.col("stated"), F.lit("")).isin("", "und")
+    return _p2(spark, sf).filter((F.col("seg_no") > 0) | missing | (F.col("stated") != F.col("lang"))).select("tbl", "ord", "seg_no", "lang")
+
+
+def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2(spark, sf)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.equal_looking(table(spark, sf, "tweets"))
 
@@ -62,7 +79,15 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return _p5(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "tweets"))
+
+
+def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.masked(table(spark, sf, "tweets"), key="lexmill")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p7_found, p7_masked)}
 ORACLE: dict[str, str] = {
     "p5_found": """
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
