@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions
+from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions, truncation
 from lexmill.sources.tables import table
 
 
@@ -79,6 +79,26 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return _p5(spark, sf)[1]
 
 
+def _p6(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "quality_rows").select(F.lit("quality_rows").alias("tbl"), "ord", F.col("dataset").alias("grp"), F.col("text").alias("value"), F.lit(False).alias("capped"))
+    made = table(spark, sf, "synthetic").select(
+        F.lit("synthetic").alias("tbl"), "ord", F.col("generator").alias("grp"), F.col("raw_output").alias("value"), (F.col("new_tokens") >= F.col("sampling.max_new_tokens")).alias("capped")
+    )
+    return truncation.judged(rows.unionByName(made))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p6(spark, sf).filter("sign IS NOT NULL").select("tbl", "ord")
+
+
+def p6_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return _p6(spark, sf)
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(_p6(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(table(spark, sf, "tweets"))
 
@@ -87,7 +107,7 @@ def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "tweets"), key="lexmill")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p7_found, p7_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked)}
 ORACLE: dict[str, str] = {
     "p5_found": """
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
