@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,12 +23,12 @@ from lexmill.llm.pii import _AT_WORD, EMAIL
 
 BUCKETS = 1 << 16
 LONGEST = 4  # characters of an n-gram
-ROWS_A_LANGUAGE = 3000  # expected size of the sample of labelled rows, for each language
+ROWS_A_LANGUAGE = 1500  # expected size of the sample of labelled rows, for each language
 ROUNDS = 2  # of fitting again
 SWITCH = 7.0  # log-odds that a change of language costs
 WEIGHT = 0.5  # n-grams of a word overlap: their joint evidence counts as this share of their sum
 LEAST_WORDS = 4  # of a segment
-BATCH = 2000
+CELLS = 100_000  # words of a batch of texts padded to one length
 
 _GONE = regex.compile(r"[[\p{Cf}͏︀-️ـ]--[‌]]", regex.V1)
 _NOISE = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|(?<![\w.])@\w+:?|#\S+|(?<!\w)RT(?=\s*@)|(?<!\w)(?:USER|URL|EMOJI|NUM)(?!\w)")
@@ -83,14 +84,24 @@ def score_words(words: list[str], matrix: np.ndarray) -> np.ndarray:
     return (scores - scores.max(1, keepdims=True))[back]
 
 
+def _padded(lengths: list[int], order: np.ndarray) -> Iterator[list[int]]:
+    """Texts of some words, shortest first, as many at a time as CELLS words hold when padded."""
+    part: list[int] = []
+    for i in order:
+        if part and lengths[i] * (len(part) + 1) > CELLS:
+            yield part
+            part = []
+        if lengths[i]:
+            part.append(i)
+    if part:
+        yield part
+
+
 def decode(lengths: list[int], scores: np.ndarray) -> np.ndarray:
     """The language index of each word, texts of ``lengths`` words in a row, by the best path with switching penalty."""
     out, order = np.zeros(len(scores), dtype=np.int16), np.argsort(lengths)
     ends = np.cumsum(lengths)
-    for part in np.array_split(order, max(1, len(order) // BATCH)):
-        part = [i for i in part if lengths[i]]
-        if not part:
-            continue
+    for part in _padded(lengths, order):
         long, k = max(lengths[i] for i in part), scores.shape[1]
         grid = np.zeros((long, len(part), k), dtype=np.float32)  # words beyond a text's end are neutral
         for r, i in enumerate(part):
