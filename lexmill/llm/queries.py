@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions, truncation
+from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions, sentences, truncation
 from lexmill.sources.tables import table
 
 
@@ -107,7 +107,15 @@ def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "tweets"), key="lexmill")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split(table(spark, sf, "documents")).select("doc_id", "sent_start", "sent_end")
+
+
+def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p10_found, p10_sentences)}
 ORACLE: dict[str, str] = {
     "p5_found": """
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
