@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import glyphs, languages, leakage, overlap, pii, proportions, sentences, truncation
+from lexmill.llm import glyphs, languages, leakage, mixing, overlap, packing, pii, proportions, sentences, tokens, truncation
 from lexmill.sources.tables import table
 
 
@@ -107,6 +107,39 @@ def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "tweets"), key="lexmill")
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", tokens.n_tokens("text").alias("n_tokens"))
+
+
+def _p8(spark: SparkSession, sf: str, container: str) -> DataFrame:
+    capacity = table(spark, sf, "containers").filter(F.col("container") == container).first().capacity_tokens
+    return packing.pack(_sizes(spark, sf), capacity)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p8(spark, sf, "train_window").filter("n_pieces > 1 AND piece = 0").select("doc_id")
+
+
+def p8_train_window(spark: SparkSession, sf: str) -> DataFrame:
+    return _p8(spark, sf, "train_window")
+
+
+def p8_short_window(spark: SparkSession, sf: str) -> DataFrame:
+    return _p8(spark, sf, "short_window")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[1].filter(~F.col("met")).select("source")
+
+
+def p9_uses(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), table(spark, sf, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split(table(spark, sf, "documents")).select("doc_id", "sent_start", "sent_end")
 
@@ -115,7 +148,7 @@ def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p8_found, p8_train_window, p8_short_window, p9_found, p9_uses, p9_shares, p10_found, p10_sentences)}
 ORACLE: dict[str, str] = {
     "p5_found": """
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
