@@ -61,73 +61,80 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.sql(_sql(_PREPARE))
 
 
-_LIMITS = """
+_LIMITS = r"""
 WITH lengths AS (
-  SELECT grp, unit, len, count(*) AS n FROM _lexmill_prepared LATERAL VIEW stack(2, 'chars', n_chars, 'bytes', n_bytes) s AS unit, len WHERE wrap <> 'closed' GROUP BY grp, unit, len),
+  SELECT grp, unit, len, count(*) AS n FROM (SELECT grp, length(value) AS n_chars, octet_length(encode(value, 'UTF-8')) AS n_bytes FROM _lexmill_values WHERE value IS NOT NULL AND trim(value) <> '' AND NOT value RLIKE r'[}\]`\x{22}]\s*$')
+  LATERAL VIEW stack(2, 'chars', n_chars, 'bytes', n_bytes) s AS unit, len GROUP BY grp, unit, len),
 near AS (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 12 PRECEDING AND 3 PRECEDING), 0) / 10.0 AS before,
          coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 4 FOLLOWING AND 13 FOLLOWING), 0) / 10.0 AS after
-  FROM lengths)
-SELECT grp, unit, len AS at FROM near WHERE n >= 4 AND n > 4 * before + 2 AND n > 4 * after + 2 AND len > 20"""
-
-_VERDICT = f"""
-WITH tokens AS (
-  SELECT trusted, p + 1 = size(words) AS last, w AS w3, get(words, p - 1) AS w2, get(words, p - 2) AS w1 FROM _lexmill_marked LATERAL VIEW posexplode(words) x AS p, w),
-c3 AS (SELECT w1, w2, w3, count_if(NOT last) AS n_in, count_if(last AND trusted) AS n_end FROM tokens WHERE w1 IS NOT NULL GROUP BY w1, w2, w3),
-c2 AS (SELECT w2, w3, sum(n_in) AS n_in, sum(n_end) AS n_end FROM (
-         SELECT w2, w3, n_in, n_end FROM c3 UNION ALL
-         SELECT w2, w3, count_if(NOT last), count_if(last AND trusted) FROM tokens WHERE w1 IS NULL AND w2 IS NOT NULL GROUP BY w2, w3) GROUP BY w2, w3),
-c1 AS (SELECT w3, count_if(NOT last) AS n_in, count_if(last AND trusted) AS n_end FROM tokens GROUP BY w3),
-c0 AS (SELECT concat(left(w3, 2), '_', right(w3, 1)) AS shape, sum(n_in) AS n_in, sum(n_end) AS n_end FROM c1 GROUP BY 1),
-overall AS (SELECT sum(n_end) / greatest(1, sum(n_in) + sum(n_end)) AS r FROM c1),
-parts AS (SELECT left(w3, k) AS part, sum(n_in) AS n_on FROM c1 LATERAL VIEW explode(sequence(1, length(w3) - 1)) x AS k WHERE length(w3) > 1 AND n_in > 0 GROUP BY 1),
-finals AS (
-  SELECT tbl, ord, words, trusted, int(trusted) AS own, get(words, size(words) - 1) AS w3, get(words, size(words) - 2) AS w2, get(words, size(words) - 3) AS w1 FROM _lexmill_marked WHERE size(words) > 0),
-rates AS (
-  SELECT f.tbl, f.ord, f.w3, o.r AS r, coalesce(c1.n_in, 0) AS n_in, coalesce(p.n_on, 0) AS n_on,
-         (coalesce(c0.n_end, 0) - own + 20 * o.r) / (coalesce(c0.n_in + c0.n_end, 0) - own + 20) AS r0,
-         greatest(0, coalesce(c1.n_end, 0) - own) AS e1, greatest(0, coalesce(c1.n_in + c1.n_end, 0) - own) AS a1,
-         greatest(0, coalesce(c2.n_end, 0) - own) AS e2, greatest(0, coalesce(c2.n_in + c2.n_end, 0) - own) AS a2,
-         greatest(0, coalesce(c3.n_end, 0) - own) AS e3, greatest(0, coalesce(c3.n_in + c3.n_end, 0) - own) AS a3
-  FROM finals f CROSS JOIN overall o LEFT JOIN c1 ON c1.w3 = f.w3 LEFT JOIN c0 ON c0.shape = concat(left(f.w3, 2), '_', right(f.w3, 1))
-       LEFT JOIN c2 ON c2.w2 = f.w2 AND c2.w3 = f.w3 LEFT JOIN c3 ON c3.w1 = f.w1 AND c3.w2 = f.w2 AND c3.w3 = f.w3 LEFT JOIN parts p ON p.part = f.w3),
-smooth AS (
-  SELECT *, (e3 + 20 * (e2 + 20 * (e1 + 10 * r0) / (a1 + 10)) / (a2 + 20)) / (a3 + 20) / greatest(r, 1e-9) AS ratio FROM rates),
-links AS (SELECT host, mode(len) AS len FROM (SELECT regexp_extract(link, '^(https?://[^/]+/(?:[^?]*\\\\?v=)?)', 1) AS host, length(link) AS len FROM _lexmill_marked WHERE link IS NOT NULL) WHERE host <> '' GROUP BY host),
-judged AS (
-  SELECT m.tbl, m.ord, m.grp, m.wrap, m.dots, m.broken, m.final, m.emoji, m.link, m.tag, m.at_limit, s.ratio, s.n_in, s.n_on, s.a1, l.len AS link_len,
-    CASE WHEN m.wrap = 'closed' THEN NULL
-         WHEN m.broken THEN 'broken character'
-         WHEN m.wrap = 'open' THEN 'open wrapping'
-         WHEN m.link IS NOT NULL THEN CASE WHEN l.len IS NULL OR length(m.link) < l.len THEN 'part of a link' END
-         WHEN m.at_limit AND m.mark THEN 'mark of a cut'
-         WHEN m.final OR m.emoji OR m.mail OR (m.dots AND NOT m.at_limit) THEN NULL
-         WHEN m.at_limit AND m.space THEN 'between words'
-         WHEN s.n_on >= IF(m.at_limit, {PART_AT_LIMIT}, {PART}) * (s.n_in + 0.1) THEN 'part of a word'
-         WHEN m.tag IS NOT NULL THEN CASE WHEN m.at_limit AND s.n_in = 0 THEN 'part of a hashtag' END
-         WHEN s.ratio < IF(m.at_limit, {RARELY}, {NEVER}) AND (m.at_limit OR s.a1 >= {SEEN}) THEN 'never terminal' END AS sign
-  FROM _lexmill_marked m LEFT JOIN smooth s ON s.tbl = m.tbl AND s.ord = m.ord LEFT JOIN links l ON l.host = regexp_extract(m.link, '^(https?://[^/]+/(?:[^?]*\\\\?v=)?)', 1))
-SELECT * FROM judged"""
+  FROM lengths),
+at AS (SELECT grp, unit, len FROM near WHERE n >= 4 AND n > 4 * before + 2 AND n > 4 * after + 2 AND len > 20)
+SELECT grp, collect_list(IF(unit = 'chars', len, NULL)) AS chars, collect_list(IF(unit = 'bytes', len, NULL)) AS bytes FROM at GROUP BY grp"""
+
+_MARKED = """
+WITH m AS (
+  SELECT p.*, coalesce(capped, false) OR coalesce(exists(chars, x -> n_chars BETWEEN x - 1 AND x), false) OR coalesce(exists(bytes, x -> n_bytes BETWEEN x - 3 AND x + 2), false) AS at_limit
+  FROM _lexmill_prepared p LEFT JOIN _lexmill_limits g USING (grp)),
+t AS (SELECT *, NOT at_limit AND wrap <> 'open' AND NOT broken AND NOT dots AND link IS NULL AND tag IS NULL AND size(words) > 0 AS trusted FROM m)
+SELECT tbl, ord, grp, at_limit, trusted, link, tag, words,
+  CASE WHEN wrap = 'closed' THEN '' WHEN broken THEN 'broken character' WHEN wrap = 'open' THEN 'open wrapping' WHEN link IS NOT NULL THEN NULL WHEN at_limit AND mark THEN 'mark of a cut'
+       WHEN final OR emoji OR mail OR (dots AND NOT at_limit) THEN '' WHEN at_limit AND space THEN 'between words' WHEN size(words) = 0 THEN '' END AS sign
+FROM t"""
+
+# Grams of two and three words as hashes, packed counts: inside in the low half, terminal in the high half.
+_GRAMS = """
+SELECT h, sum(n) AS n FROM (
+  SELECT explode(flatten(transform(sequence(1, size(words) - 1), p -> filter(array(
+           struct(xxhash64(2, words[p - 1], words[p]) AS h, IF(p + 1 < size(words), 1L, IF(trusted, 4294967296L, 0L)) AS n),
+           IF(p > 1, struct(xxhash64(3, words[p - 2], words[p - 1], words[p]) AS h, IF(p + 1 < size(words), 1L, IF(trusted, 4294967296L, 0L)) AS n), NULL)), x -> x IS NOT NULL)))) AS g
+  FROM _lexmill_marked WHERE size(words) > 1) LATERAL VIEW inline(array(g)) x AS h, n GROUP BY h"""
+
+_WORDS = """
+WITH t AS (SELECT w, p + 1 < size(words) AS inside, trusted FROM _lexmill_marked LATERAL VIEW posexplode(words) x AS p, w),
+c1 AS (SELECT w, count_if(inside) AS n_in, count_if(NOT inside AND trusted) AS n_end FROM t GROUP BY w),
+c0 AS (SELECT concat(left(w, 2), '_', right(w, 1)) AS shape, sum(n_in) AS n_in, sum(n_end) AS n_end FROM c1 GROUP BY 1),
+parts AS (SELECT left(w, k) AS part, sum(n_in) AS n_on FROM c1 LATERAL VIEW explode(sequence(1, length(w) - 1)) x AS k WHERE length(w) > 1 AND n_in > 0 GROUP BY 1)
+SELECT w, c1.n_in, c1.n_end, coalesce(p.n_on, 0) AS n_on, c0.n_in AS s_in, c0.n_end AS s_end
+FROM c1 JOIN c0 ON c0.shape = concat(left(w, 2), '_', right(w, 1)) LEFT JOIN parts p ON p.part = w"""
+
+_LINKED = r"""
+WITH l AS (SELECT tbl, ord, grp, at_limit, link, regexp_extract(link, r'@HOST@', 1) AS host FROM _lexmill_marked WHERE link IS NOT NULL AND sign IS NULL),
+usual AS (SELECT host, mode(length(link)) AS len FROM (SELECT link, regexp_extract(link, r'@HOST@', 1) AS host FROM _lexmill_marked WHERE link IS NOT NULL) WHERE host <> '' GROUP BY host)
+SELECT tbl, ord, grp, at_limit, IF(u.len IS NULL OR length(link) < u.len, 'part of a link', NULL) AS sign FROM l LEFT JOIN usual u ON u.host = l.host"""
+
+_JUDGED = f"""
+WITH f AS (
+  SELECT tbl, ord, grp, at_limit, tag IS NOT NULL AS tagged, int(trusted) AS own, get(words, size(words) - 1) AS w,
+         IF(size(words) > 1, xxhash64(2, get(words, size(words) - 2), get(words, size(words) - 1)), NULL) AS h2,
+         IF(size(words) > 2, xxhash64(3, get(words, size(words) - 3), get(words, size(words) - 2), get(words, size(words) - 1)), NULL) AS h3
+  FROM _lexmill_marked WHERE link IS NULL AND sign IS NULL),
+o AS (SELECT sum(n_end) / greatest(1, sum(n_in) + sum(n_end)) AS r FROM _lexmill_words),
+a AS (SELECT f.*, c.n_in, c.n_on, greatest(0, c.n_end - own) AS e1, greatest(0, c.n_in + c.n_end - own) AS a1, c.s_in, c.s_end FROM f JOIN _lexmill_words c ON c.w = f.w),
+b AS (SELECT a.*, greatest(0, coalesce(g.n >> 32, 0) - own) AS e2, greatest(0, coalesce((g.n >> 32) + (g.n & 4294967295), 0) - own) AS a2 FROM a LEFT JOIN _lexmill_grams g ON g.h = a.h2),
+c AS (SELECT b.*, greatest(0, coalesce(g.n >> 32, 0) - own) AS e3, greatest(0, coalesce((g.n >> 32) + (g.n & 4294967295), 0) - own) AS a3 FROM b LEFT JOIN _lexmill_grams g ON g.h = b.h3),
+s AS (SELECT c.*, (e3 + 20 * (e2 + 20 * (e1 + 10 * ((s_end - own + 20 * r) / (s_in + s_end - own + 20))) / (a1 + 10)) / (a2 + 20)) / (a3 + 20) / greatest(r, 1e-9) AS ratio FROM c, o)
+SELECT tbl, ord, grp, at_limit,
+  CASE WHEN n_on >= IF(at_limit, {PART_AT_LIMIT}, {PART}) * (n_in + 0.1) THEN 'part of a word'
+       WHEN tagged THEN CASE WHEN at_limit AND n_in = 0 THEN 'part of a hashtag' END
+       WHEN ratio < IF(at_limit, {RARELY}, {NEVER}) AND (at_limit OR a1 >= {SEEN}) THEN 'never terminal' END AS sign
+FROM s"""
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """A row for each value of (tbl, ord, grp, value, capped) that isn't null or blank, with ``sign``, why it is cut, or null.
+    """(tbl, ord, grp, at_limit, sign) for each (tbl, ord, grp, value, capped) whose value isn't null or blank; ``sign`` says why it is cut, or is null.
 
     ``capped`` says whether the maker of the value ran into its own limit. Values without words are judged by their wrapping only;
     repeated rows are judged each; empty tables give none; whole values are counted, however long.
     """
     spark = rows.sparkSession
-    ready = durable(prepared(rows))
-    ready.createOrReplaceTempView("_lexmill_prepared")
-    limits = durable(spark.sql(_LIMITS))
-    limits.createOrReplaceTempView("_lexmill_limits")
-    marked = spark.sql("""
-        WITH g AS (SELECT grp, collect_list(IF(unit = 'chars', at, NULL)) AS chars, collect_list(IF(unit = 'bytes', at, NULL)) AS bytes FROM _lexmill_limits GROUP BY grp),
-        m AS (SELECT p.*, coalesce(capped, false) OR coalesce(exists(chars, x -> n_chars BETWEEN x - 1 AND x), false) OR coalesce(exists(bytes, x -> n_bytes BETWEEN x - 3 AND x + 2), false) AS at_limit
-              FROM _lexmill_prepared p LEFT JOIN g USING (grp))
-        SELECT *, NOT at_limit AND wrap <> 'open' AND NOT broken AND NOT dots AND link IS NULL AND tag IS NULL AS trusted FROM m""")
-    durable(marked).createOrReplaceTempView("_lexmill_marked")
-    return spark.sql(_sql(_VERDICT))
+    prepared(rows).createOrReplaceTempView("_lexmill_prepared")
+    durable(spark.sql(_LIMITS)).createOrReplaceTempView("_lexmill_limits")
+    durable(spark.sql(_MARKED)).createOrReplaceTempView("_lexmill_marked")
+    durable(spark.sql(_GRAMS)).createOrReplaceTempView("_lexmill_grams")
+    durable(spark.sql(_WORDS)).createOrReplaceTempView("_lexmill_words")
+    decided = spark.sql("SELECT tbl, ord, grp, at_limit, nullif(sign, '') AS sign FROM _lexmill_marked WHERE sign IS NOT NULL")
+    return decided.unionByName(spark.sql(_sql(_LINKED))).unionByName(spark.sql(_JUDGED))
 
 
 def rates(found: DataFrame) -> DataFrame:
