@@ -8,10 +8,11 @@ borders of lines against words inside them, and words that hardly occur without
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from math import log
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,48 +27,46 @@ REACH = 64  # places where a sentence could end but doesn't, at most, inside one
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 OPEN, CLOSE = "«“「『‘（([【《", "»”」』’）)]】》"
 PAIRS = dict(zip(CLOSE, OPEN))
-_EMOJI = r"(?:[\p{So}\p{Sk}\U0001F3FB-\U0001F3FF]\uFE0F?\u200D?)"
-_END = regex.compile(rf"[ \t]*(?P<mark>[.!?؟…۔。！？｡।⁉‼]+)(?P<close>(?:[ \t]?[»”」』’）)\]】》\"](?![\p{{L}}\p{{N}}]))*)(?P<emoji>(?:[ \t]*{_EMOJI}+)*)|(?P<gap>(?<=[฀-๿]|น\.)[ \t]+(?=[฀-๿])|(?<=[{CJK}])[ \t　]+(?=[{CJK}]))")
+_EMOJI = r"(?:[\p{So}\p{Sk}\U0001F3FB-\U0001F3FF]️?‍?)"
+_MARK = re.compile(r"[.!?؟…۔。！？｡।⁉‼]+")
+_TAIL = regex.compile(rf"(?P<close>(?:[ \t]?[»”」』’）)\]】》\"](?![\p{{L}}\p{{N}}]))*)(?P<emoji>(?:[ \t]*{_EMOJI}+)*)")
+_GAP = regex.compile(rf"(?<=[฀-๿]|น\.)[ \t]+(?=[฀-๿])|(?<=[{CJK}])[ \t　]+(?=[{CJK}])")
+_SPACELESS = re.compile(f"[฀-๿{CJK}]")
+_QUOTE = re.compile("[\"" + re.escape(OPEN.replace("‘", "") + CLOSE.replace("’", "")) + "]")
 _ADDRESS = regex.compile(r"(?:://|www\.|/|@)\S*$")
 _LINE = regex.compile(r"[^\n\r\x0b\x0c\x85  ]+")
-_WORD = regex.compile(rf"[{CJK}]{{1,2}}|[฀-๿]{{1,4}}|[\p{{L}}\p{{M}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}'’‌]|\.(?=[\p{{L}}\p{{N}}]))*")
-_TRIM = " \t    　​"
+_WORD = re.compile(r"[^\W_](?:[\w'’‌̀-ًͯ-ٰٟ]|\.(?=[^\W_]))*")
+_ANY_WORD = regex.compile(rf"[{CJK}]{{1,2}}|[฀-๿]{{1,4}}|[[\p{{L}}\p{{M}}\p{{N}}]--[{CJK}฀-๿]](?:[[\p{{L}}\p{{M}}\p{{N}}'’‌]--[{CJK}฀-๿]]|\.(?=[\p{{L}}\p{{N}}]))*", regex.V1)
+_TRIM = " \t   　​"
+_AFTER_WORD = frozenset(".!?؟…۔。！？»”\"(«“")
 
 
-def _first(s: str, at: int) -> str:
-    m = _WORD.search(s, at)
-    return m[0] if m else ""
-
-
-def _last(s: str, upto: int) -> str:
-    """The word that ends at or right before a place."""
-    w = ""
-    for m in _WORD.finditer(s, max(0, upto - 60), upto):
-        w = m[0]
-    return w
+def _tokens(line: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of a line; scripts without spaces give pieces of a few letters."""
+    pattern = _ANY_WORD if _SPACELESS.search(line) else _WORD
+    return [(m[0], *m.span()) for m in pattern.finditer(line)]
 
 
 def tally_of(text: str) -> Counter:
     """Counts of (role, word): opening and closing words of lines, words inside, words with a dot and without."""
-    c: Counter = Counter()
+    found: list[tuple[str, str]] = []
     for line in _LINE.findall(text):
-        words = list(_WORD.finditer(line))
+        words = _tokens(line)
         if len(words) < 3:
             continue
-        c["open", words[0][0].lower()] += 1
-        c["close", words[-1][0].lower()] += 1
-        for i, m in enumerate(words[1:-1], 1):
-            w = m[0].lower()
-            after = line[m.end() : m.end() + 2]
-            if after[:1] == "." and after[1:2] in ("", " ", "-"):
-                c["dot", w] += 1
-                if words[i + 1][0][0].isdigit():
-                    c["number", w] += 1
+        padded = line + "  "
+        found.append(("open", words[0][0].lower()))
+        found.append(("close", words[-1][0].lower()))
+        for w, _, e in words[1:-1]:
+            after = padded[e]
+            if after == "." and padded[e + 1] in " -":
+                found.append(("dot", w.lower()))
             else:
-                c["plain", w] += 1
-                if not regex.match(r"\W*[.!?؟…۔。！？»”\"(«“]", line[m.end() : m.end() + 3]):
-                    c["in", w] += 1
-    return c
+                w = w.lower()
+                found.append(("plain", w))
+                if after not in _AFTER_WORD:
+                    found.append(("in", w))
+    return Counter(found)
 
 
 class Words:
@@ -86,20 +85,26 @@ class Words:
 def _ends(line: str) -> list[tuple[int, int, str, str]]:
     """(end, next start, kind of mark, closing quotes) of the places inside a line where a sentence could end."""
     out = []
-    for m in _END.finditer(line):
-        e = m.end()
-        if m["gap"] is not None:
-            out.append((m.start(), e, "gap", ""))
+    upto = 0
+    for m in _MARK.finditer(line):
+        if m.start() < upto:
             continue
-        mark, nxt = m["mark"], line[e : e + 1]
+        t = _TAIL.match(line, m.end())
+        e, mark, close, emoji = t.end(), m[0], t["close"], t["emoji"]
+        upto, nxt = e, line[e : e + 1]
         wide = mark[-1] in "。！？｡"
-        if nxt and not nxt.isspace() and nxt not in OPEN and nxt != '"' and not wide and not m["emoji"]:
+        if nxt and not nxt.isspace() and nxt not in OPEN and nxt != '"' and not wide and not emoji:
             if mark[-1] in ".…" or not nxt.isalpha() or _ADDRESS.search(line, max(0, m.start() - 200), m.end()):
                 continue
-        kind = "dots" if regex.fullmatch(r"\.\.+|…+", mark) else "strong" if mark[-1] in "!?؟！？⁉‼" or wide or mark[-1] in "۔।" else "dot"
-        if kind == "dots":
+        if mark[-1] in ".…" and len(mark.strip(".…")) == 0 and (len(mark) > 1 or mark == "…"):
             kind = "two dots" if mark == ".." else "dots"
-        out.append((e, e, kind, m["close"].strip() + ("+" if m["emoji"] else "")))
+        else:
+            kind = "strong" if mark[-1] in "!?؟！？⁉‼۔।" or wide else "dot"
+        out.append((e, e, kind, close.strip() + ("+" if emoji else "")))
+    if _SPACELESS.search(line):
+        taken = {p[0] for p in out}
+        out += [(m.start(), m.end(), "gap", "") for m in _GAP.finditer(line) if m.start() not in taken and m.end() not in taken]
+        out.sort()
     return out
 
 
@@ -112,24 +117,29 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
     n = len(places)
     quotes = []  # (place, opens?, character), straight quotes by turns
     turn = False
-    for i, ch in enumerate(line):
+    for m in _QUOTE.finditer(line):
+        ch = m[0]
         if ch == '"':
             turn = not turn
-            quotes.append((i, turn, ch))
-        elif ch in OPEN and ch != "‘":
-            quotes.append((i, True, ch))
-        elif ch in CLOSE and ch != "’":
-            quotes.append((i, False, ch))
+        quotes.append((m.start(), turn if ch == '"' else ch in OPEN, ch))
+    toks = _tokens(line)
+    begins, finishes = [t[1] for t in toks], [t[2] for t in toks]
+    if not places:
+        a = len(line) - len(line.lstrip(_TRIM))
+        return [(a, a + len(line.strip(_TRIM)))]
     gain = []
     for e, nxt, kind, close in places:
         s = MARKS[kind]
-        before, after = _last(line, e if kind == "gap" else e), _first(line, nxt)
+        k = bisect_right(finishes, e) - 1
+        before = toks[k][0] if k >= 0 else ""
+        k = bisect_left(begins, nxt)
+        after = toks[k][0] if k < len(toks) else ""
         low = before.lower()
         if kind == "gap":
             gain.append(s)
             continue
         emoji = close.endswith("+")
-        if kind == "dot" and not emoji and not close and (low in words.short or "." in before or (len(before) == 1 and before.isalpha() and not regex.match(f"[{CJK}]", before))):
+        if kind == "dot" and not emoji and not close and (low in words.short or "." in before or (len(before) == 1 and before.isalpha() and not _SPACELESS.match(before))):
             s -= 5.0
             if after[:1].isdigit():
                 s -= 4.0
@@ -147,8 +157,7 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
         gain.append(s)
     starts = [0, *(p[1] for p in places)]
     ends = [*(p[0] for p in places), len(line)]
-    n_words = [len(_WORD.findall(line, a, b)) for a, b in zip(starts, ends)]
-    at_words = np.cumsum([0, *n_words])
+    at_words = [0, *(bisect_left(begins, b) for b in ends)]
     spans_quotes = [[q for q in quotes if a <= q[0] < b] for a, b in zip(starts, ends)]
     best, back = [0.0] + [-1e18] * (n + 1), [0] * (n + 2)
     for j in range(1, n + 2):
@@ -165,14 +174,14 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
                 else:
                     open_ += 1
             s = best[i] - 8.0 * (open_ + len(stack))
-            k = max(1, int(at_words[j] - at_words[i]))
+            k = max(1, at_words[j] - at_words[i])
             s -= 0.35 * (log(k / USUAL_WORDS) ** 2)
             if j <= n:
                 s += gain[j - 1]
                 close = places[j - 1][3].rstrip("+")
                 if close and not open_ and not stack:
                     body = line[starts[i] : ends[j - 1]].lstrip(_TRIM)
-                    s += 1.0 if body[:1] in OPEN or body[:1] == '"' else -3.0
+                    s += 1.0 if body[:1] in OPEN or body[:1] == "\"" else -4.0
             if s > best[j]:
                 best[j], back[j] = s, i
     out, j = [], n + 1
