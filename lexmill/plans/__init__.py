@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "dedup")
+MODULES = ("text", "dedup", "corpus", "select")
 
 
 def _all() -> list:
