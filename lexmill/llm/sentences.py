@@ -181,7 +181,7 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
                 close = places[j - 1][3].rstrip("+")
                 if close and not open_ and not stack:
                     body = line[starts[i] : ends[j - 1]].lstrip(_TRIM)
-                    s += 1.0 if body[:1] in OPEN or body[:1] == "\"" else -4.0
+                    s += 1.0 if body[:1] in OPEN or body[:1] == "\"" else -6.0
             if s > best[j]:
                 best[j], back[j] = s, i
     out, j = [], n + 1
