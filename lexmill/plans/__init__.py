@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "dedup", "corpus", "select")
+MODULES = ("text", "dedup", "corpus", "select", "measure", "vectors")
 
 
 def _all() -> list:
