@@ -155,11 +155,12 @@ def forms(texts: DataFrame) -> DataFrame:
 
 
 def with_form(df: DataFrame, text: str = "text", form: str = "form") -> DataFrame:
-    """``df`` with a column of the consistent form of its text.
+    """``df`` with a column of the consistent form of its text, in place of a column of that name.
 
     Null stays null; a text of invisible characters only becomes empty; a text that holds nothing odd is its own form, without
     white space around it. Rows are neither lost nor added, whatever repeats. Very long texts are one group of code points each.
     """
+    df = df.drop(form) if form != text else df
     odd = F.coalesce(F.col(text).rlike(odd_class()), F.lit(False))
     made = forms(df.filter(odd).select(F.col(text).alias("text")).distinct()).toDF("_odd_text", form)
     return df.filter(~odd).withColumn(form, F.trim(text)).unionByName(df.filter(odd).join(made, F.col(text) == F.col("_odd_text")).drop("_odd_text"))

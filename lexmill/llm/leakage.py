@@ -1,7 +1,7 @@
 """Problem 4: evaluation texts leaking into training text, by rare n-gram seeds and Smith-Waterman alignment.
 
-Of each stretch of RUN words of an item the SEED-gram that is rarest in the corpus is a seed, so that whatever holds the stretch
-holds a seed. Seeds bring items and passages together; each candidate pair is aligned word by word. Passages of one text are
+Of each stretch of RUN words of an item the SEED-gram that is rarest in the corpus is a seed, and those nearly as rare, so that
+whatever holds the stretch holds a seed. Seeds bring items and passages together; each candidate pair is aligned word by word. Passages of one text are
 aligned once, whatever number of records hold them.
 """
 
@@ -18,6 +18,7 @@ from lexmill.session import durable
 
 SEED = 4
 RUN = 8
+NEARLY = 10  # a gram this many times as frequent as the rarest of its stretch is a seed too, for the sake of edited copies
 MATCH, OTHER, GAP = 2, -1, -1
 BROADCAST_GRAMS = 200_000  # rows of 12 bytes and a little more: some MB
 
@@ -73,8 +74,10 @@ def leaks(passages: DataFrame, items: DataFrame, item_id: str = "item_id", text:
     known = item_grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     last = F.max("at").over(Window.partitionBy("item_id"))
     stretch = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, RUN - SEED)
-    known = known.withColumn("last", last).withColumn("seed", F.min(F.struct("df", "at", "gram")).over(stretch))
-    seeds = known.filter(F.col("at") + RUN - SEED <= F.col("last")).select("item_id", F.col("seed.gram").alias("gram")).distinct()
+    around = Window.partitionBy("item_id").orderBy("at").rowsBetween(SEED - RUN, 0)
+    known = known.withColumn("last", last).withColumn("rarest", F.min("df").over(stretch))
+    known = known.withColumn("rarest", F.max(F.when(F.col("at") + RUN - SEED <= F.col("last"), F.col("rarest"))).over(around))
+    seeds = known.filter(F.col("df") <= NEARLY * F.col("rarest") + NEARLY).select("item_id", "gram").distinct()
     pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram").select("t", "item_id").distinct()
     texts_of = rows.select("t", "text").join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
     both = pairs.join(texts_of.select("t", wording.words("text").alias("wa")), "t").join(its.select("item_id", F.col("words").alias("wi")), "item_id")

@@ -3,7 +3,7 @@
 A value is cut if its wrapping (JSON, code fence, quotation mark) stays open, if it ends in a broken character, a part of a link or a
 part of a word, or if its final words are frequent inside texts but almost never terminal. The terminal rate of the final trigram is
 smoothed by that of the final bigram, this by that of the last word, and this by that of words of the same shape; ends that a limit
-may have made don't count as ends. A limit is a length, in characters or bytes, that piles up in a source; where a value is as long
+may have made don't count as ends. A limit is a length, in characters or bytes, at which values pile up in a source and that few exceed; where a value is as long
 as a limit (or used all tokens allowed), weaker signs are enough, but a complete text that just fits stays complete.
 """
 
@@ -67,9 +67,10 @@ WITH lengths AS (
   LATERAL VIEW stack(2, 'chars', n_chars, 'bytes', n_bytes) s AS unit, len GROUP BY grp, unit, len),
 near AS (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 12 PRECEDING AND 3 PRECEDING), 0) / 10.0 AS before,
-         coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 4 FOLLOWING AND 13 FOLLOWING), 0) / 10.0 AS after
+         coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 4 FOLLOWING AND 13 FOLLOWING), 0) / 10.0 AS after,
+         coalesce(sum(n) OVER (PARTITION BY grp, unit ORDER BY len RANGE BETWEEN 4 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS beyond, sum(n) OVER (PARTITION BY grp, unit) AS total
   FROM lengths),
-at AS (SELECT grp, unit, len FROM near WHERE n >= 4 AND n > 4 * before + 2 AND n > 4 * after + 2 AND len > 20)
+at AS (SELECT grp, unit, len FROM near WHERE n >= 4 AND n > 4 * before + 2 AND n > 4 * after + 2 AND beyond <= 0.1 * total AND len > 20)
 SELECT grp, collect_list(IF(unit = 'chars', len, NULL)) AS chars, collect_list(IF(unit = 'bytes', len, NULL)) AS bytes FROM at GROUP BY grp"""
 
 _MARKED = """
