@@ -90,13 +90,20 @@ def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: floa
         keys = durable(_prefixes(sets, threshold, sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"))))
     pairs = _candidates(keys, keys, threshold).filter("a > b")
     links = _verified(pairs, sets, sets, threshold)
-    best = links.groupBy("a").agg(F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m")).select(F.col("a").alias("cls"), F.col("m.jaccard").alias("jaccard"), (-F.col("m.b")).alias("other"))
+    top = F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m")
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     rows = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key"), g.alias("grp")).filter("key <> ''")
     rows = rows.join(classes, (rows["key"] == classes["key"]) & rows["grp"].eqNullSafe(classes["grp"])).select("ord", rows["grp"], "cls")
-    rows = rows.join(best, "cls", "left")
-    copy = (F.col("cls") < F.col("ord")) & F.col("grp").isNull()
-    out = rows.select(F.col("ord").alias(ident), F.when(copy & (F.coalesce(F.col("jaccard"), F.lit(0.0)) < 1.0), F.col("cls")).when(copy, F.least("cls", "other")).otherwise(F.col("other")).alias("duplicate_of"), F.when(copy, 1.0).otherwise(F.col("jaccard")).alias("jaccard"))
+    if group:  # later members of a group's class may meet classes that began after their own
+        links = durable(links)
+        both = links.select("a", "b", "jaccard").unionAll(links.select("b", "a", "jaccard"))
+        best = rows.join(both, F.col("cls") == F.col("a")).filter("b < ord").groupBy("ord").agg(top)
+        rows = rows.join(best, "ord", "left")
+    else:
+        rows = rows.join(links.groupBy("a").agg(top).withColumnRenamed("a", "cls"), "cls", "left")
+    copy, other = (F.col("cls") < F.col("ord")) & F.col("grp").isNull(), -F.col("m.b")
+    first = F.when(copy & (F.coalesce(F.col("m.jaccard"), F.lit(0.0)) < 1.0), F.col("cls")).when(copy, F.least("cls", other)).otherwise(other)
+    out = rows.select(F.col("ord").alias(ident), first.alias("duplicate_of"), F.when(copy, 1.0).otherwise(F.col("m.jaccard")).alias("jaccard"))
     return out.filter("duplicate_of is not null")
 
 

@@ -78,8 +78,16 @@ def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(label, text) of lines of a label, a tab and a text, in any encoding."""
-    rows = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), "\r?\n")).alias("v")) if encoding.upper() not in ("UTF-8", "UTF8") else spark.read.text(path).select(F.col("value").alias("v"))
+    """(label, text) of lines of a label, a tab and a text; a file in an encoding other than UTF-8 is decoded in one task."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        rows = spark.read.text(path).select(F.col("value").alias("v"))
+    else:
+
+        def decoded(batches):
+            for b in batches:
+                yield pd.DataFrame({"v": [line for c in b["content"] for line in bytes(c).decode(encoding).splitlines()]}, dtype=object)
+
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "v string")
     return rows.filter("v <> ''").select(F.split("v", "\t", 2)[0].alias("label"), F.split("v", "\t", 2)[1].alias("text"))
 
 
