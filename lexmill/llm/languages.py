@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,12 +29,14 @@ ROUNDS = 2  # of fitting again
 SWITCH = 7.0  # log-odds that a change of language costs
 WEIGHT = 0.5  # n-grams of a word overlap: their joint evidence counts as this share of their sum
 LEAST_WORDS = 4  # of a segment
+KNOWN_SHARE = 1 / 4000  # a language's words with this share of its sample or more are known: at most 4,000
+OPEN_SHARE = 0.25  # where other words make up less than this share, they are invented names and the like, and count for no language
 CELLS = 100_000  # words of a batch of texts padded to one length
 
 _GONE = regex.compile(r"[[\p{Cf}͏︀-️ـ]--[‌]]", regex.V1)
 _NOISE = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|(?<![\w.])@\w+:?|#\S+|(?<!\w)RT(?=\s*@)|(?<!\w)(?:USER|URL|EMOJI|NUM)(?!\w)")
 _WORD = regex.compile(r"[฀-๿]\p{M}*|[぀-ヿ㐀-鿿豈-﫿]|[[\p{L}\p{M}\p{N}'’‌]--[฀-๿぀-ヿ㐀-鿿豈-﫿]]+", regex.V1)
-_WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
+_WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x622: 0x627}
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -67,7 +70,7 @@ def fit_counts(words: list[str], langs: list[int], n_langs: int) -> np.ndarray:
     for k in zip(words, langs):
         tally[k] = tally.get(k, 0) + 1
     for (w, lang), n in tally.items():
-        np.add.at(counts[:, lang], ngrams(w), min(n, 50))
+        np.add.at(counts[:, lang], ngrams(w), n)
     total = counts.sum(0, keepdims=True)
     return np.log((counts + 0.05) / (total + 0.05 * BUCKETS)).astype(np.float32)
 
@@ -123,8 +126,19 @@ def decode(lengths: list[int], scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, langs: list[str]) -> np.ndarray:
-    """The model from (text, lang): a hash sample of about ROWS_A_LANGUAGE rows of each language is fitted on the driver."""
+def known_words(words: list[str], path: np.ndarray, n_langs: int) -> list[frozenset[str] | None]:
+    """For each language the words that count for it, or none where its vocabulary is so open that every word does."""
+    out: list[frozenset[str] | None] = []
+    for lang in range(n_langs):
+        c = Counter(w for w, p in zip(words, path) if p == lang)
+        total = sum(c.values())
+        known = {w: n for w, n in c.items() if n >= max(2, total * KNOWN_SHARE)}
+        out.append(frozenset(known) if total >= 2000 and sum(known.values()) > (1 - OPEN_SHARE) * total else None)
+    return out
+
+
+def fit(labelled: DataFrame, langs: list[str]) -> tuple[np.ndarray, list[frozenset[str] | None]]:
+    """The model and the known words from (text, lang): a hash sample of about ROWS_A_LANGUAGE rows of each language is fitted on the driver."""
     rows = labelled.filter(F.col("lang").isin(langs) & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     picks = [(F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, ROWS_A_LANGUAGE / n) * 1_000_000)) for lang, n in counts.items()]
@@ -133,19 +147,22 @@ def fit(labelled: DataFrame, langs: list[str]) -> np.ndarray:
     words, lengths = [w for t in texts for w in t], [len(t) for t in texts]
     of = [langs.index(r.lang) for r, t in zip(sorted(sample), texts) for _ in t]
     matrix = fit_counts(words, of, len(langs))
+    path = np.array(of)
     for _ in range(ROUNDS if words else 0):
-        matrix = fit_counts(words, list(decode(lengths, score_words(words, matrix))), len(langs))
-    return matrix
+        path = decode(lengths, score_words(words, matrix))
+        matrix = fit_counts(words, list(path), len(langs))
+    return matrix, known_words(words, path, len(langs))
 
 
-def runs_of(path: np.ndarray) -> list[tuple[int, int, int]]:
-    """(language, first word, last word) of the runs of at least LEAST_WORDS words; what shorter runs part is one run."""
+def runs_of(path: np.ndarray, counts: list[bool] | None = None) -> list[tuple[int, int, int]]:
+    """(language, first word, last word) of the runs of at least LEAST_WORDS words that count; what shorter runs part is one run."""
     runs: list[list[int]] = []
     for i, lang in enumerate(path):
+        n = 1 if counts is None else int(counts[i])
         if runs and runs[-1][0] == lang and runs[-1][2] == i - 1:
-            runs[-1][2], runs[-1][3] = i, runs[-1][3] + 1
+            runs[-1][2], runs[-1][3] = i, runs[-1][3] + n
         else:
-            runs.append([int(lang), i, i, 1])
+            runs.append([int(lang), i, i, n])
     long: list[list[int]] = []
     for r in runs:  # a language goes on after a short run of another
         if r[3] >= LEAST_WORDS or (long and long[-1][0] == r[0]):
@@ -159,7 +176,8 @@ def runs_of(path: np.ndarray) -> list[tuple[int, int, int]]:
 def identify(df: DataFrame, labelled: DataFrame, langs: list[str]) -> DataFrame:
     """(tbl, ord, seg_no, lang, stated, confidence, n_words, seg_start, seg_end) of (tbl, ord, text, lang).
 
-    ``seg_no`` 0 is the whole record with the language of most of its words (ties: the earlier code); a record with segments of
+    ``seg_no`` 0 is the whole record with the language of most of its words (ties: the earlier code; words that count for no language,
+    such as invented names, only where there are no others); a record with segments of
     several languages has them as 1, 2, ... in text order. Null texts and texts without a word of any language have no row;
     repeated rows have theirs each; whole texts are scored, however long.
     """
@@ -170,7 +188,8 @@ def identify(df: DataFrame, labelled: DataFrame, langs: list[str]) -> DataFrame:
         for b in batches:
             found = [words_with_places(t) for t in b["text"]]
             words, lengths = [w for f in found for w, _, _ in f], [len(f) for f in found]
-            scores = score_words(words, model.value)
+            matrix, known = model.value
+            scores = score_words(words, matrix)
             path = decode(lengths, scores)
             odds = np.exp(scores)
             odds /= odds.sum(1, keepdims=True) if len(odds) else 1
@@ -180,9 +199,11 @@ def identify(df: DataFrame, labelled: DataFrame, langs: list[str]) -> DataFrame:
                     continue
                 own, p = path[at : at + len(f)], odds[at : at + len(f)]
                 at += len(f)
-                top = int(np.bincount(own, minlength=len(langs)).argmax())
+                counts = [known[lang] is None or w in known[lang] for (w, _, _), lang in zip(f, own)]
+                votes = np.bincount(own, weights=counts, minlength=len(langs))
+                top = int((votes if votes.any() else np.bincount(own, minlength=len(langs))).argmax())
                 rows.append((i, 0, langs[top], float(p[own == top, top].sum() / len(f)), len(f), f[0][1], f[-1][2]))
-                runs = runs_of(own)
+                runs = runs_of(own, counts)
                 if len({r[0] for r in runs}) > 1:
                     for n, (lang, first, last) in enumerate(runs, 1):
                         rows.append((i, n, langs[lang], float(p[first : last + 1, lang].mean()), last - first + 1, f[first][1], f[last][2]))
