@@ -9,7 +9,10 @@ as a limit (or used all tokens allowed), weaker signs are enough, but a complete
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexmill.session import durable
 
@@ -50,15 +53,11 @@ SELECT tbl, ord, grp, capped, space, n_chars, n_bytes, wrap, dots, v RLIKE r'…
 FROM ends"""
 
 
-def _sql(text: str) -> str:
+def _sql(text: str, tag: str) -> str:
+    """The SQL with its patterns, over the views of one call."""
     for name, pattern in PATTERNS.items():
         text = text.replace(f"@{name}@", pattern)
-    return text
-
-
-def prepared(rows: DataFrame) -> DataFrame:
-    rows.createOrReplaceTempView("_lexmill_values")
-    return rows.sparkSession.sql(_sql(_PREPARE))
+    return text.replace("_lexmill_", f"_lexmill_{tag}_")
 
 
 _LIMITS = r"""
@@ -128,17 +127,21 @@ def judged(rows: DataFrame) -> DataFrame:
     ``capped`` says whether the maker of the value ran into its own limit. Values without words are judged by their wrapping only;
     repeated rows are judged each; empty tables give none; whole values are counted, however long.
     """
-    spark = rows.sparkSession
-    prepared(rows).createOrReplaceTempView("_lexmill_prepared")
-    durable(spark.sql(_LIMITS)).createOrReplaceTempView("_lexmill_limits")
-    durable(spark.sql(_MARKED)).createOrReplaceTempView("_lexmill_marked")
-    durable(spark.sql(_GRAMS)).createOrReplaceTempView("_lexmill_grams")
-    durable(spark.sql(_WORDS)).createOrReplaceTempView("_lexmill_words")
-    decided = spark.sql("SELECT tbl, ord, grp, at_limit, nullif(sign, '') AS sign FROM _lexmill_marked WHERE sign IS NOT NULL")
-    return decided.unionByName(spark.sql(_sql(_LINKED))).unionByName(spark.sql(_JUDGED))
+    spark, tag = rows.sparkSession, uuid.uuid4().hex
+
+    def view(name: str, df: DataFrame) -> None:
+        df.createOrReplaceTempView(f"_lexmill_{tag}_{name}")
+
+    view("values", rows)
+    view("prepared", spark.sql(_sql(_PREPARE, tag)))
+    view("limits", durable(spark.sql(_sql(_LIMITS, tag))))
+    view("marked", durable(spark.sql(_sql(_MARKED, tag))))
+    view("grams", durable(spark.sql(_sql(_GRAMS, tag))))
+    view("words", durable(spark.sql(_sql(_WORDS, tag))))
+    decided = spark.sql(_sql("SELECT tbl, ord, grp, at_limit, nullif(sign, '') AS sign FROM _lexmill_marked WHERE sign IS NOT NULL", tag))
+    return decided.unionByName(spark.sql(_sql(_LINKED, tag))).unionByName(spark.sql(_sql(_JUDGED, tag)))
 
 
 def rates(found: DataFrame) -> DataFrame:
     """How often each source truncates: (tbl, grp, n_values, n_cut, share)."""
-    found.createOrReplaceTempView("_lexmill_judged")
-    return found.sparkSession.sql("SELECT tbl, grp, count(*) AS n_values, count(sign) AS n_cut, count(sign) / count(*) AS share FROM _lexmill_judged GROUP BY tbl, grp")
+    return found.groupBy("tbl", "grp").agg(F.count("*").alias("n_values"), F.count("sign").alias("n_cut"), (F.count("sign") / F.count("*")).alias("share"))
