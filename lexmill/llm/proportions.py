@@ -42,18 +42,18 @@ def seats(available: list[int], targets: list[float], floors: list[int], size: i
     return got
 
 
-def proportional_sample(df: DataFrame, targets: DataFrame, by: list[str], ident: str, size: float | None = None, fraction: float = 0.2, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def proportional_sample(df: DataFrame, targets: DataFrame, by: list[str], ident: str, size: float | None = None, divide_by: float = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(sample, report) of ``df``.
 
     sample: (by..., ident, rank, priority, in_floor), one row a distinct identifier and category. report: a row for each row of
     ``targets`` (by..., target_share, min_rows) with wanted, available, taken and met, ``wanted`` being the larger of ``min_rows`` and
-    target_share x size, unrounded. ``size`` is ``fraction`` of the distinct identifiers where it isn't given. Rows without an
+    target_share x size, unrounded. ``size`` is the number of distinct identifiers over ``divide_by`` where it isn't given. Rows without an
     identifier aren't counted; rows whose category is null or not among the targets count for the size only; repeated rows count once;
     a category without rows takes nothing; empty tables give an empty sample and a report of unmet targets.
     """
     rows = df.filter(F.col(ident).isNotNull())
     if size is None:
-        size = rows.agg(F.count_distinct(ident)).first()[0] * fraction
+        size = rows.agg(F.count_distinct(ident)).first()[0] / divide_by
     want = targets.select(*by, "target_share", "min_rows")
     rows = rows.select(*by, F.col(ident).alias("id")).join(want.select(*by), by, "left_semi").distinct()
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *by, "id")).withColumn("range", F.shiftrightunsigned("h", 52).cast("int"))

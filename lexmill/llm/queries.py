@@ -154,5 +154,5 @@ ORACLE: dict[str, str] = {
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
              c AS (SELECT variety, sentiment, count(DISTINCT request_id) AS c FROM requests GROUP BY ALL)
         SELECT variety, sentiment FROM target_shares LEFT JOIN c USING (variety, sentiment), n
-        WHERE coalesce(c, 0) < greatest(min_rows::DOUBLE, target_share * (n * 0.2::DOUBLE))""",
+        WHERE coalesce(c, 0) < greatest(min_rows::DOUBLE, target_share * (n / 5))""",
 }
