@@ -57,10 +57,12 @@ def tally_of(text: str) -> Counter:
         padded = line + "  "
         found.append(("open", words[0][0].lower()))
         found.append(("close", words[-1][0].lower()))
-        for w, _, e in words[1:-1]:
+        for (w, _, e), (follows, _, _) in zip(words[1:-1], words[2:]):
             after = padded[e]
             if after == "." and padded[e + 1] in " -":
                 found.append(("dot", w.lower()))
+                if not w[0].islower() or not follows[0].isupper() or len(follows) == 1:
+                    found.append(("inside", w.lower()))  # what follows doesn't look like an opening word
             else:
                 w = w.lower()
                 found.append(("plain", w))
@@ -79,7 +81,7 @@ class Words:
         ratio = lambda r, w: log((get(r, w) + 0.5) / total[r] / ((get("in", w) + 0.5) / total["in"]))
         self.opens = {w: max(-4.0, min(3.0, ratio("open", w))) for w in words if get("open", w) + get("in", w) >= 4}
         self.closes = {w: max(-4.0, min(3.0, ratio("close", w))) for w in words if get("close", w) + get("in", w) >= 4}
-        self.short = {w for w in words if get("dot", w) >= 3 and get("dot", w) >= 0.8 * (get("dot", w) + get("plain", w) + get("close", w)) and len(w) <= 6}
+        self.short = {w for w in words if get("dot", w) >= 3 and 2 * get("inside", w) >= get("dot", w) and get("dot", w) >= 0.8 * (get("dot", w) + get("plain", w) + get("close", w)) and len(w) <= 6}
 
 
 def _ends(line: str) -> list[tuple[int, int, str, str]]:
