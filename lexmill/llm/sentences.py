@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import reduce
 from math import log
+from operator import or_
 
 import pandas as pd
 import regex
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.session import durable
 
-KEPT_SHARE = 1 / 20_000  # words with this share of all counts or more are kept: at most 20,000 a role
+KEPT_SHARE = 1 / 20_000  # words with this share of a role's counts or more are kept with their counts in all roles: at most 20,000 a role
 USUAL_WORDS = 11.0
 REACH = 64  # places where a sentence could end but doesn't, at most, inside one span
 
@@ -72,13 +74,18 @@ def tally_of(text: str) -> Counter:
 
 
 class Words:
-    """Scores of words in their roles; a word that isn't frequent is neutral."""
+    """Scores of words in their roles; a word that isn't frequent is neutral.
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        total = {r: sum(n for (role, _), n in counts.items() if role == r) or 1 for r in ("open", "close", "in")}
+    ``counts`` holds all counts of each of its words; ``totals`` the sums of roles over all words, those not in ``counts`` too.
+    """
+
+    def __init__(self, counts: dict[tuple[str, str], int], totals: dict[str, int] | None = None):
+        total = {r: (totals or {}).get(r) or sum(n for (role, _), n in counts.items() if role == r) or 1 for r in ("open", "close", "in")}
         get = lambda r, w: counts.get((r, w), 0)
         words = {w for _, w in counts}
-        ratio = lambda r, w: log((get(r, w) + 0.5) / total[r] / ((get("in", w) + 0.5) / total["in"]))
+        least = {r: min(total[r], total["in"]) for r in ("open", "close")}
+        rate = lambda r, w, least: (get(r, w) + 2.0 * total[r] / least) / total[r]  # noqa: E731 - few counts give nearly equal rates, however unequal the totals
+        ratio = lambda r, w: log(rate(r, w, least[r]) / rate("in", w, least[r]))
         self.opens = {w: max(-4.0, min(3.0, ratio("open", w))) for w in words if get("open", w) + get("in", w) >= 4}
         self.closes = {w: max(-4.0, min(3.0, ratio("close", w))) for w in words if get("close", w) + get("in", w) >= 4}
         self.short = {w for w in words if get("dot", w) >= 3 and 2 * get("inside", w) >= get("dot", w) and get("dot", w) >= 0.8 * (get("dot", w) + get("plain", w) + get("close", w)) and len(w) <= 6}
@@ -207,6 +214,14 @@ def sentences_of(text: str | None, words: Words) -> list[tuple[int, int]]:
     return out
 
 
+def kept_counts(counts: DataFrame, totals: dict[str, int]) -> dict[tuple[str, str], int]:
+    """{(role, word): n} in all roles of the words that have their share of any role."""
+    if not totals:
+        return {}
+    enough = reduce(or_, ((F.col("role") == r) & (F.col("n") >= n * KEPT_SHARE) for r, n in totals.items()))
+    return {(r.role, r.word): r.n for r in counts.join(counts.filter(enough).select("word").distinct(), "word", "left_semi").select("role", "word", "n").collect()}
+
+
 def split(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, sent_no, sent_start, sent_end, sentence), a row for each sentence; places count code points.
 
@@ -222,12 +237,11 @@ def split(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame
             yield pd.DataFrame([(r, w, n) for (r, w), n in c.items()], columns=["role", "word", "n"])
 
     counts = durable(rows.mapInPandas(count, "role string, word string, n long").groupBy("role", "word").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("role").agg((F.sum("n") * KEPT_SHARE).alias("least"))
-    kept = counts.join(totals, "role").filter("n >= least").select("role", "word", "n").collect()
-    words = df.sparkSession.sparkContext.broadcast({(r.role, r.word): r.n for r in kept})
+    totals = {r.role: r.n for r in counts.groupBy("role").agg(F.sum("n").alias("n")).collect()}  # a row for each role
+    words = df.sparkSession.sparkContext.broadcast((kept_counts(counts, totals), totals))
 
     def cut(batches):
-        known = Words(words.value)
+        known = Words(*words.value)
         for b in batches:
             found = [(d, n, s, e, t[s:e]) for d, t in zip(b["doc_id"], b["text"]) for n, (s, e) in enumerate(sentences_of(t, known), 1)]
             yield pd.DataFrame(found, columns=["doc_id", "sent_no", "sent_start", "sent_end", "sentence"])

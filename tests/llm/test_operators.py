@@ -289,6 +289,16 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentences_of(text, WORDS)] == want
 
 
+def test_sentences_counts_of_a_kept_word_are_whole(spark):
+    counts = spark.createDataFrame([("dot", "end", 10), ("plain", "end", 40), ("inside", "end", 10), ("plain", "other", 1_000_000), ("in", "rare", 1), ("in", "often", 1_000_000)], "role string, word string, n long")
+    totals = {"dot": 10, "plain": 1_000_040, "inside": 10, "in": 1_000_001}
+    kept = sentences.kept_counts(counts, totals)
+    assert kept[("plain", "end")] == 40  # under its role's share, but a count of a word that is kept
+    assert ("in", "rare") not in kept
+    assert "end" not in sentences.Words(kept, totals).short
+    assert sentences.kept_counts(counts.limit(0), {}) == {}
+
+
 def test_sentences_table(spark):
     df = spark.createDataFrame([(1, "One two. Three four.", 1), (2, None, 1), (3, "", 1), (4, LONG, 1), (1, "One two. Three four.", 1)], "doc_id long, text string, sent_no int")
     out = sentences.split(df).collect()
