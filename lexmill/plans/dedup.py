@@ -144,6 +144,20 @@ def dedup_a09_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return g.filter("cd <= 1").select("text", "ord", "n", (F.col("cv") > 1).alias("variety_conflict"))
 
 
+@r.query(f"""WITH x AS (SELECT ord, sentiment, variety, unnest(few_shot_texts) AS text FROM requests), c AS (SELECT ord, sentiment, variety, trim({_sub(_sub(_sub('text', P.URL, ' URL '), P.HANDLE, ' USER '), ' {2,}', ' ')}, ' ') AS text FROM x WHERE text IS NOT NULL),
+g AS (SELECT text, count(DISTINCT sentiment) AS cd, min(ord) AS ord, count(*) AS n, count(DISTINCT variety) AS cv FROM c GROUP BY text) SELECT text, ord, n, cv > 1 AS variety_conflict FROM g WHERE cd <= 1""")
+def dedup_a09_all_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of every array, cleaned, without those of several sentiments; n counts uses."""
+    return conflict_free(table(spark, sf, "requests"))
+
+
+def conflict_free(requests: DataFrame) -> DataFrame:
+    """(text, ord, n, variety_conflict) of the cleaned few-shot texts that stand under one sentiment at most."""
+    rows = requests.select("ord", "sentiment", "variety", F.explode("few_shot_texts").alias("text")).filter("text is not null").withColumn("text", X.clean_text("text")[0])
+    g = rows.groupBy("text").agg(F.count_distinct("sentiment").alias("cd"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.count_distinct("variety").alias("cv"))
+    return g.filter("cd <= 1").select("text", "ord", "n", (F.col("cv") > 1).alias("variety_conflict"))
+
+
 @r.query("SELECT (SELECT count(*) FROM (SELECT text FROM tweets WHERE split = 'train' INTERSECT SELECT text FROM tweets WHERE split <> 'train')) AS n_both, (SELECT count(*) FROM (SELECT text FROM tweets WHERE split <> 'train' EXCEPT SELECT text FROM tweets WHERE split = 'train')) AS n_new")
 def dedup_s02_set_operations(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "tweets").groupBy("text").agg(F.bool_or(F.col("split") == "train").alias("a"), F.bool_or(F.col("split") != "train").alias("b"))

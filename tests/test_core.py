@@ -276,3 +276,11 @@ def test_stream_equals_batch(spark, tmp_path):
     s = curation.curated(curation.arriving(spark, str(tmp_path / "in"), "ord long, text string, loaded_at timestamp"))
     curation.run_to(s.select("key"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"text {i}" for i in range(4)]
+
+
+def test_conflicts_at_later_places_count(spark):
+    from lexmill.plans.dedup import conflict_free
+
+    data = [(1, "POS", "a", ["x", "y http://a.example/1"]), (2, "NEG", "a", ["z", "x"]), (3, "POS", "b", ["y http://b.example/2"]), (4, "POS", "a", None), (5, None, "a", ["z", None])]
+    df = spark.createDataFrame(data, "ord long, sentiment string, variety string, few_shot_texts array<string>")
+    assert sorted(map(tuple, conflict_free(df).collect())) == [("y URL", 1, 2, True), ("z", 2, 2, False)]
