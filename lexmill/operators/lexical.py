@@ -99,3 +99,28 @@ def length_matched(df: DataFrame, by: str, ident: str, tokens: str, size: int, s
     cut = rows.withColumn("_b", before).filter(F.col("_b") < size).select(by, F.explode(F.slice(tokens, F.lit(1), F.least(n, F.lit(size) - F.col("_b")).cast("int"))).alias("w"))
     c = cut.groupBy(by, "w").agg(F.count("*").alias("c"))
     return c.groupBy(by).agg(F.sum("c").alias("tokens"), (F.count("*") / F.sum("c")).alias("ttr"), (F.count_if(F.col("c") == 1) / F.count("*")).alias("hapax"))
+
+
+def length_matched_mean(df: DataFrame, by: str, ident: str, tokens: str, size: int, seeds: int) -> DataFrame:
+    """(by, tokens, samples, ttr, distinct_2, hapax): means over ``seeds`` samples of exactly ``size`` tokens; nulls for groups of fewer.
+
+    Each sample is of whole texts in random order, the last one cut; bigrams are those inside texts. Only hash ranges that begin before
+    ``size`` tokens are ranked, so that no task sees a whole group.
+    """
+    n = F.size(tokens)
+    totals = df.groupBy(by).agg(F.sum(n).alias("tokens"))
+    seed = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))
+    rows = df.filter(n > 0).select(by, ident, tokens, seed.alias("_s")).withColumn("_h", F.sha2(F.concat_ws("|", F.col("_s").cast("string"), by, F.col(ident).cast("string")), 256)).withColumn("_r", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(by, "_s", "_r").agg(F.sum(n).alias("_n"))
+    start = F.coalesce(F.sum("_n").over(Window.partitionBy(by, "_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.withColumn("_start", start).filter(F.col("_start") < size).drop("_n")
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(by, "_s", "_r").orderBy("_h", ident).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(ranges, [by, "_s", "_r"]).withColumn("_b", F.col("_start") + inside).filter(F.col("_b") < size)
+    cut = placed.select(by, "_s", F.slice(tokens, F.lit(1), F.least(n, F.lit(size) - F.col("_b")).cast("int")).alias("_w"))
+    words = cut.select(by, "_s", F.explode("_w").alias("w")).groupBy(by, "_s", "w").agg(F.count("*").alias("c"))
+    words = words.groupBy(by, "_s").agg(F.sum("c").alias("t"), F.count("*").alias("u"), F.count_if(F.col("c") == 1).alias("h")).filter(F.col("t") == size)
+    pairs = ngram_rows(cut, [by, "_s"], "_w", 2).groupBy(by, "_s", "gram").agg(F.count("*").alias("c"))
+    pairs = pairs.groupBy(by, "_s").agg((F.count("*") / F.sum("c")).alias("d"))
+    each = words.join(pairs, [by, "_s"], "left")
+    means = each.groupBy(by).agg(F.count("*").alias("samples"), F.avg(F.col("u") / F.col("t")).alias("ttr"), F.avg(F.coalesce("d", F.lit(0.0))).alias("distinct_2"), F.avg(F.col("h") / F.col("t")).alias("hapax"))
+    return totals.join(means, by, "left").na.fill(0, ["samples"])

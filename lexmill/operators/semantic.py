@@ -174,7 +174,7 @@ def class_directions(df: DataFrame, label: str, vec: str = "embedding") -> DataF
     return normalised(rows.select(label, F.zip_with(mine, others, lambda x, y: x - y).alias("direction")), "direction")
 
 
-def kmeans(df: DataFrame, ident: str, k: int, seed: int = 1, tries: int = 3, vec: str = "embedding") -> tuple[DataFrame, list]:
+def kmeans(df: DataFrame, ident: str, k: int, seed: int = 1, tries: int = 10, vec: str = "embedding") -> tuple[DataFrame, list]:
     """((ident, cluster), centres) of the best of several k-means runs over unit vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

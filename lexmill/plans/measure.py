@@ -54,6 +54,15 @@ def measure_w16_length_matched(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(lexical.length_matched(rows, "dataset", "ord", "w", 1000, "s8"), "ttr", "hapax")
 
 
+@r.query(f"""WITH t AS (SELECT dataset, ord, {_tok('text')} AS w FROM quality_rows WHERE text IS NOT NULL), n AS (SELECT dataset, sum(len(w))::BIGINT AS tokens FROM t GROUP BY dataset), b AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY s, dataset ORDER BY sha256(concat_ws('|', s::VARCHAR, dataset, ord::VARCHAR)), ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM t, (SELECT unnest(range(30)) AS s) WHERE len(w) > 0),
+x AS (SELECT dataset, s, w[1:least(len(w), 5000 - b)] AS w FROM b WHERE b < 5000), c AS (SELECT dataset, s, w, count(*) AS c FROM (SELECT dataset, s, unnest(w) AS w FROM x) GROUP BY ALL), u AS (SELECT dataset, s, sum(c) AS t, count(*) AS u, count_if(c = 1) AS h FROM c GROUP BY ALL HAVING sum(c) = 5000),
+p AS (SELECT dataset, s, w[i] || chr(1) || w[i + 1] AS g FROM (SELECT dataset, s, w, unnest(range(1, len(w))) AS i FROM x)), d AS (SELECT dataset, s, count(DISTINCT g) / count(*) AS d FROM p GROUP BY ALL), m AS (SELECT dataset, count(*) AS samples, avg(u / t) AS ttr, avg(coalesce(d, 0)) AS distinct_2, avg(h / t) AS hapax FROM u LEFT JOIN d USING (dataset, s) GROUP BY dataset)
+SELECT dataset, tokens, coalesce(samples, 0) AS samples, round(ttr, 6) AS ttr, round(distinct_2, 6) AS distinct_2, round(hapax, 6) AS hapax FROM n LEFT JOIN m USING (dataset)""")
+def measure_w16_mean_of_30(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "quality_rows").filter("text is not null").select("dataset", "ord", X.tokenize("text").alias("w"))
+    return _rounded(lexical.length_matched_mean(rows, "dataset", "ord", "w", 5000, 30), "ttr", "distinct_2", "hapax")
+
+
 _PRED = "(SELECT q.generator, q.sentiment AS gold, q.controls.sentiment AS pred FROM synthetic q)"
 
 

@@ -175,6 +175,24 @@ def report_m05_topic_spread(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.effective_number(s, ["seed"], "cl").agg(F.round(F.avg("effective"), 6).alias("mean"), F.round(F.stddev_pop("effective"), 6).alias("std"), F.count("*").alias("n_seeds"))
 
 
+@r.query(f"WITH {_U}, {_SUM}, n AS (SELECT u.vec_id, arg_max(cc.label, round(list_dot_product(v, c), 12)) AS cl FROM u, cc GROUP BY u.vec_id), sm AS (SELECT seed, vec_id, row_number() OVER (PARTITION BY seed ORDER BY sha256(concat_ws('|', seed::VARCHAR, vec_id::VARCHAR)), vec_id) AS rn FROM u, (SELECT unnest(range(10)) AS seed)), x AS (SELECT seed, cl, count(*) AS k FROM sm JOIN n USING (vec_id) WHERE rn <= 800 GROUP BY ALL), e AS (SELECT seed, exp(-sum(k / t * ln(k / t))) AS eff FROM (SELECT *, sum(k) OVER (PARTITION BY seed) AS t FROM x) GROUP BY seed), m AS (SELECT avg(eff) AS mean, stddev_pop(eff) AS std, count(*) AS n_seeds FROM e), g AS (SELECT cl AS topic, count(*) AS n FROM n GROUP BY cl) SELECT topic, n, round(n / sum(n) OVER (), 6) AS share, round(mean, 6) AS mean, round(std, 6) AS std, n_seeds FROM g, m")
+def report_m05_topic_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each topic and the effective number of topics over ten samples of 800; all topics have a name here."""
+    v = table(spark, sf, "embeddings")
+    near = semantic.nearest_centre(v, semantic.centroids(v, "label"), "vec_id", "label").select("vec_id", F.col("label").alias("cl"))
+    return topic_spread(near)
+
+
+def topic_spread(near: DataFrame, sample: int = 800, repeats: int = 10) -> DataFrame:
+    """(topic, n, share, mean, std, n_seeds) of (vec_id, cl): shares over all rows, effective number over samples of ``sample`` rows or all."""
+    rows = near.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    s = S.ranked(rows, ["seed"], F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("vec_id").cast("string")), 256), "vec_id").filter(F.col("rn") <= sample)
+    spread = metrics.effective_number(s, ["seed"], "cl").agg(F.round(F.avg("effective"), 6).alias("mean"), F.round(F.stddev_pop("effective"), 6).alias("std"), F.count("*").alias("n_seeds"))
+    g = near.groupBy(F.col("cl").alias("topic")).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("all"))
+    return g.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(spread)).select("topic", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"), "mean", "std", "n_seeds")
+
+
 @r.query(f"WITH {_U}, f AS (SELECT vec_id, label, v, (row_number() OVER (ORDER BY sha256(concat_ws('|', 's10', vec_id::VARCHAR)), vec_id) - 1) % 3 AS fold FROM u), l AS (SELECT g.fold, f.label, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM f JOIN (SELECT unnest(range(3)) AS fold) g ON g.fold <> f.fold), s AS (SELECT fold, label, d, sum(x) AS s FROM l GROUP BY ALL), c AS (SELECT fold, label, list(s ORDER BY d) AS s FROM s GROUP BY ALL), cc AS (SELECT fold, label, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c FROM c), p AS (SELECT f.fold, f.vec_id, any_value(f.label) AS gold, arg_max(cc.label, round(list_dot_product(v, c), 12)) AS pred FROM f JOIN cc ON cc.fold = f.fold GROUP BY f.fold, f.vec_id) SELECT fold, count(*) AS n, round(count_if(gold = pred) / count(*), 6) AS accuracy FROM p GROUP BY fold")
 def report_m14_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validated: the vectors of a fold go to the nearest class centre of the other folds."""

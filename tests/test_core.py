@@ -284,3 +284,33 @@ def test_conflicts_at_later_places_count(spark):
     data = [(1, "POS", "a", ["x", "y http://a.example/1"]), (2, "NEG", "a", ["z", "x"]), (3, "POS", "b", ["y http://b.example/2"]), (4, "POS", "a", None), (5, None, "a", ["z", None])]
     df = spark.createDataFrame(data, "ord long, sentiment string, variety string, few_shot_texts array<string>")
     assert sorted(map(tuple, conflict_free(df).collect())) == [("y URL", 1, 2, True), ("z", 2, 2, False)]
+
+
+def test_length_matched_means_equal_a_literal_version(spark):
+    from collections import Counter
+    from hashlib import sha256
+
+    data = [("a", i, [f"w{(i * j) % 37}" for j in range(i % 9)]) for i in range(60)] + [("b", 1, ["x", "y"])]
+    got = {r.dataset: r for r in lexical.length_matched_mean(spark.createDataFrame(data, "dataset string, ord long, w array<string>"), "dataset", "ord", "w", 50, 4).collect()}
+    ttr, d2, hapax = [], [], []
+    for seed in range(4):
+        words, pairs = [], []
+        for _, _, w in sorted((sha256(f"{seed}|a|{i}".encode()).hexdigest(), i, w) for g, i, w in data if g == "a"):
+            w = w[: 50 - len(words)]
+            words, pairs = words + w, pairs + list(zip(w, w[1:]))
+        ttr, d2, hapax = [*ttr, len(set(words)) / 50], [*d2, len(set(pairs)) / len(pairs)], [*hapax, sum(c == 1 for c in Counter(words).values()) / 50]
+    assert (got["a"].samples, got["b"].samples, got["b"].ttr, got["b"].tokens) == (4, 0, None, 2)
+    assert [got["a"][k] for k in ("ttr", "distinct_2", "hapax")] == pytest.approx([sum(x) / 4 for x in (ttr, d2, hapax)])
+
+
+def test_topic_spread_gives_shares_and_all_seeds(spark):
+    from lexmill.plans.reports import topic_spread
+
+    near = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(40)], "vec_id long, cl string")
+    assert {(r.topic, r.n, r.share, r.std, r.n_seeds) for r in topic_spread(near).collect()} == {("a", 30, 0.75, 0.0, 10), ("b", 10, 0.25, 0.0, 10)}
+
+
+def test_kmeans_starts_ten_times():
+    import inspect
+
+    assert inspect.signature(semantic.kmeans).parameters["tries"].default == 10
