@@ -1,12 +1,14 @@
 """Problem 4: evaluation texts leaking into training text, by rare n-gram seeds and Smith-Waterman alignment.
 
 Of each stretch of RUN words of an item the SEED-gram that is rarest in the corpus is a seed, and those nearly as rare, so that
-whatever holds the stretch holds a seed. Seeds bring items and passages together; each candidate pair is aligned word by word. Passages of one text are
+whatever holds the stretch holds a seed. For edited copies every SEED-gram of an item is a seed, however frequent. Seeds bring items and passages together; each candidate pair is aligned word by word. Passages of one text are
 aligned once, whatever number of records hold them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +20,8 @@ from lexmill.session import durable
 
 SEED = 4
 RUN = 8
-NEARLY = 10  # a gram this many times as frequent as the rarest of its stretch is a seed too, for the sake of edited copies
+NEARLY = 10  # a gram this many times as frequent as the rarest of its stretch is a seed too
+EDITED = 0.7  # of an item's words at least stand in an edited copy
 MATCH, OTHER, GAP = 2, -1, -1
 BROADCAST_GRAMS = 200_000  # rows of 12 bytes and a little more: some MB
 
@@ -56,11 +59,13 @@ def _grams(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "words", F.explode(starts).alias("at")).select(*keys, "at", F.xxhash64(F.slice("words", F.col("at"), F.lit(SEED))).alias("gram"))
 
 
-def leaks(passages: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(passages: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", edited: bool = True) -> DataFrame:
     """(tbl, ord, item_id, score, matched, run, n_item) of records whose passage shares a seed with an item, the best passage each.
 
     ``passages`` has (tbl, ord, text), several rows a record where it holds several texts. Null and empty texts, and items of fewer
     than RUN words, share nothing; repeated rows and items each count; no table is limited in size, columns besides are not read.
+    Pairs that share a common gram only are left out where they hold fewer than EDITED of the item's words, in any order, as no
+    alignment could match enough then; without ``edited``, all pairs that share a common gram only are.
     """
     its = durable(items.select(F.col(item_id).alias("item_id"), wording.words(text).alias("words")).filter(F.size("words") >= RUN))
     item_grams = durable(_grams(its, "item_id"))
@@ -78,10 +83,20 @@ def leaks(passages: DataFrame, items: DataFrame, item_id: str = "item_id", text:
     known = known.withColumn("last", last).withColumn("rarest", F.min("df").over(stretch))
     known = known.withColumn("rarest", F.max(F.when(F.col("at") + RUN - SEED <= F.col("last"), F.col("rarest"))).over(around))
     seeds = known.filter(F.col("df") <= NEARLY * F.col("rarest") + NEARLY).select("item_id", "gram").distinct()
-    pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram").select("t", "item_id").distinct()
+    pairs = hits.join(F.broadcast(seeds) if small else seeds, "gram").select("t", "item_id", F.lit(True).alias("rare")).distinct()
+    if edited:
+        every = item_grams.select("item_id", "gram").distinct()
+        shared = hits.join(F.broadcast(every) if small else every, "gram").select("t", "item_id", F.lit(False).alias("rare"))
+        pairs = shared.unionByName(pairs).groupBy("t", "item_id").agg(F.max("rare").alias("rare"))
     texts_of = rows.select("t", "text").join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
     both = pairs.join(texts_of.select("t", wording.words("text").alias("wa")), "t").join(its.select("item_id", F.col("words").alias("wi")), "item_id")
 
+    def possible(batches):
+        for b in batches:
+            yield b[[bool(r) or sum((Counter(x) & Counter(y)).values()) >= EDITED * len(x) for r, x, y in zip(b["rare"], b["wi"], b["wa"])]]
+
+    both = both.mapInPandas(possible, both.schema) if edited else both
+
     def aligned(batches):
         for b in batches:
             found = [align(list(x), list(y)) for x, y in zip(b["wi"], b["wa"])]
@@ -100,5 +115,5 @@ def leaks(passages: DataFrame, items: DataFrame, item_id: str = "item_id", text:
 
 def verdicts(found: DataFrame) -> DataFrame:
     """Leaks with their kind: ``run`` (RUN words in a row), ``edited`` (most of the item, changed); others are left out."""
-    edited = (F.col("matched") >= 0.7 * F.col("n_item")) & (F.col("score") >= F.col("n_item"))
+    edited = (F.col("matched") >= EDITED * F.col("n_item")) & (F.col("score") >= F.col("n_item"))
     return found.withColumn("kind", F.when(F.col("run") >= RUN, "run").when(edited, "edited")).filter("kind is not null")

@@ -49,18 +49,18 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.with_form(table(spark, sf, "tweets").select("ord", "text")).select("ord", "form")
 
 
-def _p4(spark: SparkSession, sf: str) -> DataFrame:
+def _p4(spark: SparkSession, sf: str, edited: bool) -> DataFrame:
     train = table(spark, sf, "quality_rows").filter("split = 'train'").select(F.lit("quality_rows").alias("tbl"), "ord", "text")
     shots = table(spark, sf, "requests").select(F.lit("requests").alias("tbl"), "ord", F.explode("few_shot_texts").alias("text"))
-    return leakage.leaks(train.unionByName(shots), table(spark, sf, "eval_items"))
+    return leakage.leaks(train.unionByName(shots), table(spark, sf, "eval_items"), edited=edited)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _p4(spark, sf).filter(F.col("run") >= leakage.RUN).select("item_id", "tbl", "ord")
+    return _p4(spark, sf, edited=False).filter(F.col("run") >= leakage.RUN).select("item_id", "tbl", "ord")
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.verdicts(_p4(spark, sf))
+    return leakage.verdicts(_p4(spark, sf, edited=True))
 
 
 def _p5(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

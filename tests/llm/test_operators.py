@@ -140,6 +140,14 @@ def test_leaks(spark):
     assert leakage.leaks(spark.createDataFrame([], "tbl string, ord long, text string"), items).count() == 0
 
 
+def test_edited_copies_that_share_frequent_grams_only(spark):
+    item = "one two three four five six seven eight nine ten"
+    copy = "one two three four five other seven eight nine other"  # its grams are frequent, the item's last one is rare
+    data = [("a", 1, copy), ("a", 2, "so seven eight nine ten it goes on")] + [("b", i, f"x{'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i // 26 + 1)} one two three four five and so on") for i in range(60)]
+    out = leakage.leaks(spark.createDataFrame(data, "tbl string, ord long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.tbl, r.ord, r.kind) for r in leakage.verdicts(out).collect()} == {("a", 1, "edited")}
+
+
 def test_align():
     assert leakage.align(list("abcdef"), list("xxabcdefyy")) == (12, 6, 6)
     assert leakage.align(list("abcdef"), list("abcxdef"))[1:] == (6, 3) and leakage.align([], ["a"]) == (0, 0, 0)
