@@ -24,7 +24,6 @@ from lexmill.session import durable
 
 KEPT_SHARE = 1 / 20_000  # words with this share of a role's counts or more are kept with their counts in all roles: at most 20,000 a role
 USUAL_WORDS = 11.0
-REACH = 64  # places where a sentence could end but doesn't, at most, inside one span
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 OPEN, CLOSE = "«“「『‘（([【《", "»”」』’）)]】》"
@@ -40,6 +39,7 @@ _LINE = regex.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _WORD = re.compile(r"[^\W_](?:[\w'’‌̀-ًͯ-ٰٟ]|\.(?=[^\W_]))*")
 _ANY_WORD = regex.compile(rf"[{CJK}]{{1,2}}|[฀-๿]{{1,4}}|[[\p{{L}}\p{{M}}\p{{N}}]--[{CJK}฀-๿]](?:[[\p{{L}}\p{{M}}\p{{N}}'’‌]--[{CJK}฀-๿]]|\.(?=[\p{{L}}\p{{N}}]))*", regex.V1)
 _TRIM = " \t   　​"
+_BLANK = re.compile(f"[{_TRIM}]*")
 _AFTER_WORD = frozenset(".!?؟…۔。！？»”\"(«“")
 
 
@@ -168,31 +168,38 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
     ends = [*(p[0] for p in places), len(line)]
     at_words = [0, *(bisect_left(begins, b) for b in ends)]
     spans_quotes = [[q for q in quotes if a <= q[0] < b] for a, b in zip(starts, ends)]
+    firsts = [line[(e := _BLANK.match(line, a).end()) : e + 1] for a in starts]
     best, back = [0.0] + [-1e18] * (n + 1), [0] * (n + 2)
+    most = [0.0] * (n + 2)  # the largest of best so far
     for j in range(1, n + 2):
-        depth: list = []
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            depth = spans_quotes[i] + depth
-            stack: list = []
-            open_ = 0
-            for place, opens, ch in depth:
-                if opens:
-                    stack.append((place, ch))
-                elif stack and (ch == '"' or stack[-1][1] == PAIRS.get(ch)):
-                    last = stack.pop()
-                else:
-                    open_ += 1
-            s = best[i] - 8.0 * (open_ + len(stack))
+        free: list = []  # closing quotes that meet no open one, the first one last
+        lost = 0  # other quotes without a partner
+        for i in range(j - 1, -1, -1):
             k = max(1, at_words[j] - at_words[i])
-            s -= 0.35 * (log(k / USUAL_WORDS) ** 2)
+            length = 0.35 * (log(k / USUAL_WORDS) ** 2)
+            if k >= USUAL_WORDS and most[i] - length + (gain[j - 1] if j <= n else 0.0) + 1.0 < best[j] - 1e-9:
+                break  # longer spans cost more and begin no better
+            for _, opens, ch in reversed(spans_quotes[i]):
+                if not opens:
+                    free.append(ch)
+                    continue
+                while free:
+                    c = free.pop()
+                    if c == '"' or ch == PAIRS.get(c):
+                        break
+                    lost += 1
+                else:
+                    lost += 1
+            odd = lost + len(free)
+            s = best[i] - 8.0 * odd - length
             if j <= n:
                 s += gain[j - 1]
                 close = places[j - 1][3].rstrip("+")
-                if close and not open_ and not stack:
-                    body = line[starts[i] : ends[j - 1]].lstrip(_TRIM)
-                    s += 1.0 if body[:1] in OPEN or body[:1] == "\"" else -6.0
+                if close and not odd:
+                    s += 1.0 if firsts[i] and (firsts[i] in OPEN or firsts[i] == "\"") else -6.0
             if s > best[j]:
                 best[j], back[j] = s, i
+        most[j] = max(most[j - 1], best[j])
     out, j = [], n + 1
     while j > 0:
         i = back[j]

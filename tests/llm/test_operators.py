@@ -297,6 +297,11 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentences_of(text, WORDS)] == want
 
 
+def test_a_line_of_many_initials_is_one_sentence():
+    text = "By " + "A. " * 100 + "and others."
+    assert [text[a:b] for a, b in sentences.sentences_of(text, WORDS)] == [text]
+
+
 def test_sentences_counts_of_a_kept_word_are_whole(spark):
     counts = spark.createDataFrame([("dot", "end", 10), ("plain", "end", 40), ("inside", "end", 10), ("plain", "other", 1_000_000), ("in", "rare", 1), ("in", "often", 1_000_000)], "role string, word string, n long")
     totals = {"dot": 10, "plain": 1_000_040, "inside": 10, "in": 1_000_001}
