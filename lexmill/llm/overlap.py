@@ -1,17 +1,19 @@
 """Problem 1: same or near-same records across splits, by a weighted cosine join.
 
-A text is a vector of terms, a term being a word and the number of its occurrence in the text, weighted from 1 (common words) to
-``MAX_WEIGHT`` (rare ones). Two texts belong together if at most one word in ``ONE_IN`` of the longer is added, missing, changed or
-moved; then their dot product is at least (1 - 1/ONE_IN) x the longer length, so that this bound, divided by the norms, is the
-cosine each pair must reach. Inverted lists hold only the terms before the point where the squared norm of the rest plus the
-``k - 1`` largest weights can no longer reach the bound (residual-norm and maximum-weight pruning); they are keyed by ``k`` terms
-together, so that lists stay short where words are common. Nothing is lost: a pair that reaches the bound shares ``k`` listed terms.
+A text is a vector of terms, a term being a word and the number of its occurrence in the text, weighted by the word's inverse
+document frequency. Two texts belong together if at most one word in ``ONE_IN`` of the longer is added, missing, changed or moved.
+So a text of n words lacks at most n / ONE_IN of its terms in its partner, and the dot product is at least its squared norm less
+its heaviest n / ONE_IN squared weights: the bound that each text sets. Inverted lists hold only the terms before the point where
+the squared norm of the rest plus the largest weights of ``k - 1`` listed ones can no longer reach the bound (residual-norm and
+maximum-weight pruning); they are keyed by ``k`` terms together, so that lists stay short where words are common. Nothing is lost:
+in the common order of terms, heaviest first, the first ``k`` shared terms of a pair are listed for both of its texts.
 
 Texts of one wording are one class; only classes are compared, and copies are expanded only where pairs of rows are asked for.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -23,55 +25,74 @@ from pyspark.sql import functions as F
 from lexmill.llm import wording
 from lexmill.session import durable
 
-MAX_WEIGHT = 1.1
 ONE_IN = 5
-FREQUENT_SHARE = 1 / 20_000  # words with this share of all words or more: at most 20,000, whatever the data
+FREQUENT_SHARE = 1 / 20_000  # words in this share of all texts or more, a text counting as often as it has words: at most 20,000, whatever the data
+KNOWN_WORDS = 500_000  # terms that a worker keeps between texts
 
 
 def terms_together(length: int) -> int:
-    """How many terms key an inverted list, for pairs whose longer text has ``length`` words."""
+    """How many terms key an inverted list, for pairs whose longer text has ``length`` words: as many as keep the keys of a text few."""
     return 3 if length <= 40 else 2 if length <= 100 else 1
 
 
-def frequent_words(classes: DataFrame) -> dict[str, float]:
-    """The weights of the frequent words; of proven size, as no more than 1 / FREQUENT_SHARE words can have that share each."""
-    counts = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = classes.agg(F.sum("n_words")).first()[0] or 0
-    rows = counts.filter(F.col("n") >= max(2.0, total * FREQUENT_SHARE)).collect()
-    if not rows:
-        return {}
-    top, low = np.log(max(r.n for r in rows) + 1), np.log(max(2.0, total * FREQUENT_SHARE))
-    return {r.word: 1 + (MAX_WEIGHT - 1) * float(min(1.0, max(0.0, (top - np.log(r.n)) / max(top - low, 1e-9)))) for r in rows}
-
-
-def _terms(words: list[str], weights: dict[str, float]) -> list[tuple[float, int, float]]:
-    """(order, hash, squared weight) of each term, rarest first."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in words:
-        n = seen[w] = seen.get(w, 0) + 1
-        weight = weights.get(w, MAX_WEIGHT)
-        out.append((-weight if w in weights else -2.0, xxhash.xxh3_64_intdigest(f"{w}\0{n}"), weight * weight))
-    out.sort()
-    return out
-
-
-def _keys_of(words: list[str], weights: dict[str, float]) -> set[int]:
-    n = len(words)
-    if n < ONE_IN - 1:
-        return set()
-    terms, need = _terms(words, weights), (1 - 1 / ONE_IN) * max(n, ONE_IN)
-    keys: set[int] = set()
-    for k in {terms_together(n), terms_together(n * ONE_IN // (ONE_IN - 1))}:
-        rest, listed = 0.0, n
-        for i in range(n - 1, -1, -1):
-            rest += terms[i][2]
-            if rest + (k - 1) * MAX_WEIGHT**2 >= need - 1e-9:
-                break
-            listed = i
-        for c in combinations(sorted(t[1] for t in terms[:listed]), k):
-            keys.add(xxhash.xxh3_64_intdigest(np.array(c, dtype=np.uint64).tobytes(), seed=k))
-    return keys
+def frequent_words(classes: DataFrame) -> tuple[dict[str, float], float]:
+    """The weights of the frequent words and that of all others; of proven size, as no more than 1 / FREQUENT_SHARE words can have that share each."""
+    n, total = classes.agg(F.count("*"), F.sum("n_words")).first()
+    least = max(2.0, (total or 0) * FREQUENT_SHARE)
+    counts = classes.select(F.explode(F.array_distinct(F.split("wording", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    idf = lambda df: float(np.log1p(n / df))
+    return {r.word: idf(r.n) for r in counts.filter(F.col("n") >= least).collect()}, idf(least) if n else 1.0
+
+
+class Terms:
+    """The terms of texts, heaviest first."""
+
+    def __init__(self, weights: tuple[dict[str, float], float]):
+        self.weights, self.rest = weights
+        self.known: dict[str, tuple[float, int]] = {}
+
+    def of(self, words: list[str]) -> list[tuple[float, int]]:
+        """(-weight, hash) of each term, in the common order."""
+        seen: dict[str, int] = {}
+        out = []
+        for w in words:
+            t = self.known.get(w)
+            if t is None:
+                if len(self.known) > KNOWN_WORDS:
+                    self.known.clear()
+                t = self.known[w] = (-self.weights.get(w, self.rest), xxhash.xxh3_64_intdigest(w))
+            n = seen.get(w, 0)
+            seen[w] = n + 1
+            out.append((t[0], (t[1] + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) if n else t)
+        out.sort()
+        return out
+
+
+def listed(terms: list[tuple[float, int]], k: int) -> int:
+    """How many of the terms an inverted list of ``k`` terms together has to hold."""
+    missing = len(terms) // ONE_IN
+    rest = sum(w * w for w, _ in terms)
+    need = rest - sum(w * w for w, _ in terms[:missing])
+    for i, (w, _) in enumerate(terms):
+        if rest < need - 1e-9 * rest:  # what is left can't reach the bound; with k - 1 listed ones besides it still could
+            return min(len(terms), i + k - 1)
+        rest -= w * w
+    return len(terms)
+
+
+@cache
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64)
+
+
+def keys_of(terms: np.ndarray, k: int) -> np.ndarray:
+    """[texts, choices]: a key for each choice of ``k`` of the listed terms, texts having equally many."""
+    chosen = np.sort(terms, axis=1)[:, _choices(terms.shape[1], k)]
+    key = np.full(chosen.shape[:2], k, dtype=np.uint64)
+    for j in range(k):
+        key = (key ^ chosen[:, :, j]) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -94,10 +115,10 @@ def same_wording(a: list[str], b: list[str]) -> bool:
 
 
 def records(df: DataFrame, text: str = "text", split: str = "split", source: str = "source", ident: str = "ord") -> DataFrame:
-    """(ord, is_train, split, source, cls_key, words) of the rows with a wording, of the splits train, dev and test."""
-    rows = df.select(F.col(ident).alias("ord"), F.col(split).alias("split"), F.col(source).alias("source"), wording.words(text).alias("words"))
-    rows = rows.filter(F.col("split").isin("train", "dev", "test") & (F.size("words") > 0))
-    return rows.select("ord", (F.col("split") == "train").alias("is_train"), "split", "source", F.md5(F.concat_ws(" ", "words")).alias("cls_key"), "words")
+    """(ord, is_train, split, source, cls_key, wording) of the rows with a wording, of the splits train, dev and test."""
+    rows = df.filter(F.col(split).isin("train", "dev", "test") & F.col(text).isNotNull())
+    rows = rows.select(F.col(ident).alias("ord"), (F.col(split) == "train").alias("is_train"), F.col(split).alias("split"), F.col(source).alias("source"), wording.joined(text).alias("wording"))
+    return rows.filter("wording <> ''").select("ord", "is_train", "split", "source", F.md5("wording").alias("cls_key"), "wording")
 
 
 def class_links(df: DataFrame, text: str = "text", split: str = "split", source: str = "source", ident: str = "ord") -> tuple[DataFrame, DataFrame]:
@@ -110,44 +131,52 @@ def class_links(df: DataFrame, text: str = "text", split: str = "split", source:
     members = rows.select("ord", "is_train", "split", "source", "cls_key")
     classes = durable(
         rows.groupBy("cls_key").agg(
-            F.min("ord").alias("cls"), F.first("words").alias("words"), F.bool_or("is_train").alias("in_train"), F.bool_or(~F.col("is_train")).alias("in_eval")
-        ).withColumn("n_words", F.size("words"))
+            F.min("ord").alias("cls"), F.min("wording").alias("wording"), F.bool_or("is_train").alias("in_train"), F.bool_or(~F.col("is_train")).alias("in_eval")
+        ).withColumn("n_words", F.size(F.split("wording", " ")))
     )
     weights = df.sparkSession.sparkContext.broadcast(frequent_words(classes))
 
     def lists(batches):
+        terms = Terms(weights.value)
         for b in batches:
-            cls, key, where = [], [], []
-            for i, (c, w) in enumerate(zip(b["cls"], b["words"])):
-                found = _keys_of(list(w), weights.value)
-                cls += [c] * len(found)
-                key += found
-                where += [i] * len(found)
-            out = b[["in_train", "in_eval", "n_words"]].iloc[where].reset_index(drop=True)
-            out["cls"], out["key"] = np.array(cls, dtype=np.int64), np.array(key, dtype=np.uint64).view(np.int64)
-            yield out
+            by: dict[tuple[int, int], list[tuple[int, list[int]]]] = {}
+            for i, text in enumerate(b["wording"]):
+                own = terms.of(text.split(" "))
+                n = len(own)
+                if n >= ONE_IN - 1:
+                    for k in {terms_together(n), terms_together(n * ONE_IN // (ONE_IN - 1))}:
+                        m = listed(own, k)
+                        by.setdefault((m, k), []).append((i, [t[1] for t in own[:m]]))
+            for (_, k), some in by.items():
+                keys = keys_of(np.array([t for _, t in some], dtype=np.uint64), k)
+                at = np.repeat(np.array([i for i, _ in some], dtype=np.int64), keys.shape[1])
+                yield pd.DataFrame({"key": keys.ravel(), "cls": b["cls"].to_numpy()[at], "n_words": b["n_words"].to_numpy()[at]})
+
+    def postings(side: str, cls: str, n: str) -> DataFrame:
+        return classes.filter(side).select("cls", "wording", "n_words").mapInPandas(lists, "key long, cls long, n_words int").toDF("key", cls, n)
 
-    postings = classes.select("cls", "words", "in_train", "in_eval", "n_words").repartition("cls").mapInPandas(lists, "in_train boolean, in_eval boolean, n_words int, cls long, key long")
-    postings = durable(postings)
-    ev = postings.filter("in_eval").select("key", F.col("cls").alias("a"), F.col("n_words").alias("na"))
-    tr = postings.filter("in_train").select("key", F.col("cls").alias("b"), F.col("n_words").alias("nb"))
     fits = (F.least("na", "nb") * ONE_IN >= F.greatest("na", "nb") * (ONE_IN - 1)) & (F.col("a") != F.col("b"))
-    pairs = ev.join(tr, "key").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    text_of = classes.select("cls", "words")
-    both = pairs.join(text_of.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(text_of.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
+    pairs = postings("in_eval", "a", "na").join(postings("in_train", "b", "nb"), "key").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    text_of = classes.select("cls", "wording")
+    both = pairs.join(text_of.toDF("a", "wa"), "a").join(text_of.toDF("b", "wb"), "b")
 
     def exact(batches):
+        terms = Terms(weights.value)
         for b in batches:
             keep, cosine, edits = [], [], []
-            for i, (wa, wb) in enumerate(zip(b["wa"], b["wb"])):
-                ta, tb = ({t[1]: t[2] for t in _terms(list(w), weights.value)} for w in (wa, wb))
-                dot, longer = sum(v for t, v in ta.items() if t in tb), max(len(wa), len(wb))
-                if dot < (1 - 1 / ONE_IN) * longer - 1e-6:
+            for i, (x, y) in enumerate(zip(b["wa"], b["wb"])):
+                wa, wb = x.split(" "), y.split(" ")
+                ta, tb = terms.of(wa), terms.of(wb)
+                na, nb = sum(w * w for w, _ in ta), sum(w * w for w, _ in tb)
+                in_b = {t for _, t in tb}
+                dot = sum(w * w for w, t in ta if t in in_b)
+                if dot < max(na - sum(w * w for w, _ in ta[: len(ta) // ONE_IN]), nb - sum(w * w for w, _ in tb[: len(tb) // ONE_IN])) - 1e-6:
                     continue
-                changed = longer - common_words(list(wa), list(wb))
+                longer = max(len(wa), len(wb))
+                changed = longer - common_words(wa, wb)
                 if changed * ONE_IN <= longer:
                     keep.append(i)
-                    cosine.append(dot / (sum(ta.values()) * sum(tb.values())) ** 0.5)
+                    cosine.append(dot / (na * nb) ** 0.5)
                     edits.append(changed)
             out = b[["a", "b"]].iloc[keep].reset_index(drop=True)
             out["cosine"], out["edits"] = np.array(cosine, dtype=float), np.array(edits, dtype=np.int32)
