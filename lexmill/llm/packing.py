@@ -13,8 +13,8 @@ from bisect import bisect_right
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lexmill.operators import ranks
 from lexmill.session import durable
 
 SHARD_WINDOWS = 2000  # windows a shard fills; its documents' sizes are held by one task
@@ -52,26 +52,41 @@ def fill(items: list[tuple[int, object]], sources: list[str], shares: dict[str,
     return placed
 
 
-def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", source: str = "source", size: str = "n_tokens") -> DataFrame:
-    """(doc_id, source, piece, n_pieces, first_token, n_tokens, shard, window): the window of each document or, where it exceeds the capacity, of each of its pieces.
+def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", source: str = "source", size: str = "n_tokens", targets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, piece, n_pieces, first_token, n_tokens, shard, window, mixed): the window of each document or, where it exceeds the capacity, of each of its pieces.
 
-    Pieces of a too large document are ``capacity`` tokens long but for the last. Documents without tokens fill no window and have
-    no row; a null source is a source; repeated rows are packed each; an empty table gives no rows.
+    Pieces of a too large document are ``capacity`` tokens long but for the last. Windows hold the sources in the proportions of the
+    data or, with ``targets`` (source, target_share), in those. With targets, as much of each source as the scarcest one allows goes
+    into windows of the target proportions (``mixed``); what is left fills windows of its own, in the proportions of what is left.
+    Sources without a target are left over as a whole. Documents without tokens fill no window and have no row; a null source is a
+    source; repeated rows are packed each; an empty table gives no rows.
     """
     docs = sizes.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(size).cast("long").alias("size")).filter("size > 0")
     docs = durable(docs)
-    total = docs.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, round(total / (SHARD_WINDOWS * capacity)))
     n = F.ceil(F.col("size") / capacity).cast("int")
+    cap = F.lit(capacity).cast("long")
     items = docs.withColumn("n_pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-    items = items.select("doc_id", "source", "piece", "n_pieces", (F.col("piece") * F.lit(capacity).cast("long")).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * F.lit(capacity).cast("long")).alias("n_tokens"))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    per = items.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    of_all = per.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
-    per_shard = per.groupBy("shard").agg(F.sum("n").alias("all"))
-    per_shard = per_shard.withColumn("earlier", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    owed = per.withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).join(of_all, "source").join(per_shard, "shard")
+    items = items.select("doc_id", "source", "piece", "n_pieces", (F.col("piece") * cap).alias("first_token"), F.least(cap, F.col("size") - F.col("piece") * cap).alias("n_tokens"))
+    have = docs.groupBy("source").agg(F.sum("size").alias("have"))
+    if targets is None:
+        parts = have.select("source", "have", F.lit(1.0).alias("part"))
+    else:
+        goal = targets.filter("target_share > 0").select(F.coalesce("source", F.lit("")).alias("source"), "target_share")
+        both = have.join(goal, "source", "full")
+        room = both.filter("target_share is not null").agg(F.min(F.coalesce("have", F.lit(0)) / F.col("target_share"))).first()[0] or 0.0
+        parts = both.filter("have is not null").select("source", "have", F.coalesce(F.col("target_share") * F.lit(float(room)) / F.col("have"), F.lit(0.0)).alias("part"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "piece"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    items = items.join(parts, "source").withColumn("mixed", part < F.col("part")).drop("part", "have")
+    totals = {r.mixed: r.n for r in items.groupBy("mixed").agg(F.sum("n_tokens").alias("n")).collect()}
+    shards = {m: max(1, round(t / (SHARD_WINDOWS * capacity))) for m, t in totals.items()}
+    first, all_first, all_rest = shards.get(True, 0), float(max(totals.get(True, 0), 1)), float(max(totals.get(False, 0), 1))
+    h = F.xxhash64("doc_id", "piece")
+    items = items.withColumn("shard", F.when(F.col("mixed"), F.pmod(h, F.lit(max(1, first)))).otherwise(first + F.pmod(h, F.lit(max(1, shards.get(False, 1))))).cast("int"))
+    items = durable(items)
+    per = items.groupBy("mixed", "shard", "source").agg(F.sum("n_tokens").alias("n"))
+    of_all = per.groupBy("mixed", "source").agg((F.sum("n") / F.when(F.col("mixed"), F.lit(all_first)).otherwise(F.lit(all_rest))).alias("share"))
+    earlier = ranks.totals_before(per.groupBy("mixed", "shard").agg(F.sum("n").alias("all")), ["mixed"], "shard", "all", "earlier").select("shard", "earlier")
+    owed = ranks.totals_before(per, ["mixed", "source"], "shard", "n", "had").join(of_all, ["mixed", "source"]).join(earlier, "shard")
     owed = owed.select("shard", "source", "share", (F.col("share") * F.col("earlier") - F.col("had")).alias("owed"))
 
     rows = items.join(owed, ["shard", "source"])
@@ -82,11 +97,16 @@ def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", source: str = "
         where = fill(list(zip(rows["n_tokens"], rows["doc_id"])), list(rows["source"]), dict(zip(first["source"], first["share"])), dict(zip(first["source"], first["owed"])), capacity)
         return rows.drop(columns=["share", "owed"]).assign(window=where)
 
-    cols = "doc_id long, source string, piece int, n_pieces int, first_token long, n_tokens long, shard int, window int"
+    cols = "doc_id long, source string, piece int, n_pieces int, first_token long, n_tokens long, shard int, window int, mixed boolean"
     names = [c.split()[0] for c in cols.split(", ")]
     return rows.groupBy("shard").applyInPandas(lambda rows: packed(rows)[names], cols)
 
 
+def split_documents(packed: DataFrame) -> DataFrame:
+    """(doc_id): the documents of which several pieces were placed."""
+    return packed.groupBy("doc_id").agg(F.count_distinct("piece").alias("n")).filter("n > 1").select("doc_id")
+
+
 def waste(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: windows, tokens, and the share of their room that stays empty."""
     per = packed.groupBy("shard", "window").agg(F.sum("n_tokens").alias("n"))

@@ -2,8 +2,8 @@
 
 Every record gets the priority (rank - 0.5) / target, its rank being its place in a random order of its category; records within a
 category's floor come first, and the records of smallest priority are kept. As the records kept of a category are its first ones,
-counts alone tell how many: the smallest priorities are found from one count a category, and no order over all rows is needed. The
-rank itself comes from counts of hash ranges, so that a category that holds most rows is ranked in many tasks.
+counts alone tell how many: the smallest priorities are found from the last rank of each category, and no order over all rows is
+needed. The rank itself comes from counts of hash ranges, so that a category that holds most rows is ranked in many tasks.
 """
 
 from __future__ import annotations
@@ -13,13 +13,10 @@ from math import floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from lexmill.operators import ranks
 from lexmill.session import durable
 
-RANGES = 4096
-MOST_CATEGORIES = 100_000
-
 
 def seats(available: list[int], targets: list[float], floors: list[int], size: int) -> list[int]:
     """How many records of each category are among the ``size`` of smallest priority, floors first; ties go to the earlier category."""
@@ -46,30 +43,26 @@ def proportional_sample(df: DataFrame, targets: DataFrame, by: list[str], ident:
     """(sample, report) of ``df``.
 
     sample: (by..., ident, rank, priority, in_floor), one row a distinct identifier and category. report: a row for each row of
-    ``targets`` (by..., target_share, min_rows) with wanted, available, taken and met, ``wanted`` being the larger of ``min_rows`` and
-    target_share x size, unrounded. ``size`` is the number of distinct identifiers over ``divide_by`` where it isn't given. Rows without an
-    identifier aren't counted; rows whose category is null or not among the targets count for the size only; repeated rows count once;
-    a category without rows takes nothing; empty tables give an empty sample and a report of unmet targets.
+    ``targets`` (by..., target_share, min_rows) with available, taken, wanted and met, ``wanted`` being the larger of ``min_rows`` and
+    target_share x size, unrounded; ``available`` is the last rank that the category's records reach, and a target is met where the
+    record of rank ``wanted`` exists. ``size`` is the number of distinct identifiers over ``divide_by`` where it isn't given. Rows
+    without an identifier aren't counted; rows whose category is null or not among the targets count for the size only; repeated rows
+    count once; a category without rows takes nothing; a null share or floor is none; empty tables give an empty sample and a report
+    of unmet targets. The targets are a parameter and are held by the driver; records never are.
     """
     rows = df.filter(F.col(ident).isNotNull())
     if size is None:
         size = rows.agg(F.count_distinct(ident)).first()[0] / divide_by
-    want = targets.select(*by, "target_share", "min_rows")
+    want = targets.select(*by, F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"))
     rows = rows.select(*by, F.col(ident).alias("id")).join(want.select(*by), by, "left_semi").distinct()
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *by, "id")).withColumn("range", F.shiftrightunsigned("h", 52).cast("int"))
-    rows = durable(rows)
-    ranges = rows.groupBy(*by, "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
-    cells = want.join(ranges.groupBy(*by).agg(F.sum("n").alias("available")), by, "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    cells = cells.orderBy(*by).limit(MOST_CATEGORIES + 1).collect()
-    if len(cells) > MOST_CATEGORIES:
-        raise ValueError(f"more than {MOST_CATEGORIES} target categories")
-    taken = seats([c.available for c in cells], [c.target_share or 0.0 for c in cells], [c.min_rows or 0 for c in cells], floor(size)) if cells else []
+    rows = durable(rows.withColumn("h", F.sha2(F.concat_ws("|", F.lit(str(seed)), *by, "id"), 256)))
+    ranked = durable(ranks.ranked(rows, by, ranks.hash_spread(F.col("h")), [F.col("h"), F.col("id")]).drop("h"))
+    cells = want.join(ranked.groupBy(*by).agg(F.max("rank").alias("available")), by, "left").select(*by, "target_share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
+    cells = cells.orderBy(*by).collect()
+    taken = seats([c.available for c in cells], [c.target_share for c in cells], [c.min_rows for c in cells], floor(size)) if cells else []
     fields = [*[targets.schema[b] for b in by], *[T.StructField(n, t) for n, t in (("target_share", T.DoubleType()), ("min_rows", T.IntegerType()), ("available", T.LongType()), ("taken", T.LongType()))]]
     report = df.sparkSession.createDataFrame([(*c, n) for c, n in zip(map(tuple, cells), taken)], T.StructType(fields))
-    rank = F.row_number().over(Window.partitionBy(*by, "range").orderBy(F.hex("h"), "id")) + F.col("before")
-    ranked = rows.join(ranges.drop("n"), [*by, "range"]).withColumn("rank", rank).join(F.broadcast(report), by).filter("rank <= taken")
-    sample = ranked.select(*by, F.col("id").alias(ident), "rank", ((F.col("rank") - 0.5) / F.col("target_share")).alias("priority"), (F.col("rank") <= F.col("min_rows")).alias("in_floor"))
+    kept = ranked.join(report, by).filter("rank <= taken")
+    sample = kept.select(*by, F.col("id").alias(ident), "rank", ((F.col("rank") - 0.5) / F.col("target_share")).alias("priority"), (F.col("rank") <= F.col("min_rows")).alias("in_floor"))
     report = report.withColumn("wanted", F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.lit(float(size))))
     return sample, report.withColumn("met", F.col("available") >= F.col("wanted"))

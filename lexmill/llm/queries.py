@@ -111,13 +111,18 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "source", tokens.n_tokens("text").alias("n_tokens"))
 
 
-def _p8(spark: SparkSession, sf: str, container: str) -> DataFrame:
+def _p8(spark: SparkSession, sf: str, container: str, targets: DataFrame | None = None) -> DataFrame:
     capacity = table(spark, sf, "containers").filter(F.col("container") == container).first().capacity_tokens
-    return packing.pack(_sizes(spark, sf), capacity)
+    return packing.pack(_sizes(spark, sf), capacity, targets=targets)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _p8(spark, sf, "train_window").filter("n_pieces > 1 AND piece = 0").select("doc_id")
+    return packing.split_documents(_p8(spark, sf, "train_window"))
+
+
+def p8_mixed_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows in the proportions of mix_targets, as far as the scarcest source goes."""
+    return _p8(spark, sf, "train_window", table(spark, sf, "mix_targets"))
 
 
 def p8_train_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,11 +153,22 @@ def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p8_found, p8_train_window, p8_short_window, p9_found, p9_uses, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p8_found, p8_train_window, p8_short_window, p8_mixed_window, p9_found, p9_uses, p9_shares, p10_found, p10_sentences)}
+_P5 = """
+WITH n AS (SELECT count(DISTINCT request_id) / 5 AS n FROM requests),
+r AS (SELECT DISTINCT r.variety, r.sentiment, request_id, target_share, min_rows FROM requests r JOIN target_shares USING (variety, sentiment) WHERE request_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY variety, sentiment ORDER BY sha256('1|' || variety || '|' || sentiment || '|' || request_id), request_id) AS rank FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY rank > min_rows, (rank - 0.5::DOUBLE) / target_share, variety, sentiment) AS place FROM k),
+s AS (SELECT o.* FROM o, n WHERE place <= floor(n.n)) """
 ORACLE: dict[str, str] = {
     "p5_found": """
         WITH n AS (SELECT count(DISTINCT request_id) AS n FROM requests),
              c AS (SELECT variety, sentiment, count(DISTINCT request_id) AS c FROM requests GROUP BY ALL)
         SELECT variety, sentiment FROM target_shares LEFT JOIN c USING (variety, sentiment), n
         WHERE coalesce(c, 0) < greatest(min_rows::DOUBLE, target_share * (n / 5))""",
+    "p5_sample": _P5 + "SELECT variety, sentiment, request_id, rank, (rank - 0.5::DOUBLE) / target_share AS priority, rank <= min_rows AS in_floor FROM s",
+    "p5_report": _P5 + """, c AS (SELECT variety, sentiment, count(*) AS c FROM k GROUP BY ALL), t AS (SELECT variety, sentiment, count(*) AS t FROM s GROUP BY ALL)
+        SELECT variety, sentiment, target_share, min_rows, coalesce(c, 0) AS available, coalesce(t, 0) AS taken, greatest(min_rows::DOUBLE, target_share * n.n) AS wanted,
+               coalesce(c, 0) >= greatest(min_rows::DOUBLE, target_share * n.n) AS met
+        FROM target_shares LEFT JOIN c USING (variety, sentiment) LEFT JOIN t USING (variety, sentiment), n""",
 }

@@ -28,6 +28,12 @@ def test_wording_sets_aside():
 TWEETS = "ord long, source string, split string, text string, words string, cls long, key string"
 
 
+@given(st.text(st.sampled_from("abAE اأإآبىيئةهؤکك٣۳3ـًّ\u200b\u200d\ufe0f\u0301é２ﻻ@#_.:/!😍👩弟ก\u0e33が①ΣςİЖа"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_wording_is_the_same_by_table_and_in_general(text):
+    assert wording.words_of(text) == wording._general(text)
+
+
 def brute_pairs(data):
     w = {r[0]: (r[2], wording.words_of(r[3])) for r in data}
     return sorted((a, b) for a in w for b in w if a < b and {w[a][0] == "train", w[b][0] == "train"} == {True, False} and w[a][0] and w[b][0] and overlap.same_wording(w[a][1], w[b][1]))
@@ -247,6 +253,24 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, source string, n_tokens int"), 500).count() == 0
 
 
+def test_windows_of_target_proportions(spark):
+    rng = random.Random(6)
+    data = [(i, "a" if i % 4 else "b", rng.randint(5, 40)) for i in range(4000)]
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("none", 0.0)], "source string, target_share double")
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, source string, n_tokens int"), 1000, targets=targets).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    mixed = [r for r in got if r.mixed]
+    share = sum(r.n_tokens for r in mixed if r.source == "b") / sum(r.n_tokens for r in mixed)
+    assert abs(share - 0.5) < 0.02 and {r.source for r in got if not r.mixed} <= {"a", "b"}
+    per = {}
+    for r in mixed:
+        per.setdefault(r.window, []).append(r)
+    near = [sum(x.n_tokens for x in w if x.source == "b") / sum(x.n_tokens for x in w) for w in list(per.values())[:30]]
+    assert all(abs(x - 0.5) < 0.06 for x in near)
+    split = packing.split_documents(packing.pack(spark.createDataFrame([(1, "a", 2100), (2, "a", 1000), (3, "a", 1001)], "doc_id long, source string, n_tokens int"), 1000))
+    assert {r.doc_id for r in split.collect()} == {1, 3}
+
+
 def test_windows_keep_the_mixture():
     items = [(10, i) for i in range(3000)]
     src = ["a" if i % 3 else "b" for i in range(3000)]
@@ -264,6 +288,24 @@ def test_deal_is_exact():
     assert d.sum(0).tolist() == [100, 7, 0, 53] and set(d.sum(1)) <= {22, 23}
 
 
+def test_shards_share_out_all_blocks():
+    blocks, seen = [100, 7, 0, 53], [[] for _ in range(4)]
+    for shard in range(7):
+        first, count = mixing.walk(shard, 7, mixing.np.array(blocks), 3)
+        for k in range(4):
+            seen[k] += mixing.permuted(mixing.np.arange(first[k], first[k] + count[k]), blocks[k], k).tolist()
+    assert [sorted(x) for x in seen] == [list(range(n)) for n in blocks]
+
+
+def test_mixing_flags_equal_the_count_rule(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, rng.choice("abcde"), rng.randint(1, 30)) for i in range(500)], "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([(s, t, m) for s, t, m in zip("abcdef", (0.1, 0.25, 0.3, 0.2, 0.1, 0.05), (1, 1, 2, None, 3, 1))], "source string, target_share double, max_repeats int")
+    total = docs.agg({"n_tokens": "sum"}).first()[0]
+    for r in mixing.mix(docs, targets, shards=3)[1].collect():
+        assert r.met == (r.available * r.max_repeats >= r.target_share * total)
+
+
 def test_mixing(spark):
     data = [(i, "big" if i < 900 else "small", 10) for i in range(1000)] + [(2000, None, 10), (2001, "other", 10), (2002, "big", 0)]
     df = spark.createDataFrame(data, "doc_id long, source string, n_tokens int")
@@ -326,4 +368,6 @@ def test_tokens_round_trip():
     enc = tokens.encoder()
     for t in ("السلام عليكم", "hello  world", "友だち 🙏"):
         assert enc.decode(enc.encode_ordinary(t)) == t and tokens.n_tokens_of(t) == len(enc.encode_ordinary(t))
-    assert tokens.n_tokens_of(None) == 0 and tokens.n_tokens_of("x" * 9000) > 0
+    assert tokens.n_tokens_of(None) == 0
+    long = "some words before " + "aqzwsx" * 3000 + " and spaced words after"
+    assert tokens.n_tokens_of(long) == len(enc.encode_ordinary(long))
