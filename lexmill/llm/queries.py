@@ -56,7 +56,7 @@ def _p4(spark: SparkSession, sf: str, edited: bool) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _p4(spark, sf, edited=False).filter(F.col("run") >= leakage.RUN).select("item_id", "tbl", "ord")
+    return leakage.verdicts(_p4(spark, sf, edited=False)).filter("kind = 'run'").select("item_id", "tbl", "ord")
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:

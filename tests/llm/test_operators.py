@@ -154,11 +154,71 @@ def test_edited_copies_that_share_frequent_grams_only(spark):
     assert {(r.tbl, r.ord, r.kind) for r in leakage.verdicts(out).collect()} == {("a", 1, "edited")}
 
 
-def test_align():
+def plain_align(a, b):
+    """(score, most words matched at that score, longest run), cell by cell."""
+    best, run = (0, 0), 0
+    above, runs = [(0, 0)] * (len(b) + 1), [0] * (len(b) + 1)
+    for x in a:
+        row, r2 = [(0, 0)], [0]
+        for j, y in enumerate(b):
+            s = max((above[j][0] + (2 if x == y else -1), above[j][1] + (x == y)), (above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1]))
+            row.append(s if s[0] > 0 else (0, 0))
+            r2.append(runs[j] + 1 if x == y else 0)
+        best, run, above, runs = max(best, *row), max(run, *r2), row, r2
+    return (*best, run)
+
+
+@given(st.lists(st.tuples(st.text("abcd", max_size=14), st.text("abcde", max_size=40)), max_size=6))
+@settings(max_examples=120, deadline=None)
+def test_align(pairs):
+    got = leakage.align_pairs([(list(a), list(b)) for a, b in pairs])
+    for (a, b), g in zip(pairs, got.tolist()):
+        assert len(b) > 8 * len(a) or tuple(g) == plain_align(a, b)
     assert leakage.align(list("abcdef"), list("xxabcdefyy")) == (12, 6, 6)
     assert leakage.align(list("abcdef"), list("abcxdef"))[1:] == (6, 3) and leakage.align([], ["a"]) == (0, 0, 0)
 
 
+def test_windows_lose_nothing():
+    rng = random.Random(9)
+    for _ in range(40):
+        item = [rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(12)]
+        copy = [w for w in item if rng.random() > 0.1]
+        far = [f"n{rng.randint(0, 99)}" for _ in range(400)]
+        at = rng.randint(0, 400)
+        passage = far[:at] + copy + far[at:]
+        if any(tuple(item[i : i + 4]) == tuple(passage[j : j + 4]) for i in range(9) for j in range(len(passage) - 3)):
+            assert leakage.align(item, passage) == plain_align(item, passage)
+
+
+def test_edited_copies_are_found(spark):
+    """Paraphrased and edited copies against the alignment of all pairs, and against what was planted."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("bcdfgklmnprst", k=2)) + rng.choice("aeiou") + rng.choice("lmnrst")
+    items = [(i, [word() for _ in range(rng.randint(10, 30))]) for i in range(40)]
+    texts, planted = [], set()
+    for t in range(300):
+        w = [word() for _ in range(rng.randint(5, 60))]
+        if t % 2:
+            i, item = rng.choice(items)
+            copy = [x if rng.random() > 0.15 else rng.choice([[], [word()], [x, word()]]) for x in item]
+            copy = [y for x in copy for y in (x if isinstance(x, list) else [x])]
+            at = rng.randint(0, len(w))
+            w = w[:at] + copy + w[at:]
+            planted.add((t, i))
+        texts.append(("q", t, " ".join(w)))
+    df = leakage.leaks(spark.createDataFrame(texts, "tbl string, ord long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r.ord, r.item_id): r.kind for r in leakage.verdicts(df).collect()}
+    pairs = [((t, i), w, wording.words_of(x)) for _, t, x in texts for i, w in items]
+    want = {}
+    for (k, a, b), (s, m, r) in zip(pairs, leakage.align_pairs([(wording.words_of(" ".join(a)), b) for _, a, b in pairs]).tolist()):
+        if s >= 16 and r >= 8:
+            want[k] = "run"
+        elif s >= len(a) and m >= 0.7 * len(a):
+            want[k] = "edited"
+    assert set(got) <= set(want) and len(set(got) & set(want)) >= 0.97 * len(want)
+    assert len(set(got) & planted) >= 0.9 * len(planted) and sum(k == "edited" for k in got.values()) > 40
+
+
 # ---- problem 5
 
 
