@@ -154,6 +154,8 @@ def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_classes, p2_found, p2_languages, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_judged, p6_rates, p7_found, p7_masked, p8_found, p8_train_window, p8_short_window, p8_mixed_window, p9_found, p9_uses, p9_shares, p10_found, p10_sentences)}
+_P6 = truncation.sql("""SELECT 'quality_rows' AS tbl, ord, dataset AS grp, text AS value, false AS capped FROM quality_rows
+UNION ALL SELECT 'synthetic', ord, generator, raw_output, new_tokens >= sampling.max_new_tokens FROM synthetic""")
 _P5 = """
 WITH n AS (SELECT count(DISTINCT request_id) / 5 AS n FROM requests),
 r AS (SELECT DISTINCT r.variety, r.sentiment, request_id, target_share, min_rows FROM requests r JOIN target_shares USING (variety, sentiment) WHERE request_id IS NOT NULL),
@@ -171,4 +173,7 @@ ORACLE: dict[str, str] = {
         SELECT variety, sentiment, target_share, min_rows, coalesce(c, 0) AS available, coalesce(t, 0) AS taken, greatest(min_rows::DOUBLE, target_share * n.n) AS wanted,
                coalesce(c, 0) >= greatest(min_rows::DOUBLE, target_share * n.n) AS met
         FROM target_shares LEFT JOIN c USING (variety, sentiment) LEFT JOIN t USING (variety, sentiment), n""",
+    "p6_found": _P6 + "SELECT tbl, ord FROM judged WHERE sign IS NOT NULL",
+    "p6_judged": _P6 + "SELECT * FROM judged",
+    "p6_rates": _P6 + "SELECT tbl, grp, count(*) AS n_values, count(sign) AS n_cut, count(sign) / count(*) AS share FROM judged GROUP BY tbl, grp",
 }
