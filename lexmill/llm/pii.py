@@ -1,41 +1,43 @@
 """Problem 7: personal information in free text, replaced by typed placeholders that keep equal values linked.
 
 Patterns run over a plain form of each text (width, digits, marks and invisible characters set aside) whose characters know their
-places in the text. A name needs a last part that the corpus uses as one: its occurrences after given names and lead-ins are counted
-over all texts against all its occurrences. Numbers are permuted within their format by a keyed Feistel network, so that equal
-numbers get equal pseudonyms in every document; other values get a keyed hash.
+places in the text. Names are learnt from the texts themselves: a given name is a word that follows lead-ins (my name is, Mr, ...)
+far more often than words do in general, and a last name one whose occurrences stand, for a good part, in the last place of names.
+After a lead-in a given name needs no other evidence than its own; one that is an ordinary word too counts without a lead-in only
+where a last name that surer places have shown follows.
+
+Numbers are permuted within their format by a keyed Feistel network, so that equal numbers get equal pseudonyms in every document:
+what makes a number valid (a check digit, the check number of an account, the date in an identity number, the form of a telephone
+number, whose prefix stays) holds for its pseudonym too, as the permutation goes on until it does. Dates become other dates. Other
+values get a keyed hash.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from datetime import date
 from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmill.llm.wording import _TABLE
 from lexmill.session import durable
 
 NAME_SHARE = 0.35  # of a word's occurrences that must be in a name's last place
+LIFT = 6.0  # times the general share of words after lead-ins that a given name's share must be
+STRONG_SHARE = 0.2  # of a last name's occurrences that must follow lead-ins or sure given names
+SURE_SHARE = 0.15  # of a given name's occurrences after lead-ins, for it to be a name without one
+GIVEN_SHARE = 1 / 20_000  # of the words after lead-ins that a given name must make up to be known elsewhere: at most 20,000 are
 KINDS = ("EMAIL", "PHONE", "IDNUM", "ADDRESS", "NAME")
 ROUNDS = 10
 
-# Common given names, and those of them that are ordinary words too.
-GIVEN = """رامي سلمى ماجد هالة رنا سمير زياد وائل باسم دينا ليلى طارق فارس هدى منى سامي غادة جميلة أحمد سعيد نور أمل كريم محمد محمود علي حسن حسين عمر خالد يوسف
-ابراهيم مصطفى عبدالله سارة مريم فاطمة عائشة زينب خديجة نادية ليلي سميرة سمية رانيا ريم هند دعاء آية ياسمين ياسر وليد نادر نبيل جمال كمال عادل عماد هشام حسام تامر شريف
-أيمن أنس بلال حمزة طه زيد عثمان سلمان فهد سعود تركي بندر ناصر منصور راشد سلطان جاسم حمد غسان مروان رياض لينا لمى دانة نوف شيماء أسماء إيمان هاني فادي جورج إلياس بشار
-oscar layla samir claire rami dina basem hala julien fares tarek amal huda karim majed nour salma megan rana mona wael ziad ahmed ahmad mohamed mohammed mahmoud ali hassan
-hussein omar khaled youssef yousef ibrahim mustafa sara sarah maryam mariam fatima aisha zainab nadia samira rania reem hind yasmin yasser walid nader nabil jamal kamal adel
-imad hisham tamer sherif ayman anas bilal hamza othman salman fahad nasser mansour rashid sultan marwan lina hani fadi george sami ghada jamila said saeed farah
-emma louis louise marie pierre jean paul anne sophie thomas nicolas lucas hugo camille john mary james robert david susan linda peter michael anna kate jack alice mehmet
-ayse fatma mustafa emre elif zeynep murat hasan huseyin""".split()
-AMBIGUOUS = "نور أمل كريم سعيد جميلة هدى منى علي كمال جمال سلطان منصور حسن شريف عادل amal nour karim said huda mona jamila hind rose mark jack".split()
+# What comes before names of persons.
 LEADS = (
     "شكرا يا|جارنا|جارتنا|صاحبي|صاحبتي|الاستاذ|الاستاذه|المدير|المديره|خالي|عمي|اسمي|قابلت|الدكتور|الدكتوره|المهندس|السيد|السيده|ask for|this is|my boss|thanks to|"
     "my name is|merci a|mon collegue|ma collegue|demandez|je m'appelle|monsieur|madame|mr.|mrs.|ms.|dr.|mr|mrs|esmi|ismi|sa7bi|sahbi|shokran ya|shukran ya"
@@ -95,10 +97,18 @@ def plain(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+_W2 = r"[\p{L}'-]{2,}"
+
+
+@cache
+def _leads() -> str:
+    return "|".join(regex.escape(x).replace("\\ ", r"\s+") for x in LEADS)
+
+
 @cache
-def _given() -> tuple[frozenset[str], frozenset[str]]:
-    flat = lambda w: plain(w)[0].lower()
-    return frozenset(map(flat, GIVEN)), frozenset(map(flat, AMBIGUOUS))
+def _name_pattern() -> regex.Pattern:
+    """A lead-in, if there is one, and up to five words; which of them are a name is decided word by word."""
+    return regex.compile(rf"(?<!\w)(?:{_leads()})\s+(?P<words>(?:\p{{L}}\.{_S}?|{_W2}{_S})(?:{_W2}{_S}){{0,3}}{_W2})(?![\w@])", regex.I)
 
 
 @cache
@@ -106,60 +116,95 @@ def _lead_words() -> frozenset[str]:
     return frozenset(w for x in LEADS for w in regex.split(r"\W+", x) if len(w) > 1)
 
 
-@cache
-def _name_patterns() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
-    given, part = "|".join(sorted(_given()[0], key=len, reverse=True)), "|".join(PARTICLES.split())
-    leads = "|".join(regex.escape(x).replace("\\ ", r"\s+") for x in LEADS)
-    g = rf"(?:{given})(?![\w'-])"
-    lead = rf"(?:(?<!\w)(?:{leads})\s+)"
-    first = regex.compile(rf"(?P<lead>{lead})?(?P<name>(?<![\w@.'-])(?P<g>{g}){_S}(?P<mid>(?:(?:(?:{part}){_S})?{g}{_S})*)(?P<part>(?:{part}){_S})?(?P<sur>[\p{{L}}'-]{{3,}}))(?![\w@])", regex.I)
-    initial = regex.compile(rf"{lead}(?P<name>\p{{L}}\.{_S}?(?P<sur>[\p{{L}}'-]{{3,}}))(?![\w@])", regex.I)
-    turned = regex.compile(rf"{lead}(?P<name>(?P<sur>[\p{{L}}'-]{{3,}}){_S}{g})(?![\w@])", regex.I)
-    return first, initial, turned
-
-
-_TOKEN = regex.compile(r"[\p{L}][\p{L}'-]{2,}")
-NISBA = regex.compile(r"(?:ي|awi|ani|adi|ery|iri|oux|i)$")
-
-
-def _names(t: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, last part, sure) of what may be a name in plain text."""
-    given, ambiguous = _given()
-    here = {w.lower() for w in _TOKEN.findall(t)}
-    if not (here & given or here & _lead_words()):
+_TOKEN = regex.compile(r"[\p{L}][\p{L}'-]+")
+_INITIAL = regex.compile(r"\p{L}\.")
+_PART = frozenset(PARTICLES.split())
+_NO_PART = frozenset([*BUSINESS, *BUSINESS_AFTER, *NOT_LAST, *(x for x in LEADS if " " not in x)])
+_NEXT = regex.compile(rf"{_S}({_W2})(?![\w@])")
+
+
+def _whole(t: str, at: int, given: dict[str, bool]) -> list[tuple[int, str, bool]]:
+    """(end, last part, weak) of what may end a name whose given name ends at ``at``.
+
+    Further given names and particles may come between; so may a word not known as a given name, but then what follows is weak.
+    """
+    m = _NEXT.match(t, at)
+    if m is None:
+        return []
+    w = m[1].lower()
+    after = _NEXT.match(t, m.end())
+    if w in _PART:
+        if after is None or after[1].lower() in _PART:
+            return []
+        w, m, after = after[1].lower(), after, _NEXT.match(t, after.end())
+    if len(w) < 3 or w in _NO_PART:
         return []
-    first, initial, turned = _name_patterns()
-    found: list[tuple[int, int, str, bool]] = []
-    for m in turned.finditer(t):
-        if m["sur"].lower() not in given and m["sur"].lower() not in PARTICLES.split():
-            found.append((*m.span("name"), m["sur"].lower(), bool(NISBA.search(m["sur"].lower()))))
-    for pattern in (first, initial):
-        for m in pattern.finditer(t, overlapped=False):
-            s, e = m.span("name")
-            sur = m["sur"].lower()
-            if sur in PARTICLES.split() or sur in NOT_LAST:
-                continue
-            before = t[:s].split()[-1].lower().strip(":,،") if t[:s].strip() else ""
-            after = t[e:].split()[0].lower().strip(".,") if t[e:].strip() else ""
-            if before in BUSINESS or after in BUSINESS_AFTER:
-                continue
-            sure = pattern is initial or bool(m["lead"] or m["mid"] or m["part"]) or m["g"].lower() not in ambiguous or bool(NISBA.search(sur))
-            found.append((s, e, sur, sure))
+    ends = [(m.end(), w, False)]
+    if after is not None and after[1].lower() not in _PART | _NO_PART:
+        if w in given:
+            ends += _whole(t, m.end(), given)
+        elif len(after[1]) > 2:
+            ends.append((after.end(), after[1].lower(), True))
+    return ends
+
+
+def _names(t: str, given: dict[str, bool]) -> list[tuple[int, int, str, str, int]]:
+    """(start, end, first part, last part, evidence) of what may be a name in plain text; evidence is 2 with a lead-in and a known given name, or an initial, 1 with either, 0 where the given name is an ordinary word too."""
+    low = t.lower()
+    here = {w for w in _TOKEN.findall(low)}
+    if not (here & given.keys() or here & _lead_words()):
+        return []
+    found: list[tuple[int, int, str, str, int]] = []
+
+    def add(start: int, first: str, ends: list[tuple[int, str, bool]], evidence: int) -> None:
+        for end, last, weak in ends:
+            before = t[:start].split()[-1].lower().strip(":,،") if t[:start].strip() else ""
+            after = t[end:].split()[0].lower().strip(".,") if t[end:].strip() else ""
+            if before not in BUSINESS and after not in BUSINESS_AFTER:
+                found.append((start, end, first, last, 0 if weak else evidence))
+
+    led = set()
+    for m in _name_pattern().finditer(t, overlapped=True):
+        start = m.start("words")
+        if start in led:
+            continue
+        led.add(start)
+        k = _INITIAL.match(t, start)
+        if k:
+            n = regex.compile(rf"{_S}?({_W2})(?![\w@])").match(t, k.end())
+            if n and len(n[1]) > 2:
+                add(start, k[0], [(n.end(), n[1].lower(), False)], 2)
+            continue
+        k = _TOKEN.match(t, start)
+        if k is None:
+            continue
+        first = k[0].lower()
+        if first in _NO_PART:
+            continue
+        known = first in given
+        add(start, first, _whole(t, k.end(), given), 2 if known else 1)
+        n = _NEXT.match(t, k.end())
+        if not known and n and n[1].lower() in given:  # the last name first
+            add(start, n[1].lower(), [(n.end(), first, False)], 2)
+    for k in _TOKEN.finditer(t):
+        first = k[0].lower()
+        if first in given and k.start() not in led and (k.start() == 0 or t[k.start() - 1] not in "@.'-_"):
+            add(k.start(), first, _whole(t, k.end(), given), 1 if given[first] else 0)
     return found
 
 
-def spans_of(text: str | None, tally: Counter | None = None) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, last part) of the values in a text, names being candidates. ``tally`` takes counts of (word, in a name's last place)."""
+def spans_of(text: str | None, given: dict[str, bool]) -> list[tuple[str, int, int, str, str, int]]:
+    """(kind, start, end, first part, last part, evidence) of the values in a text; names are candidates, by the ``given`` names known and whether they are sure."""
     if not text:
         return []
     t, at = plain(text)
-    found: list[tuple[str, int, int, str]] = []
+    found: list[tuple[str, int, int, str, str, int]] = []
 
     def take(kind: str, pattern: regex.Pattern, s: str, keep=lambda m: True) -> str:
         for m in pattern.finditer(s):
             if m.end() > m.start() and keep(m):
                 if kind:
-                    found.append((kind, m.start(), m.end(), ""))
+                    found.append((kind, m.start(), m.end(), "", "", 2))
                 s = s[: m.start()] + "\x01" * (m.end() - m.start()) + s[m.end() :]
         return s
 
@@ -175,41 +220,66 @@ def spans_of(text: str | None, tally: Counter | None = None) -> list[tuple[str,
         t = take("IDNUM", IDNUM, t, lambda m: digits(m) >= 6)
         t = take("IDNUM", IBAN, t)
         t = take("PHONE", PHONE, t, lambda m: 9 <= digits(m) <= 15)
-    for s, e, sur, sure in _names(t):
-        if sure and not any(s < fe and fs < e for k, fs, fe, _ in found if k == "NAME"):
-            found.append(("NAME", s, e, sur))
-    if tally is not None:
-        tally.update((w.lower(), False) for w in _TOKEN.findall(t))
-        tally.update((sur, True) for k, _, _, sur in found if k == "NAME")
+    found += [("NAME", *n) for n in _names(t, given)]
     out = []
-    for kind, s, e, sur in found:
+    for kind, s, e, *rest in found:
         end = at[e - 1] + 1
         while end < len(text) and unicodedata.category(text[end]) == "Mn":
             end += 1
-        out.append((kind, at[s], end, sur))
+        out.append((kind, at[s], end, *rest))
     return out
 
 
+def _flat(text: Column) -> Column:
+    """The plain form of words, near enough to count them, without leaving Spark."""
+    pairs = [(chr(k), v) for k, v in _TABLE.items() if isinstance(v, str) and len(v) == 1] + [(c, p) for c in map(chr, range(0xC0, 0x250)) if len(p := _plain_char(c)) == 1 and p != c]
+    t = F.regexp_replace(F.regexp_replace(text, r"[\p{Mn}\p{Cf}\x{640}]", ""), r"(?i)\S+@\S+|(?:https?://|www\.)\S+|[@#]\S+|\S+ ?[\[(] ?at ?[\])] ?\S+", " . ")
+    return F.lower(F.translate(t, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)))
+
+
+def learnt(texts: DataFrame) -> DataFrame:
+    """(word, n, n_led) of a column ``text``: the occurrences of each word, and those right after a lead-in with another word following."""
+    t = texts.select(_flat(F.col("text")).alias("t"))
+    after = rf"(?<![\p{{L}}\p{{N}}_])(?:{_leads()})\s+({_W2})(?=[ \t]+[\p{{L}}])".replace("\\'", "'")
+    words = t.select(F.explode(F.regexp_extract_all("t", F.lit(rf"\p{{L}}{_W2[:-4]}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    led = t.select(F.explode(F.regexp_extract_all("t", F.lit(after), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n_led"))
+    return durable(words.join(led, "word", "left").select("word", "n", F.coalesce("n_led", F.lit(0)).alias("n_led")))
+
+
+def given_names(words: DataFrame) -> dict[str, bool]:
+    """The given names of ``learnt`` words, with whether they are sure; of proven size, as no more than 1 / GIVEN_SHARE words can have that share each."""
+    n, led = words.agg(F.sum("n"), F.sum("n_led")).first()
+    if not led:
+        return {}
+    rows = words.filter((F.col("n_led") >= max(2.0, led * GIVEN_SHARE)) & (F.col("n_led") / F.col("n") >= LIFT * led / n)).collect()
+    return {r.word: r.n_led >= SURE_SHARE * r.n for r in rows}
+
+
 def find(df: DataFrame, text: str = "text", ident: str = "ord") -> DataFrame:
     """(ord, kind, span_start, span_end) of the personal values of each text; places count code points.
 
     Null and empty texts have none; repeated rows have theirs each; whole texts are read, however long; columns besides aren't.
     """
+    rows = df.select(F.col(ident).alias("ord"), F.col(text).alias("text")).filter("text is not null")
+    words = learnt(rows)
+    given = df.sparkSession.sparkContext.broadcast(given_names(words))
 
     def scan(batches):
         for b in batches:
-            tally: Counter = Counter()
-            rows = [(i, *s) for i, t in zip(b["ord"], b["text"]) for s in spans_of(t, tally)]
-            rows += [(n, "LAST" if last else "WORD", 0, 0, w) for (w, last), n in tally.items()]
-            yield pd.DataFrame(rows, columns=["ord", "kind", "span_start", "span_end", "last"])
+            yield pd.DataFrame([(i, *s) for i, t in zip(b["ord"], b["text"]) for s in spans_of(t, given.value)], columns=["ord", "kind", "span_start", "span_end", "first", "last", "evidence"])
 
-    rows = df.select(F.col(ident).alias("ord"), F.col(text).alias("text")).filter("text is not null")
-    out = durable(rows.mapInPandas(scan, "ord long, kind string, span_start int, span_end int, last string"))
-    words = out.filter("kind in ('WORD', 'LAST')").groupBy("last").agg(F.sum(F.when(F.col("kind") == "LAST", F.col("ord")).otherwise(0)).alias("n_last"), F.sum(F.when(F.col("kind") == "WORD", F.col("ord")).otherwise(0)).alias("n"))
-    lasts = words.filter((F.col("n_last") > 0) & (F.col("n_last") >= NAME_SHARE * F.col("n"))).select("last")
-    names = out.filter("kind = 'NAME'").join(lasts, "last", "left_semi")
+    out = durable(rows.mapInPandas(scan, "ord long, kind string, span_start int, span_end int, first string, last string, evidence int"))
     cols = ["ord", "kind", "span_start", "span_end"]
-    return out.filter("kind in ('EMAIL', 'PHONE', 'IDNUM', 'ADDRESS')").select(cols).unionByName(names.select(cols))
+    names = out.filter("kind = 'NAME'")
+    uses = names.groupBy(F.col("last").alias("word")).agg(F.count_if(F.col("evidence") > 0).alias("n_last"), F.count_if(F.col("evidence") == 0).alias("n_weak"))
+    n = F.coalesce("n", F.col("n_last"))
+    enough = (F.col("n_last") > 0) & (F.col("n_last") >= STRONG_SHARE * n) & (F.col("n_last") + F.col("n_weak") >= NAME_SHARE * n)
+    lasts = uses.join(words, "word", "left").filter(enough).select(F.col("word").alias("last"))
+    firsts = words.filter(F.col("n_led") >= SURE_SHARE / 3 * F.col("n")).select(F.col("word").alias("first"), F.lit(True).alias("led"))
+    names = names.join(lasts, "last", "left_semi").join(firsts, "first", "left").filter((F.col("evidence") != 1) | F.col("led") | F.col("first").isin(list(given.value)) if given.value else F.col("evidence").isNotNull())
+    before = F.max("span_end").over(Window.partitionBy("ord").orderBy("span_start", F.desc("span_end")).rowsBetween(Window.unboundedPreceding, -1))
+    names = names.select(cols).distinct().withColumn("before", before).filter("before IS NULL OR span_start >= before").drop("before")  # a name within a name is a part of it
+    return out.filter("kind <> 'NAME'").select(cols).unionByName(names)
 
 
 def permute(digits: str, key: bytes, back: bool = False) -> str:
@@ -229,29 +299,124 @@ def permute(digits: str, key: bytes, back: bool = False) -> str:
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
+# Country codes of one and two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def check_digit_holds(digits: str) -> bool:
+    """Whether the last digit is the check digit of the others, every second one doubled."""
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def account_holds(value: str) -> bool:
+    """Whether the check number of an international account number is right."""
+    v = "".join(c for c in value.upper() if c.isalnum())
+    return len(v) > 4 and v[:2].isalpha() and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def birth_date_holds(digits: str) -> bool:
+    """Whether an identity number of 14 digits begins with a century and a date."""
+    if len(digits) != 14 or digits[0] not in "23":
+        return False
+    try:
+        date(1700 + 100 * int(digits[0]) + int(digits[1:3]), int(digits[3:5]), int(digits[5:7]))
+    except ValueError:
+        return False
+    return True
+
+
+def validity(kind: str, flat: str) -> tuple:
+    """What is valid about a number in its format: a pseudonym has the same."""
+    digits = "".join(c for c in flat if c.isdigit())
+    if kind == "PHONE":
+        return (bool(PHONE.fullmatch(flat)),)
+    return (flat[:2].isalpha() and account_holds(flat), not flat[:1].isalpha() and 13 <= len(digits) <= 19 and check_digit_holds(digits), birth_date_holds(digits))
+
+
+def _kept(kind: str, flat: str) -> int:
+    """How many leading digits of a number stay: the country's or the network's prefix, or the century of an identity number."""
+    digits = "".join(c for c in flat if c.isdigit())
+    if kind != "PHONE":
+        return 1 if birth_date_holds(digits) else 0
+    if flat.startswith(("+", "00")):
+        zeros = 0 if flat.startswith("+") else 2
+        return zeros + next((n for n in (1, 2) if digits[zeros : zeros + n] in SHORT_CODES), 3)
+    return min(3, len(digits) - 4)
+
+
+def number_pseudonym(kind: str, flat: str, key: bytes) -> str:
+    """Another number of the same format, prefix and validity; one number has one, and no other number has the same."""
+    digits = "".join(c for c in flat if c.isdigit())
+    kept, want = _kept(kind, flat), validity(kind, flat)
+    head, tail = digits[:kept], digits[kept:]
+    while True:
+        tail = permute(tail, key + f"{kind}{head}".encode()[: 64 - len(key)])
+        new = iter(head + tail)
+        out = "".join(next(new) if c.isdigit() else c for c in flat)
+        if validity(kind, out) == want and _kept(kind, out) == kept:
+            return out
+
+
+DATE = regex.compile(r"(?<![\w/.-])(?:(?P<y>(?:19|20)\d\d)(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w/-]|\.\d)")
+_FIRST, _DAYS = date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
+
+
+def date_pseudonym(flat: str, key: bytes) -> str:
+    """Another date in the same format; what isn't a date stays as it is."""
+    m = DATE.fullmatch(flat)
+    try:
+        day = date(int(m["y"] or m["y2"]), int(m["m"] or m["m2"]), int(m["d"] or m["d2"])).toordinal() - _FIRST
+    except (TypeError, ValueError):
+        return flat
+    while True:
+        day = int(permute(f"{day:05d}", key))
+        if day < _DAYS:
+            break
+    new = date.fromordinal(day + _FIRST)
+    s = m["s"] or m["s2"]
+    wide = 2 if len(m["m"] or m["m2"]) == 2 else 1
+    part = [f"{new.month:0{wide}d}", f"{new.day:0{wide}d}"]
+    return s.join([str(new.year), *part]) if m["y"] else s.join([*part[::-1], str(new.year)])
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str:
-    """The placeholder of a value: its kind with permuted digits in the value's format, or with a keyed hash of its plain form."""
+    """The placeholder of a value: its kind with another number or date in the value's format, or with a keyed hash of 80 bits of its plain form."""
     flat = plain(value)[0]
     if kind in ("PHONE", "IDNUM"):
-        new = iter(permute("".join(c for c in flat if c.isdigit()), key))
-        return f"[{kind} {''.join(next(new) if c.isdigit() else c for c in flat)}]"
-    return f"[{kind} {blake2b(' '.join(flat.lower().split()).encode(), key=key, digest_size=5).hexdigest()}]"
+        return f"[{kind} {number_pseudonym(kind, flat, key)}]"
+    if kind == "DATE":
+        return f"[{kind} {date_pseudonym(flat, key)}]"
+    return f"[{kind} {blake2b(' '.join(flat.lower().split()).encode(), key=key, digest_size=10).hexdigest()}]"
+
 
+def masked(df: DataFrame, key: str, text: str = "text", ident: str = "ord", dates: bool = False) -> DataFrame:
+    """(ord, text, n_values): each text with a typed placeholder for every value; null texts stay null. ``ident`` is unique.
 
-def masked(df: DataFrame, key: str, text: str = "text", ident: str = "ord") -> DataFrame:
-    """(ord, text, n_values): each text with a typed placeholder for every value; null texts stay null. ``ident`` is unique."""
+    With ``dates``, whole dates count as values too. ``key`` has 32 bytes at most and is to be kept as a secret.
+    """
     spans = find(df, text, ident).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "kind"))).alias("spans"))
     rows = df.select(F.col(ident).alias("ord"), F.col(text).alias("text")).join(spans, "ord", "left")
-    secret = key.encode()
+    secret = key.encode()[:32]
+
+    def places(t: str, spans) -> list[tuple[int, int, str]]:
+        out = [] if spans is None else [(s["span_start"], s["span_end"], s["kind"]) for s in spans]
+        if dates:
+            p, at = plain(t)
+            new = [(at[m.start()], at[m.end() - 1] + 1, "DATE") for m in DATE.finditer(p)]
+            out += [d for d in new if not any(d[0] < e and s < d[1] for s, e, _ in out)]
+        return sorted(out)
 
     def replace(batches):
         for b in batches:
-            texts = []
+            texts, counts = [], []
             for t, spans in zip(b["text"], b["spans"]):
-                if t is not None and spans is not None:
-                    for s in reversed(list(spans)):
-                        t = t[: s["span_start"]] + pseudonym(s["kind"], t[s["span_start"] : s["span_end"]], secret) + t[s["span_end"] :]
+                n = 0
+                if t is not None:
+                    for s, e, kind in reversed(places(t, spans)):
+                        t, n = t[:s] + pseudonym(kind, t[s:e], secret) + t[e:], n + 1
                 texts.append(t)
-            yield pd.DataFrame({"ord": b["ord"], "text": texts, "n_values": np.array([0 if s is None else len(s) for s in b["spans"]], dtype=np.int32)})
+                counts.append(n)
+            yield pd.DataFrame({"ord": b["ord"], "text": texts, "n_values": np.array(counts, dtype=np.int32)})
 
     return rows.mapInPandas(replace, "ord long, text string, n_values int")

@@ -104,7 +104,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.masked(table(spark, sf, "tweets"), key="lexmill")
+    return pii.masked(table(spark, sf, "tweets"), key=spark.conf.get("spark.lexmill.pseudonym.key", "key of the tests"))
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:

@@ -294,6 +294,46 @@ def test_permutation_is_one_to_one():
 def test_equal_values_stay_linked():
     a, b = pii.pseudonym("PHONE", "+20 19 4844 0949", b"k"), pii.pseudonym("PHONE", "+٢٠ ١٩ ٤٨٤٤ ٠٩٤٩", b"k")
     assert a == b and pii.pseudonym("NAME", "Rami  X", b"k") == pii.pseudonym("NAME", "rami x", b"k")
+    assert pii.pseudonym("NAME", "Rami X", b"k") != pii.pseudonym("NAME", "Rami X", b"other")
+
+
+def test_pseudonyms_are_valid_where_the_numbers_are():
+    rng, seen = random.Random(1), set()
+    for _ in range(400):
+        form = rng.choice(["+20 1# #### ####", "+971/5#/#######", "00966-5#-###-####", "(01#) ####-####", "0#########", "+1 ### ### ####", "04 ## ##.##.##"])
+        v = "".join(rng.choice("0123456789") if c == "#" else c for c in form)
+        new = pii.number_pseudonym("PHONE", v, b"k")
+        assert bool(pii.PHONE.fullmatch(new)) == bool(pii.PHONE.fullmatch(v)) and len(new) == len(v)
+        assert new[:3] == v[:3] or v[0] == "+" and new[:2] == v[:2]
+    account = pii.number_pseudonym("IDNUM", "GB82 WEST 1234 5698 7654 32", b"k")
+    assert pii.account_holds(account) and account != "GB82 WEST 1234 5698 7654 32" and account[:2] == "GB"
+    assert not pii.account_holds(pii.number_pseudonym("IDNUM", "GB83 WEST 1234 5698 7654 32", b"k"))
+    assert pii.check_digit_holds("".join(c for c in pii.number_pseudonym("IDNUM", "4539 1488 0343 6467", b"k") if c.isdigit()))
+    for k in range(300):
+        v = f"2{rng.randint(40, 99):02d}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}{k:07d}"
+        new = pii.number_pseudonym("IDNUM", v, b"k")
+        assert pii.birth_date_holds(new) and new[0] == "2"
+        seen.add(new)
+    assert len(seen) == 300
+
+
+def test_dates_become_dates(spark):
+    assert len({pii.date_pseudonym(f"2024-{m:02d}-{d:02d}", b"k") for m in range(1, 13) for d in range(1, 29)}) == 12 * 28
+    assert pii.date_pseudonym("2023-02-30", b"k") == "2023-02-30" and pii.DATE.fullmatch(pii.date_pseudonym("3/1/1999", b"k"))
+    df = spark.createDataFrame([(1, "born 3/1/1999 in Cairo"), (2, None)], "ord long, text string")
+    got = {r.ord: (r.text, r.n_values) for r in pii.masked(df, "key", dates=True).collect()}
+    assert got[1][0].startswith("born [DATE ") and got[1][1] == 1 and got[2] == (None, 0)
+    assert {r.text for r in pii.masked(df, "key").collect()} == {"born 3/1/1999 in Cairo", None}
+
+
+def test_names_are_learnt(spark):
+    """Given and last names on no list: after lead-ins, and elsewhere once they are known."""
+    firsts, lasts = ["Zubair", "Quillan", "Ottoline", "Marzena"], ["Qureshi", "Haddad", "Brandl", "Oyelaran"]
+    rng = random.Random(3)
+    texts = [f"yesterday {rng.choice(['my name is', 'Mr.', 'thanks to', 'Dr.'])} {rng.choice(firsts)} {rng.choice(lasts)} again" for _ in range(80)]
+    texts += ["the old river ran past our house and the shop by the market"] * 60 + ["we saw Zubair Haddad there", "the shop of Mr. Marzena Brandl"]
+    got = {texts[r.ord][r.span_start : r.span_end] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "ord long, text string")).collect()}
+    assert got == {f"{a} {b}" for a in firsts for b in lasts}
 
 
 # ---- problem 8
