@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +28,7 @@ ROUNDS = 2  # of fitting again
 SWITCH = 7.0  # log-odds that a change of language costs
 WEIGHT = 0.5  # n-grams of a word overlap: their joint evidence counts as this share of their sum
 LEAST_WORDS = 4  # of a segment
-KNOWN_SHARE = 1 / 4000  # a language's words with this share of its sample or more are known: at most 4,000
-OPEN_SHARE = 0.25  # where other words make up less than this share, they are invented names and the like, and count for no language
+MARGIN = 1.0  # log-odds over the next language from which a word counts for its own; invented names and the like are as likely in several
 CELLS = 100_000  # words of a batch of texts padded to one length
 
 _GONE = regex.compile(r"[[\p{Cf}͏︀-️ـ]--[‌]]", regex.V1)
@@ -100,8 +98,8 @@ def _padded(lengths: list[int], order: np.ndarray) -> Iterator[list[int]]:
         yield part
 
 
-def decode(lengths: list[int], scores: np.ndarray) -> np.ndarray:
-    """The language index of each word, texts of ``lengths`` words in a row, by the best path with switching penalty."""
+def decode(lengths: list[int], scores: np.ndarray, prior: np.ndarray | float = 0.0) -> np.ndarray:
+    """The language index of each word, texts of ``lengths`` words in a row, by the best path with switching penalty; ``prior`` is of a text's first language."""
     out, order = np.zeros(len(scores), dtype=np.int16), np.argsort(lengths)
     ends = np.cumsum(lengths)
     for part in _padded(lengths, order):
@@ -109,7 +107,7 @@ def decode(lengths: list[int], scores: np.ndarray) -> np.ndarray:
         grid = np.zeros((long, len(part), k), dtype=np.float32)  # words beyond a text's end are neutral
         for r, i in enumerate(part):
             grid[: lengths[i], r] = scores[ends[i] - lengths[i] : ends[i]]
-        best, from_ = grid[0], np.zeros((long, len(part), k), dtype=np.int8)
+        best, from_ = grid[0] + prior, np.zeros((long, len(part), k), dtype=np.int16)
         for t in range(1, long):
             top = best.argmax(1)
             jump = best[np.arange(len(part)), top] - SWITCH
@@ -126,19 +124,17 @@ def decode(lengths: list[int], scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def known_words(words: list[str], path: np.ndarray, n_langs: int) -> list[frozenset[str] | None]:
-    """For each language the words that count for it, or none where its vocabulary is so open that every word does."""
-    out: list[frozenset[str] | None] = []
-    for lang in range(n_langs):
-        c = Counter(w for w, p in zip(words, path) if p == lang)
-        total = sum(c.values())
-        known = {w: n for w, n in c.items() if n >= max(2, total * KNOWN_SHARE)}
-        out.append(frozenset(known) if total >= 2000 and sum(known.values()) > (1 - OPEN_SHARE) * total else None)
-    return out
+def margins(scores: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """How much more likely each word is in the language given than in the next one."""
+    if not len(path) or scores.shape[1] < 2:
+        return np.full(len(path), np.inf)
+    at, rest = np.arange(len(path)), scores.copy()
+    rest[at, path] = -np.inf
+    return scores[at, path] - rest.max(1)
 
 
-def fit(labelled: DataFrame, langs: list[str]) -> tuple[np.ndarray, list[frozenset[str] | None]]:
-    """The model and the known words from (text, lang): a hash sample of about ROWS_A_LANGUAGE rows of each language is fitted on the driver."""
+def fit(labelled: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability matrix and the log-probabilities of languages from (text, lang): a hash sample of about ROWS_A_LANGUAGE rows of each language is fitted on the driver, languages are counted over all rows."""
     rows = labelled.filter(F.col("lang").isin(langs) & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     picks = [(F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, ROWS_A_LANGUAGE / n) * 1_000_000)) for lang, n in counts.items()]
@@ -147,11 +143,11 @@ def fit(labelled: DataFrame, langs: list[str]) -> tuple[np.ndarray, list[frozens
     words, lengths = [w for t in texts for w in t], [len(t) for t in texts]
     of = [langs.index(r.lang) for r, t in zip(sorted(sample), texts) for _ in t]
     matrix = fit_counts(words, of, len(langs))
-    path = np.array(of)
     for _ in range(ROUNDS if words else 0):
         path = decode(lengths, score_words(words, matrix))
         matrix = fit_counts(words, list(path), len(langs))
-    return matrix, known_words(words, path, len(langs))
+    share = np.array([counts.get(lang, 0) + 1.0 for lang in langs])
+    return matrix, np.log(share / share.sum()).astype(np.float32) if len(langs) else np.zeros(0, dtype=np.float32)
 
 
 def runs_of(path: np.ndarray, counts: list[bool] | None = None) -> list[tuple[int, int, int]]:
@@ -176,8 +172,8 @@ def runs_of(path: np.ndarray, counts: list[bool] | None = None) -> list[tuple[in
 def identify(df: DataFrame, labelled: DataFrame, langs: list[str]) -> DataFrame:
     """(tbl, ord, seg_no, lang, stated, confidence, n_words, seg_start, seg_end) of (tbl, ord, text, lang).
 
-    ``seg_no`` 0 is the whole record with the language of most of its words (ties: the earlier code; words that count for no language,
-    such as invented names, only where there are no others); a record with segments of
+    ``seg_no`` 0 is the whole record with the language of most of its words (ties: the earlier code; words as likely in another language,
+    such as invented names, count only where there are no others); a record with segments of
     several languages has them as 1, 2, ... in text order. Null texts and texts without a word of any language have no row;
     repeated rows have theirs each; whole texts are scored, however long.
     """
@@ -188,18 +184,18 @@ def identify(df: DataFrame, labelled: DataFrame, langs: list[str]) -> DataFrame:
         for b in batches:
             found = [words_with_places(t) for t in b["text"]]
             words, lengths = [w for f in found for w, _, _ in f], [len(f) for f in found]
-            matrix, known = model.value
+            matrix, prior = model.value
             scores = score_words(words, matrix)
-            path = decode(lengths, scores)
-            odds = np.exp(scores)
+            path = decode(lengths, scores, prior)
+            certain = margins(scores, path) > MARGIN
+            odds = np.exp(scores + prior)
             odds /= odds.sum(1, keepdims=True) if len(odds) else 1
             rows, at = [], 0
             for i, f in enumerate(found):
                 if not f:
                     continue
-                own, p = path[at : at + len(f)], odds[at : at + len(f)]
+                own, p, counts = path[at : at + len(f)], odds[at : at + len(f)], certain[at : at + len(f)]
                 at += len(f)
-                counts = [known[lang] is None or w in known[lang] for (w, _, _), lang in zip(f, own)]
                 votes = np.bincount(own, weights=counts, minlength=len(langs))
                 top = int((votes if votes.any() else np.bincount(own, minlength=len(langs))).argmax())
                 rows.append((i, 0, langs[top], float(p[own == top, top].sum() / len(f)), len(f), f[0][1], f[-1][2]))

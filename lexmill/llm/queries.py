@@ -28,7 +28,7 @@ def _p2(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "tweets").select(F.lit("tweets").alias("tbl"), "ord", "text", "lang")
     rows = rows.unionByName(table(spark, sf, "quality_rows").select(F.lit("quality_rows").alias("tbl"), "ord", F.col("mtext").alias("text"), "lang"))
     labelled = rows.select("text", "lang").unionByName(table(spark, sf, "documents").select("text", "lang"))
-    langs = [r.lang for r in table(spark, sf, "langcodes").select("lang").distinct().limit(500).collect()]
+    langs = [r.lang for r in table(spark, sf, "langcodes").filter("lang is not null").select("lang").distinct().collect()]
     return languages.identify(rows, labelled, langs)
 
 

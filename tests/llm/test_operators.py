@@ -88,6 +88,13 @@ def test_languages(spark):
     assert languages.identify(spark.createDataFrame([], "tbl string, ord long, text string, lang string"), lab.limit(0), ["en"]).count() == 0
 
 
+def test_languages_beyond_a_byte():
+    np = languages.np
+    scores = np.full((40, 300), -20.0, dtype=np.float32)
+    scores[:20, 290], scores[20:, 5] = 0.0, 0.0
+    assert languages.decode([40], scores).tolist() == [290] * 20 + [5] * 20
+
+
 def test_language_runs():
     assert languages.runs_of([0, 0, 0, 0, 1, 1, 0, 0]) == [(0, 0, 7)]
     assert languages.runs_of([0] * 4 + [1] * 4 + [0] * 3) == [(0, 0, 3), (1, 4, 7)]
