@@ -3,7 +3,8 @@
 Places where a sentence could end are final marks with what closes them, gaps of scripts without spaces, and line breaks, which
 always end it. The best sequence of spans is chosen; a span's score joins its length, its opening word, its closing word with its
 mark, and the balance of its quotations. Opening and closing words and abbreviations are learnt from all documents: words at the
-borders of lines against words inside them, and words that hardly occur without a dot.
+borders of lines against words inside them, and words that hardly occur without a dot. Words so rare that their scores can't be sent
+to every task are neutral at borders; rare abbreviations come to the documents that hold them by a join.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from lexmill.session import durable
 
-KEPT_SHARE = 1 / 20_000  # words with this share of a role's counts or more are kept with their counts in all roles: at most 20,000 a role
+KEPT_SHARE = 1 / 100_000  # words with this share of a role's counts or more are kept with their counts in all roles: at most 100,000 a role
 USUAL_WORDS = 11.0
+ABBREVIATION = 6  # letters at most
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 OPEN, CLOSE = "«“「『‘（([【《", "»”」』’）)]】》"
@@ -34,7 +36,8 @@ _TAIL = regex.compile(rf"(?P<close>(?:[ \t]?[»”」』’）)\]】》\"](?![\p
 _GAP = regex.compile(rf"(?<=[฀-๿]|น\.)[ \t]+(?=[฀-๿])|(?<=[{CJK}])[ \t　]+(?=[{CJK}])")
 _SPACELESS = re.compile(f"[฀-๿{CJK}]")
 _QUOTE = re.compile("[\"" + re.escape(OPEN.replace("‘", "") + CLOSE.replace("’", "")) + "]")
-_ADDRESS = regex.compile(r"(?:://|www\.|/|@)\S*$")
+_ADDRESS = re.compile(r"://|www\.|/|@")
+_SPACE = re.compile(r"\s")
 _LINE = regex.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _WORD = re.compile(r"[^\W_](?:[\w'’‌̀-ًͯ-ٰٟ]|\.(?=[^\W_]))*")
 _ANY_WORD = regex.compile(rf"[{CJK}]{{1,2}}|[฀-๿]{{1,4}}|[[\p{{L}}\p{{M}}\p{{N}}]--[{CJK}฀-๿]](?:[[\p{{L}}\p{{M}}\p{{N}}'’‌]--[{CJK}฀-๿]]|\.(?=[\p{{L}}\p{{N}}]))*", regex.V1)
@@ -88,13 +91,24 @@ class Words:
         ratio = lambda r, w: log(rate(r, w, least[r]) / rate("in", w, least[r]))
         self.opens = {w: max(-4.0, min(3.0, ratio("open", w))) for w in words if get("open", w) + get("in", w) >= 4}
         self.closes = {w: max(-4.0, min(3.0, ratio("close", w))) for w in words if get("close", w) + get("in", w) >= 4}
-        self.short = {w for w in words if get("dot", w) >= 3 and 2 * get("inside", w) >= get("dot", w) and get("dot", w) >= 0.8 * (get("dot", w) + get("plain", w) + get("close", w)) and len(w) <= 6}
+        self.short = {w for w in words if get("dot", w) >= 3 and 2 * get("inside", w) >= get("dot", w) and get("dot", w) >= 0.8 * (get("dot", w) + get("plain", w) + get("close", w)) and len(w) <= ABBREVIATION}
 
 
 def _ends(line: str) -> list[tuple[int, int, str, str]]:
     """(end, next start, kind of mark, closing quotes) of the places inside a line where a sentence could end."""
     out = []
     upto = 0
+    addresses = [(m.start(), m.end()) for m in _ADDRESS.finditer(line)]
+    blanks = [m.start() for m in _SPACE.finditer(line)] if addresses else []
+
+    def in_address(end: int) -> bool:
+        """Whether a sign of an address stands before ``end`` without white space between."""
+        k = bisect_right(addresses, end, key=lambda a: a[1]) - 1
+        if k < 0:
+            return False
+        b = bisect_left(blanks, end) - 1
+        return b < 0 or blanks[b] < addresses[k][0]
+
     for m in _MARK.finditer(line):
         if m.start() < upto:
             continue
@@ -103,7 +117,7 @@ def _ends(line: str) -> list[tuple[int, int, str, str]]:
         upto, nxt = e, line[e : e + 1]
         wide = mark[-1] in "。！？｡"
         if nxt and not nxt.isspace() and nxt not in OPEN and nxt != '"' and not wide and not emoji:
-            if mark[-1] in ".…" or not nxt.isalpha() or _ADDRESS.search(line, max(0, m.start() - 200), m.end()):
+            if mark[-1] in ".…" or not nxt.isalpha() or in_address(m.end()):
                 continue
         if mark[-1] in ".…" and len(mark.strip(".…")) == 0 and (len(mark) > 1 or mark == "…"):
             kind = "two dots" if mark == ".." else "dots"
@@ -120,8 +134,8 @@ def _ends(line: str) -> list[tuple[int, int, str, str]]:
 MARKS = {"strong": 3.0, "dot": 2.0, "dots": -0.3, "two dots": -2.0, "gap": 2.0}
 
 
-def split_line(line: str, words: Words) -> list[tuple[int, int]]:
-    """[start, end) of the sentences of a line."""
+def split_line(line: str, words: Words, rare: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """[start, end) of the sentences of a line; ``rare`` has further abbreviations."""
     places = [p for p in _ends(line) if line[p[1] :].strip(_TRIM)]
     n = len(places)
     quotes = []  # (place, opens?, character), straight quotes by turns
@@ -148,7 +162,7 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
             gain.append(s)
             continue
         emoji = close.endswith("+")
-        if kind == "dot" and not emoji and not close and (low in words.short or "." in before or (len(before) == 1 and before.isalpha() and not _SPACELESS.match(before))):
+        if kind == "dot" and not emoji and not close and (low in words.short or low in rare or "." in before or (len(before) == 1 and before.isalpha() and not _SPACELESS.match(before))):
             s -= 5.0
             if after[:1].isdigit():
                 s -= 4.0
@@ -211,22 +225,34 @@ def split_line(line: str, words: Words) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def sentences_of(text: str | None, words: Words) -> list[tuple[int, int]]:
+def sentences_of(text: str | None, words: Words, rare: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """[start, end) of the sentences of a text; pieces without a letter or digit are none."""
     out = []
     for m in _LINE.finditer(text or ""):
-        for a, b in split_line(m[0], words):
+        for a, b in split_line(m[0], words, rare):
             if any(c.isalnum() for c in m[0][a:b]):
                 out.append((m.start() + a, m.start() + b))
     return out
 
 
+def _enough(totals: dict[str, int]):
+    return reduce(or_, ((F.col("role") == r) & (F.col("n") >= n * KEPT_SHARE) for r, n in totals.items()))
+
+
 def kept_counts(counts: DataFrame, totals: dict[str, int]) -> dict[tuple[str, str], int]:
     """{(role, word): n} in all roles of the words that have their share of any role."""
     if not totals:
         return {}
-    enough = reduce(or_, ((F.col("role") == r) & (F.col("n") >= n * KEPT_SHARE) for r, n in totals.items()))
-    return {(r.role, r.word): r.n for r in counts.join(counts.filter(enough).select("word").distinct(), "word", "left_semi").select("role", "word", "n").collect()}
+    return {(r.role, r.word): r.n for r in counts.join(counts.filter(_enough(totals)).select("word").distinct(), "word", "left_semi").select("role", "word", "n").collect()}
+
+
+def rare_abbreviations(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(word) of the abbreviations among the words that have their share of no role."""
+    rare = counts.filter(F.length("word") <= ABBREVIATION)
+    if totals:
+        rare = rare.join(counts.filter(_enough(totals)).select("word").distinct(), "word", "left_anti")
+    n = {r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(r) for r in ("dot", "inside", "plain", "close")}
+    return rare.groupBy("word").agg(*n.values()).filter("dot >= 3 AND 2 * inside >= dot AND dot >= 0.8 * (dot + plain + close)").select("word")
 
 
 def split(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -247,10 +273,18 @@ def split(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame
     totals = {r.role: r.n for r in counts.groupBy("role").agg(F.sum("n").alias("n")).collect()}  # a row for each role
     words = df.sparkSession.sparkContext.broadcast((kept_counts(counts, totals), totals))
 
+    rare = durable(rare_abbreviations(counts, totals))
+    if not rare.isEmpty():
+        dotted = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}_'’])([\p{{L}}\p{{N}}][^\s.]{{0,{ABBREVIATION - 1}}})\.(?=[ -])"), F.lit(1)))
+        held = rows.select(F.md5("text").alias("t"), F.explode(dotted).alias("word")).join(rare, "word").groupBy("t").agg(F.collect_set("word").alias("rare"))
+        rows = rows.withColumn("t", F.md5("text")).join(held, "t", "left").select("doc_id", "text", "rare")
+    else:
+        rows = rows.withColumn("rare", F.lit(None).cast("array<string>"))
+
     def cut(batches):
         known = Words(*words.value)
         for b in batches:
-            found = [(d, n, s, e, t[s:e]) for d, t in zip(b["doc_id"], b["text"]) for n, (s, e) in enumerate(sentences_of(t, known), 1)]
+            found = [(d, n, s, e, t[s:e]) for d, t, r in zip(b["doc_id"], b["text"], b["rare"]) for n, (s, e) in enumerate(sentences_of(t, known, frozenset() if r is None else frozenset(r)), 1)]
             yield pd.DataFrame(found, columns=["doc_id", "sent_no", "sent_start", "sent_end", "sentence"])
 
     return rows.mapInPandas(cut, "doc_id long, sent_no int, sent_start int, sent_end int, sentence string")

@@ -461,6 +461,20 @@ def test_sentences_counts_of_a_kept_word_are_whole(spark):
     assert sentences.kept_counts(counts.limit(0), {}) == {}
 
 
+def test_rare_abbreviations_reach_their_documents(spark, monkeypatch):
+    texts = ["we went with Prof. Daw to the lab of Prof. Rin today", "it was seen by Prof. Ode then"] + ["the old river ran past our house and then we slept"] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = rows(sentences.split(df).select("doc_id", "sent_start", "sent_end"))
+    assert sum(1 for r in want if r[0] < 2) == 2
+    monkeypatch.setattr(sentences, "KEPT_SHARE", 0.6)
+    assert rows(sentences.split(df).select("doc_id", "sent_start", "sent_end")) == want
+
+
+def test_long_addresses_are_no_ends():
+    text = "See https://site.example/" + "part." * 100 + "x?q=1 now. Done."
+    assert [text[a:b] for a, b in sentences.sentences_of(text, WORDS)] == [text[:-6], "Done."]
+
+
 def test_sentences_table(spark):
     df = spark.createDataFrame([(1, "One two. Three four.", 1), (2, None, 1), (3, "", 1), (4, LONG, 1), (1, "One two. Three four.", 1)], "doc_id long, text string, sent_no int")
     out = sentences.split(df).collect()
