@@ -1,7 +1,8 @@
 """Problem 3: one consistent form of texts that look the same.
 
-Each text is exploded to positioned code points; broadcast joins bring the decomposition and look-alike of each; combining marks
-are ordered by class, recomposed with their base, and the string is rebuilt. Invisible characters go; the width, presentation form
+The words that hold an odd code point are exploded to positioned code points, each different word once; broadcast joins bring the
+decomposition and look-alike of each; combining marks are ordered by class, recomposed with their base, and the word is rebuilt, and
+from words the text: no code point changes one beyond a blank. Invisible characters go; the width, presentation form
 and composition of characters are made one; visible marks, stretching and letters that differ to the eye stay as they are.
 The two mapping tables follow from the Unicode data of the standard library and are of fixed size.
 """
@@ -20,8 +21,8 @@ from lexmill.session import durable
 
 # Letters and digits that look the same in every position.
 LOOK_ALIKES = dict(zip(
-    "аеорсухіѕјһԁԛԝАВЕЅІЈКМНОРСТХУοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‐۰۱۲۳۷۸۹",
-    "aeopcyxisjhdqwABESIJKMHOPCTXYoABEZHIKMNOPTYX-٠١٢٣٧٨٩",
+    "аеорсухіѕјһԁԛԝѵАВЕЅІЈКМНОРСТХУԌԚԜοΑΒΕΖΗΙΚΜΝΟΡΤΥΧօսոհՕՍᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃꓮꓐꓚꓓꓰꓝꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ‐‑۰۱۲۳۷۸۹",
+    "aeopcyxisjhdqwvABESIJKMHOPCTXYGQWoABEZHIKMNOPTYXounhOUABCDEGHJKLMPRSTVWZABCDEFGHJKLMNOPRSTUVWXYZ--٠١٢٣٧٨٩",
 ))
 WIDTHS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
 VISIBLE_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -73,7 +74,17 @@ def odd_class() -> str:
             near[-1][1] = hi
         else:
             near.append([lo, hi])
-    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in near) + "]"
+    usual = []  # runs of the commonest letters that are never odd: asked first, as a class takes time in proportion to its ranges
+    for lo, hi in ((0x20, 0x7E), (0x621, 0x64A), (0x60C, 0x61F), (0x660, 0x669), (0x1F300, 0x1F9FF)):
+        for a, b in near:
+            if a <= hi and b >= lo:
+                if a > lo:
+                    usual.append((lo, a - 1))
+                lo = b + 1
+        if lo <= hi:
+            usual.append((lo, hi))
+    group = lambda ranges: "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+    return f"(?!{group(usual)}){group(near)}"
 
 
 @cache
@@ -113,23 +124,29 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return parts, options
 
 
-def _in_context(s: Column) -> Column:
+def _in_context(df: DataFrame, name: str) -> DataFrame:
     """What depends on the neighbours: joiners that show, and yeh and kaf, whose look depends on the next letter."""
-    s = F.regexp_replace(s, "‌+", "‌")
-    s = F.regexp_replace(s, f"(?<![{DUAL}]\\p{{M}}{{0,8}})‌|‌(?!\\p{{M}}*[ء-يٱ-ۓ])", "")
-    s = F.regexp_replace(s, r"(?<![\p{So}\x{1F3FB}-\x{1F3FF}])‍|‍(?!\p{So})", "")
-    s = F.regexp_replace(F.regexp_replace(s, f"ی{ARABIC_NEXT}", "ي"), "ی", "ى")
-    return F.trim(F.regexp_replace(s, f"ک{ARABIC_NEXT}", "ك"))
+
+    def where(df: DataFrame, sign: str, *changes: tuple[str, str]) -> DataFrame:
+        out = F.col(name)
+        for pattern, to in changes:
+            out = F.regexp_replace(out, pattern, to)
+        return df.withColumn(name, F.when(F.contains(F.col(name), F.lit(sign)), out).otherwise(F.col(name)))
+
+    df = where(df, "\u200c", ("\u200c+", "\u200c"), (f"(?<![{DUAL}]\\p{{M}}{{0,8}})\u200c|\u200c(?!\\p{{M}}*[ء-يٱ-ۓ])", ""))
+    df = where(df, "\u200d", ("(?<![\\p{So}\\x{1F3FB}-\\x{1F3FF}])\u200d|\u200d(?!\\p{So})", ""))
+    df = where(df, "ی", (f"ی{ARABIC_NEXT}", "ي"), ("ی", "ى"))
+    return where(df, "ک", (f"ک{ARABIC_NEXT}", "ك")).withColumn(name, F.trim(name))
 
 
 ROUNDS = 3  # no base takes more than three further parts, one after the other, in Unicode
 
 
-def forms(texts: DataFrame) -> DataFrame:
-    """(text, form) of distinct texts that hold any code point of ``odd_class``."""
-    parts, options = (F.broadcast(t) for t in tables(texts.sparkSession))
-    keyed = texts.select("text", F.md5("text").alias("h")).repartition("h")
-    cps = keyed.select("h", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+def forms(words: DataFrame) -> DataFrame:
+    """(word, form) of distinct words that hold any code point of ``odd_class``, before what depends on their neighbours."""
+    parts, options = (F.broadcast(t) for t in tables(words.sparkSession))
+    keyed = words.select("word", F.md5("word").alias("h")).repartition("h")
+    cps = keyed.select("h", F.posexplode(F.split("word", "")).alias("pos", "ch"))
     plain = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
     cps = cps.join(parts, "ch", "left").select("h", "pos", F.posexplode(F.coalesce("parts", plain)).alias("i", "p")).select("h", "pos", "i", "p.*")
     w = Window.partitionBy("h").orderBy("pos", "i").rowsBetween(Window.unboundedPreceding, 0)
@@ -151,19 +168,25 @@ def forms(texts: DataFrame) -> DataFrame:
         )
     segs = segs.select("h", "seg", F.concat("base", F.array_join(F.expr("transform(marks, m -> m.c)"), "")).alias("s"))
     built = segs.groupBy("h").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(seg, s))), x -> x.s)"), "").alias("form"))
-    return keyed.join(built, "h", "left").select("text", _in_context(F.coalesce("form", F.lit(""))).alias("form"))
+    return keyed.join(built, "h", "left").select("word", F.coalesce("form", F.lit("")).alias("form"))
 
 
 def with_form(df: DataFrame, text: str = "text", form: str = "form") -> DataFrame:
     """``df`` with a column of the consistent form of its text, in place of a column of that name.
 
     Null stays null; a text of invisible characters only becomes empty; a text that holds nothing odd is its own form, without
-    white space around it. Rows are neither lost nor added, whatever repeats. Very long texts are one group of code points each.
+    white space around it. Rows are neither lost nor added, whatever repeats. A very long word is one group of code points.
     """
     df = df.drop(form) if form != text else df
-    odd = F.coalesce(F.col(text).rlike(odd_class()), F.lit(False))
-    made = forms(df.filter(odd).select(F.col(text).alias("text")).distinct()).toDF("_odd_text", form)
-    return df.filter(~odd).withColumn(form, F.trim(text)).unionByName(df.filter(odd).join(made, F.col(text) == F.col("_odd_text")).drop("_odd_text"))
+    found = F.when(F.col(text).rlike(odd_class()), F.array_distinct(F.filter(F.split(text, " "), lambda w: w.rlike(odd_class()))))
+    rows = durable(df.withColumn("_odd", found).withColumn("_h", F.when(F.col("_odd").isNotNull(), F.md5(text))))
+    held = rows.filter("_odd is not null").select("_h", F.explode("_odd").alias("word")).distinct()
+    made = forms(rows.filter("_odd is not null").select(F.explode("_odd").alias("word")).distinct())
+    changed = held.join(made, "word").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("word", "form"))).alias("_changed"))
+    odd = rows.filter("_odd is not null").join(changed, "_h")
+    built = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at("_changed", w), w)), " ")
+    odd = _in_context(odd.withColumn(form, built), form)
+    return rows.filter("_odd is null").withColumn(form, F.trim(text)).unionByName(odd.drop("_changed")).drop("_odd", "_h")
 
 
 def equal_looking(df: DataFrame, text: str = "text", ident: str = "ord") -> DataFrame:
