@@ -88,11 +88,9 @@ FROM t"""
 
 # Grams of two and three words as hashes, with their counts inside and at ends.
 _GRAMS = """
-SELECT h, sum(i) AS n_in, sum(t) AS n_end FROM (
-  SELECT explode(flatten(transform(sequence(1, size(words) - 1), p -> filter(array(
-           struct(xxhash64(2, words[p - 1], words[p]) AS h, IF(p + 1 < size(words), 1L, 0L) AS i, IF(p + 1 = size(words) AND trusted, 1L, 0L) AS t),
-           IF(p > 1, struct(xxhash64(3, words[p - 2], words[p - 1], words[p]) AS h, IF(p + 1 < size(words), 1L, 0L) AS i, IF(p + 1 = size(words) AND trusted, 1L, 0L) AS t), NULL)), x -> x IS NOT NULL)))) AS g
-  FROM _lexmill_marked WHERE size(words) > 1) LATERAL VIEW inline(array(g)) x AS h, i, t GROUP BY h"""
+WITH z AS (SELECT trusted, size(words) AS n, posexplode(arrays_zip(words, slice(words, 2, size(words)), slice(words, 3, size(words)))) AS (p, z) FROM _lexmill_marked WHERE size(words) > 1),
+g AS (SELECT stack(2, IF(p + 1 < n, xxhash64(2, z.words, z.`1`, ''), NULL), p + 2, IF(p + 2 < n, xxhash64(3, z.words, z.`1`, z.`2`), NULL), p + 3) AS (h, upto), n, trusted FROM z)
+SELECT h, count_if(upto < n) AS n_in, count_if(upto = n AND trusted) AS n_end FROM g WHERE h IS NOT NULL GROUP BY h"""
 
 # How often words go on after a final word: its hash among those of the beginnings of words, beginnings longer than any final word left out.
 _WORDS = """
@@ -115,7 +113,7 @@ SELECT tbl, ord, grp, at_limit, CASE WHEN complete THEN NULL WHEN other IS NOT N
 _JUDGED = f"""
 WITH f AS (
   SELECT tbl, ord, grp, at_limit, other, at_limit OR other IS NOT NULL AS doubtful, tag IS NOT NULL AS tagged, int(trusted) AS own, get(words, size(words) - 1) AS w,
-         IF(size(words) > 1, xxhash64(2, get(words, size(words) - 2), get(words, size(words) - 1)), NULL) AS h2,
+         IF(size(words) > 1, xxhash64(2, get(words, size(words) - 2), get(words, size(words) - 1), ''), NULL) AS h2,
          IF(size(words) > 2, xxhash64(3, get(words, size(words) - 3), get(words, size(words) - 2), get(words, size(words) - 1)), NULL) AS h3
   FROM _lexmill_marked WHERE link IS NULL AND NOT complete AND size(words) > 0),
 o AS (SELECT sum(n_end) / greatest(1, sum(n_in) + sum(n_end)) AS r FROM _lexmill_words),
