@@ -15,6 +15,7 @@ values get a keyed hash.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from datetime import date
 from functools import cache
 from hashlib import blake2b
@@ -87,16 +88,25 @@ def _plain_char(ch: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", ch) if unicodedata.category(x) not in ("Mn", "Cf")).translate(_TABLE)
 
 
-def plain(text: str) -> tuple[str, list[int]]:
+class _Plain(dict):
+    def __missing__(self, ch: str) -> str:
+        self[ch] = out = ch if " " <= ch < "\x7f" else _plain_char(ch)
+        return out
+
+
+_PLAIN = _Plain()
+
+
+def plain(text: str) -> tuple[str, Sequence[int]]:
     """The plain form of a text and the place in the text of each of its characters."""
-    out, at = [], []
-    for i, ch in enumerate(text):
-        p = ch if " " <= ch < "\x7f" else _plain_char(ch)
-        out.append(p)
-        at += [i] * len(p)
-    return "".join(out), at
+    parts = [_PLAIN[ch] for ch in text]
+    lengths = set(map(len, parts))
+    if lengths <= {1}:
+        return "".join(parts), range(len(text))
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
+_DIGIT = regex.compile(r"\d")
 _W2 = r"[\p{L}'-]{2,}"
 
 
@@ -120,6 +130,7 @@ _TOKEN = regex.compile(r"[\p{L}][\p{L}'-]+")
 _INITIAL = regex.compile(r"\p{L}\.")
 _PART = frozenset(PARTICLES.split())
 _NO_PART = frozenset([*BUSINESS, *BUSINESS_AFTER, *NOT_LAST, *(x for x in LEADS if " " not in x)])
+_AFTER_INITIAL = regex.compile(rf"{_S}?({_W2})(?![\w@])")
 _NEXT = regex.compile(rf"{_S}({_W2})(?![\w@])")
 
 
@@ -171,7 +182,7 @@ def _names(t: str, given: dict[str, bool]) -> list[tuple[int, int, str, str, int
         led.add(start)
         k = _INITIAL.match(t, start)
         if k:
-            n = regex.compile(rf"{_S}?({_W2})(?![\w@])").match(t, k.end())
+            n = _AFTER_INITIAL.match(t, k.end())
             if n and len(n[1]) > 2:
                 add(start, k[0], [(n.end(), n[1].lower(), False)], 2)
             continue
@@ -214,7 +225,7 @@ def spans_of(text: str | None, given: dict[str, bool]) -> list[tuple[str, int, i
         t = take("EMAIL", EMAIL, t)
     if "@" in t or "#" in t:
         t = take("", LINK, t)
-    if any(c.isdigit() for c in t):
+    if _DIGIT.search(t):
         t = take("ADDRESS", ADDRESS, t)
         t = take("", OTHER, t, lambda m: digits(m) >= 4)
         t = take("IDNUM", IDNUM, t, lambda m: digits(m) >= 6)
@@ -233,17 +244,19 @@ def spans_of(text: str | None, given: dict[str, bool]) -> list[tuple[str, int, i
 def _flat(text: Column) -> Column:
     """The plain form of words, near enough to count them, without leaving Spark."""
     pairs = [(chr(k), v) for k, v in _TABLE.items() if isinstance(v, str) and len(v) == 1] + [(c, p) for c in map(chr, range(0xC0, 0x250)) if len(p := _plain_char(c)) == 1 and p != c]
-    t = F.regexp_replace(F.regexp_replace(text, r"[\p{Mn}\p{Cf}\x{640}]", ""), r"(?i)\S+@\S+|(?:https?://|www\.)\S+|[@#]\S+|\S+ ?[\[(] ?at ?[\])] ?\S+", " . ")
+    t = F.regexp_replace(F.regexp_replace(text, r"(?![ -~ء-ي])[\p{Mn}\p{Cf}\x{640}]", ""), r"(?i)\S+@\S+|(?:https?://|www\.)\S+|[@#]\S+|\S+ ?[\[(] ?at ?[\])] ?\S+", " . ")
     return F.lower(F.translate(t, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)))
 
 
 def learnt(texts: DataFrame) -> DataFrame:
     """(word, n, n_led) of a column ``text``: the occurrences of each word, and those right after a lead-in with another word following."""
+    after = rf"(?<![\p{{L}}\p{{N}}_])(?:{_leads()})\s+({_W2})(?=[ \t]+[\p{{L}}])"
     t = texts.select(_flat(F.col("text")).alias("t"))
-    after = rf"(?<![\p{{L}}\p{{N}}_])(?:{_leads()})\s+({_W2})(?=[ \t]+[\p{{L}}])".replace("\\'", "'")
-    words = t.select(F.explode(F.regexp_extract_all("t", F.lit(rf"\p{{L}}{_W2[:-4]}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    led = t.select(F.explode(F.regexp_extract_all("t", F.lit(after), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n_led"))
-    return durable(words.join(led, "word", "left").select("word", "n", F.coalesce("n_led", F.lit(0)).alias("n_led")))
+    both = F.concat(F.regexp_extract_all("t", F.lit(r"\p{L}[\p{L}'-]+"), F.lit(0)), F.transform(F.regexp_extract_all("t", F.lit(after), F.lit(1)), lambda w: F.concat(F.lit("+"), w)))
+    counts = t.select(F.explode(both).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    led = F.col("w").startswith("+")
+    words = counts.groupBy(F.when(led, F.expr("substr(w, 2)")).otherwise(F.col("w")).alias("word"))
+    return durable(words.agg(F.sum(F.when(led, 0).otherwise(F.col("c"))).alias("n"), F.sum(F.when(led, F.col("c")).otherwise(0)).alias("n_led")).filter("n > 0"))
 
 
 def given_names(words: DataFrame) -> dict[str, bool]:
