@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import portable as P
@@ -198,19 +198,22 @@ def token_languages(text: Column | str) -> Column:
     return F.transform(tokenize(t), lang)
 
 
-def code_mixing(text: Column | str) -> dict[str, Column]:
-    """Code-mixing index, switch points and their fraction, Latin share, dominant script."""
-    langs = token_languages(text)
+def code_mixing(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the code-mixing index, switch points and their fraction, Latin share and dominant script of a text.
+
+    The languages of the words are a column of their own, used many times and therefore computed once; null texts have none.
+    """
+    langs = F.col("_langs")
     n = lambda x: F.size(F.filter(langs, lambda w: w == x))
-    ar, en, lang = n("ar"), n("en"), F.size(F.filter(langs, lambda w: w != "other"))
-    seq = F.filter(langs, lambda w: w.isin("ar", "en"))
-    m = F.size(seq)
-    switches = F.when(m > 1, F.aggregate(F.zip_with(F.slice(seq, F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice(seq, F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)).otherwise(0)
-    return {
-        "words": F.size(langs), "arabic_words": ar, "latin_words": en, "cmi": F.when(lang > 0, 100 * (1 - F.greatest(ar, en) / lang)).otherwise(F.lit(0.0)), "switch_points": switches,
-        "switch_point_fraction": F.when(m > 1, switches / (m - 1)).otherwise(F.lit(0.0)), "latin_word_share": F.when(F.size(langs) > 0, en / F.size(langs)).otherwise(F.lit(0.0)),
-        "dominant": F.when(ar > en, "ar").when(en > ar, "en").otherwise("tie"),
-    }
+    out = df.withColumn("_langs", token_languages(text))
+    out = out.withColumns({"words": F.size(langs), "arabic_words": n("ar"), "latin_words": n("en"), "_lang": F.size(F.filter(langs, lambda w: w != "other")), "_seq": F.filter(langs, lambda w: w.isin("ar", "en"))})
+    m, ar, en, lang = F.size("_seq"), F.col("arabic_words"), F.col("latin_words"), F.col("_lang")
+    changes = F.zip_with(F.slice("_seq", F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice("_seq", F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: a != b)
+    out = out.withColumn("switch_points", F.when(m > 1, F.size(F.filter(changes, lambda x: x))).otherwise(0))
+    return out.withColumns({
+        "cmi": F.when(lang > 0, 100 * (1 - F.greatest(ar, en) / lang)).otherwise(F.lit(0.0)), "switch_point_fraction": F.when(m > 1, F.col("switch_points") / (m - 1)).otherwise(F.lit(0.0)),
+        "latin_word_share": F.when(F.col("words") > 0, en / F.col("words")).otherwise(F.lit(0.0)), "dominant": F.when(ar > en, "ar").when(en > ar, "en").otherwise("tie"),
+    }).drop("_langs", "_lang", "_seq")
 
 
 def connective_words(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ the most similar earlier record, the earliest on ties; matches aren't transitive
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,10 +17,15 @@ from lexmill.functions import text as X
 from lexmill.session import durable
 
 
+FREQUENT_SHARE = 1 / 1_000_000  # of all shingles, from which one is put behind the others: at most a million, of 16 bytes, are
+TOGETHER = 6  # shingles that the first ones of two similar sets share, where the sets are large enough
+
+
 def exact_duplicates(df: DataFrame, key: Column, ident: str) -> DataFrame:
     """``df`` with ``duplicate_of``: the first record with the same key, or null for that record itself and for null keys."""
-    first = df.groupBy(key.alias("_key")).agg(F.min(ident).alias("_first")).filter("_key is not null")
-    out = df.withColumn("_key", key).join(first, "_key", "left")
+    first = df.groupBy(key.alias("_key")).agg(F.min(ident).alias("_first"), F.count("*").alias("_n")).filter("_key is not null and _n > 1").drop("_n")
+    rows = df.withColumn("_key", key)  # rows without a key meet nothing and don't all go to one task
+    out = rows.filter("_key is not null").join(first, "_key", "left").unionByName(rows.filter("_key is null").withColumn("_first", F.lit(None).cast(df.schema[ident].dataType)))
     return out.withColumn("duplicate_of", F.when(F.col("_first") < F.col(ident), F.col("_first"))).drop("_key", "_first")
 
 
@@ -30,15 +36,57 @@ def _classes(df: DataFrame, text: str, ident: str, group: str | None) -> DataFra
     return rows.groupBy("key", "grp").agg(F.min("ord").alias("cls"))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(key: str, n: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the character n-grams of a key, or of the whole key where it isn't longer than ``n``."""
+    cps = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    m = min(n, len(cps))
+    h = np.full(len(cps) - m + 1, m, dtype=np.uint64)
+    for i in range(m):
+        h = (h ^ cps[i : len(cps) - m + 1 + i]) * _STEP
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
 def _shingled(classes: DataFrame, n: int) -> DataFrame:
-    return classes.select("cls", "grp", F.array_distinct(F.transform(X.shingles("key", n), lambda s: F.xxhash64(s))).alias("sh")).withColumn("n", F.size("sh"))
+    """(cls, grp, sh, n): the hashes of each class, in numpy batches."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: shingle_hashes(k, n))
+
+    return classes.select("cls", "grp", hashes("key").alias("sh")).withColumn("n", F.size("sh"))
 
 
-def _prefixes(sets: DataFrame, threshold: float, counts: DataFrame) -> DataFrame:
-    """The rarest shingles of each set: two sets of Jaccard ``threshold`` share one of them."""
-    rows = sets.select("cls", "n", F.explode("sh").alias("s")).join(counts, "s")
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "s"))
-    return rows.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("cls", "n", "s")
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the shingles with FREQUENT_SHARE of all or more; of proven size, as no more than 1 / FREQUENT_SHARE can have that share each."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    rows = sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") >= max(2.0, total * FREQUENT_SHARE)).toPandas().sort_values("s")
+    return rows["s"].to_numpy(np.int64), rows["df"].to_numpy(np.int64)
+
+
+def _prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cls, n, s): the first shingles of each set, rare ones before frequent ones: two sets of Jaccard ``threshold`` share TOGETHER of them, or all their common ones."""
+    known = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def first(batches):
+        hashes, counts = known.value
+        for b in batches:
+            cls, n, keys = [], [], []
+            for c, sh in zip(b["cls"], b["sh"]):
+                sh = np.asarray(sh, dtype=np.int64)
+                at = np.minimum(np.searchsorted(hashes, sh), max(len(hashes) - 1, 0))
+                df = np.where(hashes[at] == sh, counts[at], 0) if len(hashes) else np.zeros(len(sh), dtype=np.int64)
+                some = sh[np.lexsort((sh, df))[: len(sh) - int(np.ceil(threshold * len(sh) - 1e-9)) + TOGETHER]]
+                cls.append(np.full(len(some), c, dtype=np.int64))
+                n.append(np.full(len(some), len(sh), dtype=np.int32))
+                keys.append(some)
+            join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+            yield pd.DataFrame({"cls": join(cls, np.int64), "n": join(n, np.int32), "s": join(keys, np.int64)})
+
+    return sets.select("cls", "sh").mapInPandas(first, "cls long, n int, s long")
 
 
 def minhash_bands(sets: DataFrame, bands: int = 16, rows: int = 8, seed: int = 1) -> DataFrame:
@@ -47,8 +95,6 @@ def minhash_bands(sets: DataFrame, bands: int = 16, rows: int = 8, seed: int = 1
     a, b = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
 
     def sign(batches):
-        import pandas as pd
-
         for x in batches:
             cls, n, keys = [], [], []
             for c, sh in zip(x["cls"], x["sh"]):
@@ -70,10 +116,13 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: fl
     return both.filter((F.col("jaccard") >= threshold) & F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))).select("a", "b", "jaccard")
 
 
-def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+def _candidates(a: DataFrame, b: DataFrame, threshold: float, together: int = 1, within: bool = False) -> DataFrame:
+    """(a, b) of the sets that share ``together`` keys, or as many as the larger must have in common, and whose sizes allow the threshold."""
     left, right = a.toDF("a", "na", "s"), b.toDF("b", "nb", "s")
     near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    return left.join(right, "s").filter(near & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    met = left.join(right, "s").filter(near & ((F.col("a") > F.col("b")) if within else F.lit(True)))
+    need = F.least(F.lit(together), F.ceil(F.lit(threshold) * F.greatest(F.max("na"), F.max("nb")) - 1e-9))
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), need.alias("need")).filter("n >= need").select("a", "b")
 
 
 def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: float = 0.8, n: int = 5, group: str | None = None, mode: str = "exact") -> DataFrame:
@@ -87,8 +136,8 @@ def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: floa
     if mode == "lsh":
         keys = durable(minhash_bands(sets))
     else:
-        keys = durable(_prefixes(sets, threshold, sets.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"))))
-    pairs = _candidates(keys, keys, threshold).filter("a > b")
+        keys = durable(_prefixes(sets, threshold, frequent_shingles(sets)))
+    pairs = _candidates(keys, keys, threshold, 1 if mode == "lsh" else TOGETHER, within=True)
     links = _verified(pairs, sets, sets, threshold)
     top = F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m")
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
@@ -111,10 +160,9 @@ def near_duplicates_against(df: DataFrame, refs: DataFrame, text: str, ident: st
     """(ident, duplicate_of, jaccard): the most similar reference of each record at ``threshold`` or more, the earliest on ties."""
     cls, ref = durable(_classes(df, text, ident, None)), _classes(refs, ref_text, ref_ident, None)
     a, b = durable(_shingled(cls, n)), durable(_shingled(ref, n))
-    counts = a.select(F.explode("sh").alias("s")).unionAll(b.select(F.explode("sh").alias("s"))).groupBy("s").agg(F.count("*").alias("df"))
-    left, right = _prefixes(a, threshold, counts).toDF("a", "na", "s"), _prefixes(b, threshold, counts).toDF("b", "nb", "s")
-    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    links = _verified(left.join(right, "s").filter(near).select("a", "b").distinct(), a, b, threshold)
+    counts = frequent_shingles(a.unionByName(b))
+    left, right = _prefixes(a, threshold, counts), _prefixes(b, threshold, counts)
+    links = _verified(_candidates(left, right, threshold, TOGETHER), a, b, threshold)
     best = links.groupBy("a").agg(F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m"))
     rows = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key")).join(cls.select("key", F.col("cls").alias("a")), "key").join(best, "a")
     return rows.select(F.col("ord").alias(ident), (-F.col("m.b")).alias("duplicate_of"), F.col("m.jaccard").alias("jaccard"))

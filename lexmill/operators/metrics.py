@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.operators import ranks
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -54,11 +54,11 @@ def multilabel_scores(df: DataFrame, gold: dict[str, Column], pred: dict[str, Co
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, rank: str = "rank") -> DataFrame:
-    """``df`` with ranks that tied values share; ranks come from counts of each value, so a group needs no single sorted list of rows."""
+    """``df`` with ranks that tied values share; ranks come from running counts of the values in many tasks, so a group needs no sorted list of its own."""
     by = by or []
-    n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(n.withColumn(rank, run - (F.col("_n") - 1) / 2).drop("_n"), [*by, value])
+    n = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = ranks.running(n, by, [F.col(value)], {"_before": F.col("_n")}).withColumn(rank, F.col("_before") + (F.col("_n") + 1) / 2)
+    return df.join(n.select(*by, value, rank), [*by, value])
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -101,17 +101,20 @@ def cohens_d(df: DataFrame, value: str, side: Column) -> DataFrame:
     return s.select("n1", "n0", ratio(F.col("m1") - F.col("m0"), pooled).alias("d"))
 
 
-def sign_test(wins: Column, losses: Column, most: int = 60) -> Column:
-    """The two-sided exact binomial probability of as uneven a result; ties are left out before. Up to ``most`` comparisons, else null."""
-    table = F.array(*[F.array(*[F.lit(float(sum(comb(n, i) for i in range(k + 1)) / 2**n)) for k in range(n + 1)]) for n in range(most + 1)])
-    n, k = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    return F.when(n == 0, 1.0).when(n <= most, F.least(F.lit(1.0), 2 * F.get(F.get(table, n), k)))
+def sign_test(wins: Column, losses: Column) -> Column:
+    """The two-sided exact binomial probability of as uneven a result, for any number of comparisons; ties are left out before."""
+    n, k = (wins + losses).cast("double"), F.least(wins, losses).cast("int")
+    start = F.struct(F.lit(0.0).alias("l"), F.exp(-n * F.ln(F.lit(2.0))).alias("s"))
+    ways = lambda a, i: a["l"] + F.ln((n - i + 1) / i)  # noqa: E731 - the logarithm of n over i, from that of n over i - 1
+    step = lambda a, i: F.struct(ways(a, i).alias("l"), (a["s"] + F.exp(ways(a, i) - n * F.ln(F.lit(2.0)))).alias("s"))
+    below = F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.when(n == 0, 1.0).when(n > 0, F.least(F.lit(1.0), 2 * F.aggregate(below, start, step)["s"]))
 
 
 def best_threshold(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """One row: the score at which calling all from there on positive has the best balanced accuracy; the lowest on ties."""
     n = df.groupBy(F.col(score).alias("t")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.orderBy("t")
-    s = n.select("t", F.sum("p").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("tp"), F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tn"), F.sum("p").over(Window.partitionBy()).alias("np"), F.sum("q").over(Window.partitionBy()).alias("nq"))
+    s = ranks.running(n.filter("t is not null"), [], [F.col("t")], {"bp": F.col("p"), "bq": F.col("q")})
+    s = s.select("t", (F.col("bp_all") - F.col("bp")).alias("tp"), F.col("bq").alias("tn"), F.col("bp_all").alias("np"), F.col("bq_all").alias("nq"))
     s = s.withColumn("acc", (ratio(F.col("tp"), F.col("np")) + ratio(F.col("tn"), F.col("nq"))) / 2)
     return s.agg(F.max("acc").alias("balanced_accuracy"), F.max(F.struct(F.round("acc", 12).alias("a"), (-F.col("t")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), "balanced_accuracy")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.session import durable
+
 BLOCK = 4096  # places that one window holds
 ROWS_A_RANGE = 100_000
 MOST_BITS = 24
@@ -53,6 +55,26 @@ def ranked(df: DataFrame, by: list[str], spread: Column, order: list[Column], na
     return rows.withColumn("_inside", inside).join(ranges, same).withColumn(name, F.col("_inside") + F.col("_before")).drop("_spread", "_range", "_of", "_before", "_inside", *[f"_by_{c}" for c in by])
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each of ``values`` by its name, the sum over the rows of the group that come before, and with ``<name>_all``, that of the whole group.
+
+    Rows are cut into parts of their order of nearly equal size and kept, so that a part is a task's work however large its group;
+    sums of parts are a few numbers a group. Null groups are groups; ties come in the order that ``order`` ends with.
+    """
+    keys = [F.col(c) for c in by]
+    parts = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    parts = durable(parts.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id().cast("long")))
+    sums = parts.groupBy(*by, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    earlier = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values], *[F.sum(f"_s_{n}").over(w).alias(f"{n}_all") for n in values])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_of"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values}).join(sums, same)
+    out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_b_{n}") for n in values})
+    return out.drop("_part", "_of", *[f"_by_{c}" for c in by], *[f"{x}_{n}" for n in values for x in ("_v", "_i", "_b")])
+
+
 def hash_spread(hexed: Column) -> Column:
     """The first MOST_BITS bits of a hash in hexadecimal digits, as a whole number."""
     return F.conv(F.substring(hexed, 1, MOST_BITS // 4), 16, 10).cast("long")

@@ -1,14 +1,15 @@
 """Splitting, sampling and selecting.
 
 Random order is the order of a SHA-256 of seed, group and identifier: the same everywhere, and independent between groups. Ranks of
-large groups come from counts of hash ranges, so that a group that holds most rows is ranked in many tasks.
+large groups come from counts of ranges of their order, so that a group that holds most rows is ranked in many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lexmill.operators import ranks
 
 
 def hash_order(seed: str, *parts: Column | str) -> Column:
@@ -16,15 +17,9 @@ def hash_order(seed: str, *parts: Column | str) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], order: Column, ident: str, rank: str = "rn") -> DataFrame:
-    """``df`` with the place of each row in its group by ``order`` (hexadecimal digits) and ``ident``, in many tasks a group."""
-    rows = df.withColumn("_h", order).withColumn("_range", F.substring("_h", 1, 2))
-    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).withColumn("n_group", F.sum("_n").over(Window.partitionBy(*by)))
-    cond = [rows[c].eqNullSafe(sizes[c]) for c in [*by, "_range"]]
-    both = rows.join(sizes, cond).drop(*[sizes[c] for c in [*by, "_range"]])
-    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", ident)) + F.col("_before")
-    return both.withColumn(rank, place).drop("_h", "_range", "_n", "_before")
+    """``df`` with the place of each row in its group by ``order`` and ``ident``, and the group's size ``n_group``, in many tasks a group."""
+    rows = ranks.running(df.withColumn("_order", order), by, [F.col("_order"), F.col(ident)], {rank: F.lit(1)})
+    return rows.withColumn(rank, F.col(rank) + 1).withColumnRenamed(f"{rank}_all", "n_group").drop("_order")
 
 
 def stratified_split(df: DataFrame, by: list[str], ident: str, fraction: float, seed: str) -> DataFrame:
@@ -56,19 +51,25 @@ def folds(df: DataFrame, ident: str, k: int, seed: str, group: str | None = None
 
 def permuted_labels(df: DataFrame, by: list[str], ident: str, label: str, seed: str) -> DataFrame:
     """(by..., ident, shuffled): labels permuted inside each stratum."""
-    a = ranked(df.select(*by, ident), by, F.lpad(F.hex(F.col(ident)), 16, "0"), ident).select(*by, "rn", ident)
+    a = ranked(df.select(*by, ident), by, F.col(ident), ident).select(*by, "rn", ident)
     b = ranked(df.select(*by, ident, label), by, hash_order(seed, *by, F.col(ident).cast("string")), ident).select(*by, "rn", F.col(label).alias("shuffled"))
     return a.join(b, [*by, "rn"]).select(*by, ident, "shuffled")
 
 
 def interleaved(df: DataFrame, by: str, ident: str) -> DataFrame:
     """``df`` with ``at``: the greedy round-robin that always takes from the group that is least done, in closed form."""
-    rows = ranked(df, [by], F.lpad(F.hex(F.col(ident)), 16, "0"), ident)
+    rows = ranked(df, [by], F.col(ident), ident)
     return rows.withColumn("at", (F.col("rn") - 1) / F.col("n_group")).drop("rn", "n_group")
 
 
 def few_shots(requests: DataFrame, pool: DataFrame, by: list[str], k: int, seed: str) -> DataFrame:
-    """(request, rank, pool_id): ``k`` examples of the request's cell for each request, by random order of request and example."""
-    cells = pool.groupBy(*by).agg(F.collect_list("pool_id").alias("ids"))
-    pick = F.slice(F.array_sort(F.transform("ids", lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), "request_id", i), 256).alias("h"), i.alias("pool_id")))), 1, k)
-    return requests.select("request_id", *by).distinct().join(cells, by).select("request_id", F.posexplode(pick).alias("at", "p")).select("request_id", (F.col("at") + 1).alias("rank"), "p.pool_id")
+    """(request, rank, pool_id): ``k`` examples of the request's cell for each request, from a place of its own on in the cell's random order.
+
+    The pool is ranked once; a request meets the ``k`` ranks it takes and no others, however large its cell.
+    """
+    placed = ranked(pool.select(*by, "pool_id"), by, hash_order(seed, "pool_id"), "pool_id")
+    cells = placed.groupBy(*by).agg(F.max("n_group").alias("n"))
+    start = F.conv(F.substring(hash_order(seed, "request_id"), 1, 12), 16, 10).cast("long") % F.col("n")
+    wants = requests.select("request_id", *by).distinct().join(cells, by).withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int")))))
+    wants = wants.withColumn("rn", (start + F.col("rank") - 1) % F.col("n") + 1)
+    return wants.join(placed.select(*by, "rn", "pool_id"), [*by, "rn"]).select("request_id", "rank", "pool_id")

@@ -130,10 +130,10 @@ def measure_a43_cohens_d(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.cohens_d(table(spark, sf, "events").filter("value is not null"), "value", F.col("user_id") % 2 == 0), "d")
 
 
-@r.query("""WITH w AS (SELECT event_type, user_id % 20 AS u, avg(value) AS m FROM events GROUP BY ALL), c AS (SELECT a.event_type AS a, b.event_type AS b, count_if(a.m > b.m) AS wins, count_if(a.m < b.m) AS losses FROM w a JOIN w b ON a.u = b.u AND a.event_type < b.event_type GROUP BY ALL)
+@r.query("""WITH w AS (SELECT event_type, user_id AS u, avg(value) AS m FROM events GROUP BY ALL), c AS (SELECT a.event_type AS a, b.event_type AS b, count_if(a.m > b.m) AS wins, count_if(a.m < b.m) AS losses FROM w a JOIN w b ON a.u = b.u AND a.event_type < b.event_type GROUP BY ALL)
 SELECT a, b, wins, losses, round(least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses)::BIGINT + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))), 6) AS p FROM c""")
 def measure_a33_sign_test(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 20).alias("u")).agg(F.avg("value").alias("m"))
+    w = table(spark, sf, "events").groupBy("event_type", F.col("user_id").alias("u")).agg(F.avg("value").alias("m"))
     c = w.toDF("a", "u", "ma").join(w.toDF("b", "u", "mb"), "u").filter("a < b").groupBy("a", "b").agg(F.count_if(F.col("ma") > F.col("mb")).alias("wins"), F.count_if(F.col("ma") < F.col("mb")).alias("losses"))
     return c.withColumn("p", F.round(metrics.sign_test(F.col("wins"), F.col("losses")), 6))
 

@@ -53,8 +53,7 @@ _LANGS = f"list_transform({_tok(_sub('text', P.NOISE, ' '))}, lambda w: CASE WHE
 
 @r.query(f"WITH l AS (SELECT dataset, {_LANGS} AS g FROM quality_rows WHERE text IS NOT NULL), s AS (SELECT dataset, len(list_filter(g, lambda x: x = 'ar')) AS a, len(list_filter(g, lambda x: x = 'en')) AS e, len(list_filter(g, lambda x: x <> 'other')) AS n FROM l), c AS (SELECT dataset, CASE WHEN n > 0 THEN 100 * (1 - greatest(a, e) / n) ELSE 0.0 END AS cmi, a > e AS ar FROM s) SELECT dataset, count(*) AS n, round(avg(cmi), 6) AS mean_cmi, round(median(cmi), 6) AS median_cmi, round(count_if(cmi = 0) / count(*), 6) AS zero_share, round(count_if(ar) / count(*), 6) AS arabic_share FROM c GROUP BY dataset")
 def report_a53_code_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    m = X.code_mixing("text")
-    rows = table(spark, sf, "quality_rows").filter("text is not null").select("dataset", m["cmi"].alias("cmi"), m["dominant"].alias("dominant"))
+    rows = X.code_mixing(table(spark, sf, "quality_rows").filter("text is not null").select("dataset", "text")).select("dataset", "cmi", "dominant")
     share = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
     return rows.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.avg("cmi"), 6).alias("mean_cmi"), F.round(F.median("cmi"), 6).alias("median_cmi"), share(F.col("cmi") == 0).alias("zero_share"), share(F.col("dominant") == "ar").alias("arabic_share"))
 

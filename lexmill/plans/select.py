@@ -66,8 +66,9 @@ def select_w15_interleave(spark: SparkSession, sf: str) -> DataFrame:
     return S.interleaved(table(spark, sf, "requests").select("ord", "variety"), "variety", "ord").select("ord", "variety", F.round("at", 6).alias("at"))
 
 
-@r.query("""WITH q AS (SELECT DISTINCT request_id, variety, sentiment FROM requests), j AS (SELECT request_id, pool_id, row_number() OVER (PARTITION BY request_id, variety, sentiment ORDER BY sha256(concat_ws('|', 's7', request_id, pool_id)), pool_id) AS rank FROM q JOIN fewshot_pool USING (variety, sentiment))
-SELECT request_id, rank, pool_id FROM j WHERE rank <= 3""")
+@r.query("""WITH q AS (SELECT DISTINCT request_id, variety, sentiment FROM requests), p AS (SELECT *, row_number() OVER (PARTITION BY variety, sentiment ORDER BY sha256('s7|' || pool_id), pool_id) AS rn, count(*) OVER (PARTITION BY variety, sentiment) AS n FROM fewshot_pool),
+c AS (SELECT DISTINCT variety, sentiment, n FROM p), w AS (SELECT request_id, variety, sentiment, n, unnest(range(1, least(3, n) + 1)) AS rank, list_sum(list_transform(range(1, 13), lambda i: (strpos('0123456789abcdef', substr(sha256('s7|' || request_id), i, 1)) - 1) * (16::BIGINT ** (12 - i))::BIGINT))::BIGINT AS h FROM q JOIN c USING (variety, sentiment))
+SELECT request_id, rank::INT AS rank, pool_id FROM w JOIN p ON p.variety = w.variety AND p.sentiment = w.sentiment AND p.rn = (h % w.n + rank - 1) % w.n + 1""")
 def select_j16_few_shots(spark: SparkSession, sf: str) -> DataFrame:
     return S.few_shots(table(spark, sf, "requests"), table(spark, sf, "fewshot_pool"), ["variety", "sentiment"], 3, "s7")
 

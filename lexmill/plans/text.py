@@ -145,8 +145,8 @@ w AS (SELECT *, len(list_filter(range(1, len(q)), lambda i: q[i] <> q[i + 1])) A
 SELECT ord, len(g) AS words, a AS arabic_words, e AS latin_words, round(CASE WHEN n > 0 THEN 100 * (1 - greatest(a, e) / n) ELSE 0.0 END, 6) AS cmi, sw AS switch_points, round(CASE WHEN len(q) > 1 THEN sw / (len(q) - 1) ELSE 0.0 END, 6) AS switch_point_fraction,
 round(CASE WHEN len(g) > 0 THEN e / len(g) ELSE 0.0 END, 6) AS latin_word_share, CASE WHEN a > e THEN 'ar' WHEN e > a THEN 'en' ELSE 'tie' END AS dominant FROM w""")
 def text_f10_code_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    cols = [(F.round(c, 6) if n in ("cmi", "switch_point_fraction", "latin_word_share") else c).alias(n) for n, c in X.code_mixing("text").items()]
-    return table(spark, sf, "tweets").filter("text is not null").select("ord", *cols)
+    rows = X.code_mixing(table(spark, sf, "tweets").filter("text is not null").select("ord", "text")).drop("text")
+    return rows.withColumns({n: F.round(n, 6) for n in ("cmi", "switch_point_fraction", "latin_word_share")})
 
 
 @r.query(f"SELECT ord, array_to_string(list_concat({', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN ['{n}'] ELSE [] END" for n, p in P.CUES.items())}, CASE WHEN len({_tok('text')}) <= 4 THEN ['very_short'] ELSE [] END), ' ') AS cues FROM tweets WHERE text IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lexmill-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -49,9 +49,9 @@ def test_parsers(spark):
 
 
 def test_code_mixing(spark):
-    m = X.code_mixing("t")
-    assert one(spark, m["cmi"], "123") == 0.0 and one(spark, m["switch_points"], "") == 0
-    assert round(one(spark, m["cmi"], "نص word نص"), 1) == 33.3 and one(spark, m["switch_point_fraction"], "نص word نص") == 1.0
+    got = {r.t: r for r in X.code_mixing(spark.createDataFrame([("123",), ("",), ("نص word نص",), (None,)], "t string"), "t").collect()}
+    assert got["123"].cmi == 0.0 and got[""].switch_points == 0
+    assert round(got["نص word نص"].cmi, 1) == 33.3 and got["نص word نص"].switch_point_fraction == 1.0 and len(got) == 4
     assert one(spark, X.arabic_bin("t"), "ن" * 19 + "a") == 10 and one(spark, X.arabic_bin("t"), "12") is None
 
 
