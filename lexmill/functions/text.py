@@ -72,11 +72,11 @@ def strip_diacritics(text: Column | str) -> Column:
 
 
 def clean_for_topics(text: Column | str) -> Column:
-    """Placeholders out, hashtags to words, laughter to two letters, white space collapsed."""
-    t = F.regexp_replace(_c(text), P.TOPIC_NOISE, " ")
-    t = F.array_join(F.transform(F.split(t, " "), lambda w: F.when(w.contains("#"), F.concat(F.substring_index(w, "#", 1), F.translate(F.regexp_replace(w, r"^[^#]*#(?=\S)", ""), "_", " "))).otherwise(w)), " ")
-    t = F.regexp_replace(t, "ه{3,}", "هه")
-    return F.array_join(tokenize(t), " ")
+    """Placeholders out, hashtags to words (from the first hash sign that something follows), laughter to two letters, white space collapsed."""
+    at = lambda w: F.instr(w, F.lit("#"))
+    plain = lambda w: F.when((at(w) > 0) & (at(w) < F.length(w)), F.concat(F.substring(w, F.lit(1), at(w) - 1), F.translate(F.substring(w, at(w) + 1, F.length(w)), "_", " "))).otherwise(w)
+    t = F.array_join(F.transform(tokenize(F.regexp_replace(_c(text), P.TOPIC_NOISE, " ")), plain), " ")
+    return F.array_join(tokenize(F.regexp_replace(t, "ه{3,}", "هه")), " ")
 
 
 def clean_line(line: Column | str) -> Column:
@@ -198,6 +198,26 @@ def token_languages(text: Column | str) -> Column:
     return F.transform(tokenize(t), lang)
 
 
+def keyword_types(text: Column | str, dialect: Column | str) -> Column:
+    """The kinds of post that a cleaned text matches, ``other`` where none; a link is its placeholder."""
+    t, n = _c(text), F.size(tokenize(text))
+    link = t.contains("URL")
+    news = link & ~t.rlike(P.FIRST_PERSON)
+    kinds = [
+        F.when(news & t.rlike(P.BAD_NEWS), "news_bad").when(news & t.rlike(P.GOOD_NEWS), "news_good"), F.when(_c(dialect).isin(*P.SHORT_DIALECTS) & (n <= 10) & ~link, "short_dialect"),
+        F.when(t.rlike(P.SINGER), "lyric"), F.when((n <= 14) & t.contains("#") & t.rlike(P.HEART) & ~link, "fan_post"),
+    ]
+    found = F.filter(F.array(*kinds), lambda x: x.isNotNull())
+    return F.when(t.isNotNull(), F.when(F.size(found) == 0, F.array(F.lit("other"))).otherwise(found))
+
+
+def reparsed(raw: Column | str) -> Column:
+    """The text that the parsers make of a stored output: its first sentence without a translation, cleaned; null where there is none."""
+    first = F.get(parse_output(raw), F.lit(0))
+    bare = strip_translation(first)[0]
+    return F.when(bare != "", clean_text(bare)[0])
+
+
 def code_mixing(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the code-mixing index, switch points and their fraction, Latin share and dominant script of a text.
 

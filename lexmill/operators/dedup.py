@@ -180,6 +180,16 @@ def filter_stats(checked: DataFrame, by: str) -> DataFrame:
     return checked.groupBy(by).agg(F.count("*").alias("n_in"), kept.alias("n_kept"), (F.count("*") - kept).alias("n_rejected"), (kept / F.count("*")).alias("kept_rate"))
 
 
+def check_counts(checked: DataFrame, checks: list[str], by: str) -> DataFrame:
+    """(measure, name, n): ``failed`` and ``rejected_by`` for every check, and ``kept_of`` and ``rejected_of`` for every group, a null one being ''."""
+    rows = checked.groupBy(F.coalesce(F.col(by), F.lit("")).alias("g"), "failed_checks", "rejected_by").agg(F.count("*").alias("n"))
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    totals = rows.agg(*[some(F.array_contains("failed_checks", k)).alias(f"f_{k}") for k in checks], *[some(F.col("rejected_by") == k).alias(f"r_{k}") for k in checks])
+    entries = [F.struct(F.lit(m).alias("measure"), F.lit(k).alias("name"), F.col(f"{c}_{k}").alias("n")) for m, c in (("failed", "f"), ("rejected_by", "r")) for k in checks]
+    kept = F.when(F.col("rejected_by").isNull(), "kept_of").otherwise("rejected_of")
+    return totals.select(F.explode(F.array(*entries)).alias("e")).select("e.*").unionByName(rows.groupBy(kept.alias("measure"), F.col("g").alias("name")).agg(F.sum("n").alias("n")))
+
+
 def first_come(df: DataFrame, key: Column, wanted: Column, order: list[str], by: str) -> DataFrame:
     """Counters of each dataset of a pool: empty, unwanted, repeat or kept; only wanted texts can make later ones repeats."""
     kind = F.when(F.coalesce(key, F.lit("")) == "", "empty").when(~wanted, "unwanted")

@@ -55,12 +55,15 @@ def dedup_n06_against_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CHECKED = f"""WITH {near_sql('documents', 'doc_id')},
-f AS (SELECT d.doc_id, d.source, {KEY} = '' OR text IS NULL AS blank, min(doc_id) OVER (PARTITION BY {KEY}) < doc_id AS exact, {_n('text', P.ARABIC)} AS a, {_n('text', '\\p{L}')} AS l, len({_tok('text')}) AS w FROM documents d),
-c AS (SELECT f.doc_id, f.source, list_filter([CASE WHEN blank THEN 'present' END, CASE WHEN exact THEN 'exact_dup' END, CASE WHEN near.doc_id IS NOT NULL THEN 'near_dup' END, CASE WHEN l = 0 OR a < 0.7 * l THEN 'script' END, CASE WHEN w NOT BETWEEN 20 AND 400 THEN 'length' END], lambda x: x IS NOT NULL) AS failed FROM f LEFT JOIN near USING (doc_id))"""
+f AS (SELECT d.doc_id, d.source, d.dialect, {KEY} = '' OR text IS NULL AS blank, min(doc_id) OVER (PARTITION BY {KEY}) < doc_id AS exact, {_n('text', P.ARABIC)} AS a, {_n('text', '\\p{L}')} AS l, len({_tok('text')}) AS w FROM documents d),
+c AS (SELECT f.doc_id, f.source, f.dialect, list_filter([CASE WHEN blank THEN 'present' END, CASE WHEN exact THEN 'exact_dup' END, CASE WHEN near.doc_id IS NOT NULL THEN 'near_dup' END, CASE WHEN l = 0 OR a < 0.7 * l THEN 'script' END, CASE WHEN w NOT BETWEEN 20 AND 400 THEN 'length' END], lambda x: x IS NOT NULL) AS failed FROM f LEFT JOIN near USING (doc_id))"""
+
+
+CHECKS = ("present", "exact_dup", "near_dup", "script", "length")
 
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "dialect", "text")
     near = dedup.near_duplicates_within(docs, "text", "doc_id").select("doc_id", F.lit(True).alias("near"))
     rows = dedup.exact_duplicates(docs, X.dedup_key("text"), "doc_id").join(near, "doc_id", "left")
     t = F.col("text")
@@ -81,6 +84,14 @@ def flow_filter_stats(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.filter_stats(_checked(spark, sf), "source").withColumn("kept_rate", F.round("kept_rate", 6))
 
 
+@r.query(_CHECKED + """ SELECT 'failed' AS measure, k AS name, count_if(list_contains(failed, k)) AS n FROM c, (SELECT unnest(['present', 'exact_dup', 'near_dup', 'script', 'length']) AS k) GROUP BY k
+UNION ALL SELECT 'rejected_by', k, count_if(failed[1] = k) FROM c, (SELECT unnest(['present', 'exact_dup', 'near_dup', 'script', 'length']) AS k) GROUP BY k
+UNION ALL SELECT CASE WHEN len(failed) = 0 THEN 'kept_of' ELSE 'rejected_of' END, coalesce(dialect, ''), count(*) FROM c GROUP BY ALL""")
+def flow_a17_check_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records fail each check, how many each check rejects first, and how many of each dialect are kept and rejected."""
+    return dedup.check_counts(_checked(spark, sf), list(CHECKS), "dialect")
+
+
 @r.query(f"""WITH k AS (SELECT source, ord, {KEY} AS key, coalesce({_n('text', P.ARABIC_NARROW)} > 0 AND {_n('text', P.ARABIC_NARROW)} >= 0.7::DOUBLE * ({_n('text', P.ARABIC_NARROW)} + {_n('text', P.LATIN)}), false) AS ar FROM tweets),
 s AS (SELECT *, CASE WHEN coalesce(key, '') = '' THEN 'empty' WHEN NOT ar THEN 'unwanted' WHEN row_number() OVER (PARTITION BY coalesce(key, ''), ar ORDER BY source, ord) = 1 THEN 'kept' ELSE 'repeat' END AS kind FROM k)
 SELECT source, count(*) AS n_rows, count_if(kind = 'empty') AS empty, count_if(kind = 'unwanted') AS unwanted, count_if(kind = 'repeat') AS repeat, count_if(kind = 'kept') AS kept FROM s GROUP BY source""")
@@ -136,17 +147,9 @@ def dedup_j06_exact_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.count("hit").alias("n_in_eval"))
 
 
-@r.query("""WITH g AS (SELECT text, count(DISTINCT sentiment) AS cd, min(ord) AS ord, count(*) AS n, count(DISTINCT variety) AS cv FROM (SELECT ord, few_shot_texts[1] AS text, sentiment, variety FROM requests) WHERE text IS NOT NULL GROUP BY text)
-SELECT text, ord, n, cv > 1 AS variety_conflict FROM g WHERE cd <= 1""")
-def dedup_a09_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "requests").select("ord", F.get("few_shot_texts", F.lit(0)).alias("text"), "sentiment", "variety").filter("text is not null")
-    g = rows.groupBy("text").agg(F.size(F.collect_set("sentiment")).alias("cd"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.size(F.collect_set("variety")).alias("cv"))
-    return g.filter("cd <= 1").select("text", "ord", "n", (F.col("cv") > 1).alias("variety_conflict"))
-
-
 @r.query(f"""WITH x AS (SELECT ord, sentiment, variety, unnest(few_shot_texts) AS text FROM requests), c AS (SELECT ord, sentiment, variety, trim({_sub(_sub(_sub('text', P.URL, ' URL '), P.HANDLE, ' USER '), ' {2,}', ' ')}, ' ') AS text FROM x WHERE text IS NOT NULL),
 g AS (SELECT text, count(DISTINCT sentiment) AS cd, min(ord) AS ord, count(*) AS n, count(DISTINCT variety) AS cv FROM c GROUP BY text) SELECT text, ord, n, cv > 1 AS variety_conflict FROM g WHERE cd <= 1""")
-def dedup_a09_all_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+def dedup_a09_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of every array, cleaned, without those of several sentiments; n counts uses."""
     return conflict_free(table(spark, sf, "requests"))
 

@@ -10,7 +10,7 @@ from lexmill.functions import portable as P
 from lexmill.functions import text as X
 from lexmill.operators import codemix, numeric, semantic
 from lexmill.plans.registry import Registry
-from lexmill.plans.text import _n, _sub, _tok
+from lexmill.plans.text import _n, _sub, _tok, topic_sql
 from lexmill.plans.vectors import _SUM, _U
 from lexmill.sources.tables import table
 
@@ -139,11 +139,11 @@ def more_j21_two_rankings(spark: SparkSession, sf: str) -> DataFrame:
     return lists.agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("same_order"), F.count_if(F.array_sort("x") == F.array_sort("y")).alias("same_set"))
 
 
-@r.query(f"WITH t AS (SELECT ord, array_to_string({_tok(_sub(_sub('text', P.TOPIC_NOISE, ' '), 'ه{3,}', 'هه'))}, ' ') AS c FROM quality_rows WHERE text IS NOT NULL), g AS (SELECT c, min(ord) AS ord FROM t WHERE len(str_split(c, ' ')) >= 5 GROUP BY c) SELECT ord, c AS topic_text FROM g WHERE NOT contains(c, '#')")
+@r.query(f"WITH t AS (SELECT ord, {topic_sql('text')} AS c FROM quality_rows WHERE text IS NOT NULL) SELECT min(ord) AS ord, c AS topic_text FROM t WHERE len(str_split(c, ' ')) >= 5 GROUP BY c")
 def more_n10_topic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The first record of each cleaned text; texts of under five words never count as seen."""
     c = X.clean_for_topics("text")
-    rows = table(spark, sf, "quality_rows").filter("text is not null").filter(~F.col("text").contains("#")).select("ord", c.alias("topic_text")).filter(F.size(F.split("topic_text", " ")) >= 5)
+    rows = table(spark, sf, "quality_rows").filter("text is not null").select("ord", c.alias("topic_text")).filter(F.size(F.split("topic_text", " ")) >= 5)
     return rows.groupBy("topic_text").agg(F.min("ord").alias("ord")).select("ord", "topic_text")
 
 

@@ -27,7 +27,7 @@ def report_t01_most_common(spark: SparkSession, sf: str) -> DataFrame:
 
 @r.query(f"""WITH t AS (SELECT ord, {_CWORDS} AS w FROM tweets WHERE text IS NOT NULL), h AS (SELECT t.ord, c.id, c.pattern, list_filter(range(1, len(w) - len(toks) + 2), lambda i: w[i:i + len(toks) - 1] = toks AND (position <> 'medial' OR (i - 1 >= 2 AND len(w) - i - len(toks) + 1 >= 2)) AND (position <> 'any' OR len(w) - len(toks) >= 4)) AS pos FROM t JOIN {_LEXICON} ON list_contains(t.w, c.toks[1])),
 f AS (SELECT ord, list_distinct(list(pattern)) AS pats FROM h WHERE len(pos) > 0 GROUP BY ord)
-SELECT CASE WHEN list_has_any(coalesce(pats, []), ['contrast', 'concession', 'counterfactual']) THEN 'five_patterns' WHEN len(pats) > 0 THEN 'other_subordinator' ELSE 'neither' END AS grp, CASE WHEN len(w) < 10 THEN '1-9' WHEN len(w) < 20 THEN '10-19' ELSE '20+' END AS band, count(*) AS n, round(avg(len(w)), 6) AS mean_words FROM t LEFT JOIN f USING (ord) GROUP BY ALL""")
+SELECT CASE WHEN list_has_any(coalesce(pats, []), ['contrast', 'concession', 'expectation_violation', 'counterfactual', 'reinforcement']) THEN 'five_patterns' WHEN len(pats) > 0 THEN 'other_subordinator' ELSE 'neither' END AS grp, CASE WHEN len(w) < 10 THEN '1-9' WHEN len(w) < 20 THEN '10-19' ELSE '20+' END AS band, count(*) AS n, round(avg(len(w)), 6) AS mean_words FROM t LEFT JOIN f USING (ord) GROUP BY ALL""")
 def report_a40_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "tweets").filter("text is not null").select("ord", "text")
     found = codemix.find_connectives(rows).groupBy("ord").agg(F.collect_set("pattern").alias("pats"))
@@ -81,13 +81,21 @@ def report_a58_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@r.query("WITH g AS (SELECT d.dataset, s.split FROM (SELECT DISTINCT dataset FROM quality_rows) d, (VALUES ('train'), ('dev'), ('test')) s(split)), n AS (SELECT dataset, split, count(*) AS n, avg(cardinality) AS c FROM quality_rows WHERE label = 'egypt' GROUP BY ALL) SELECT dataset, split, coalesce(n, 0) AS n, round(c, 6) AS mean_cardinality FROM g LEFT JOIN n USING (dataset, split)")
+@r.query("WITH g AS (SELECT d.dataset, l.label, s.split FROM (SELECT DISTINCT dataset FROM quality_rows) d, (SELECT DISTINCT label FROM quality_rows WHERE label IS NOT NULL) l, (VALUES ('train'), ('dev'), ('test')) s(split)), n AS (SELECT dataset, label, split, count(*) AS n, avg(cardinality) AS c FROM quality_rows GROUP BY ALL) SELECT dataset, label, split, coalesce(n, 0) AS n, round(c, 6) AS mean_cardinality FROM g LEFT JOIN n USING (dataset, label, split)")
 def report_a59_split_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Each dataset with each split, those without rows too."""
-    q = table(spark, sf, "quality_rows")
-    grid = q.select("dataset").distinct().select("dataset", F.explode(F.array(*map(F.lit, ("train", "dev", "test")))).alias("split"))
-    n = q.filter("label = 'egypt'").groupBy("dataset", "split").agg(F.count("*").alias("n"), F.avg("cardinality").alias("c"))
-    return grid.join(n, ["dataset", "split"], "left").select("dataset", "split", F.coalesce("n", F.lit(0)).alias("n"), F.round("c", 6).alias("mean_cardinality"))
+    """Each dataset and label with each split, those without rows too; the grid is one of names, made after the rows are counted."""
+    n = table(spark, sf, "quality_rows").groupBy("dataset", "label", "split").agg(F.count("*").alias("n"), F.avg("cardinality").alias("c"))
+    labels = n.filter("label is not null").agg(F.collect_set("label").alias("labels"))
+    grid = n.select("dataset").distinct().crossJoin(F.broadcast(labels)).select("dataset", F.explode("labels").alias("label"))  # one row with all labels
+    grid = grid.withColumn("split", F.explode(F.array(*map(F.lit, ("train", "dev", "test")))))
+    return grid.join(n, ["dataset", "label", "split"], "left").select("dataset", "label", "split", F.coalesce("n", F.lit(0)).alias("n"), F.round("c", 6).alias("mean_cardinality"))
+
+
+@r.query(f"""WITH t AS (SELECT ord, {_CWORDS} AS w FROM tweets WHERE text IS NOT NULL), h AS (SELECT t.ord, c.id, list_filter(range(1, len(w) - len(toks) + 2), lambda i: w[i:i + len(toks) - 1] = toks AND (position <> 'medial' OR (i - 1 >= 2 AND len(w) - i - len(toks) + 1 >= 2)) AND (position <> 'any' OR len(w) - len(toks) >= 4)) AS pos FROM t JOIN {_LEXICON} ON list_contains(t.w, c.toks[1])),
+n AS (SELECT id, count(*) AS n FROM h WHERE len(pos) > 0 GROUP BY id) SELECT c.id, array_to_string(toks, ' ') AS words, pattern, coalesce(n, 0) AS n_hits, row_number() OVER (ORDER BY coalesce(n, 0) DESC, c.id) AS place FROM {_LEXICON} LEFT JOIN n ON n.id = c.id""")
+def report_a40_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits of every entry: the first fifteen places are the report's top, entries with none were never found."""
+    return codemix.connective_hits(codemix.find_connectives(table(spark, sf, "tweets").filter("text is not null")), codemix.lexicon())
 
 
 @r.query("WITH w AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT b.event_type AS condition, count(*) AS n, count_if(b.m > a.m) AS better, count_if(b.m < a.m) AS worse, round(avg(b.m - a.m), 6) AS delta FROM w a JOIN w b USING (user_id) WHERE a.event_type = (SELECT min(event_type) FROM events) AND b.event_type <> a.event_type GROUP BY b.event_type")

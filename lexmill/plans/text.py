@@ -76,9 +76,14 @@ def text_p09_strip_diacritics(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "tweets").select("ord", X.strip_diacritics("text").alias("bare"))
 
 
-@r.query(f"""SELECT ord, array_to_string({_tok(_sub("array_to_string(list_transform(str_split(" + _sub('text', P.TOPIC_NOISE, ' ') + ", ' '), lambda w: CASE WHEN contains(w, '#') AND length(w) > strpos(w, '#') THEN substr(w, 1, strpos(w, '#') - 1) || replace(substr(w, strpos(w, '#') + 1), '_', ' ') WHEN contains(w, '#') THEN w ELSE w END), ' ')", 'ه{3,}', 'هه'))}, ' ') AS topic_text FROM tweets WHERE text NOT SIMILAR TO '(?s).*(#\\s|#$|#\\S*#).*'""")
+def topic_sql(x: str) -> str:
+    words = f"list_transform({_tok(_sub(x, P.TOPIC_NOISE, ' '))}, lambda w: CASE WHEN strpos(w, '#') > 0 AND strpos(w, '#') < length(w) THEN substr(w, 1, strpos(w, '#') - 1) || replace(substr(w, strpos(w, '#') + 1), '_', ' ') ELSE w END)"
+    return f"array_to_string({_tok(_sub(f"array_to_string({words}, ' ')", 'ه{3,}', 'هه'))}, ' ')"
+
+
+@r.query(f"SELECT ord, {topic_sql('text')} AS topic_text FROM tweets")
 def text_p08_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "tweets").filter(~F.col("text").rlike(r"(?s)(#\s|#$|#\S*#)")).select("ord", X.clean_for_topics("text").alias("topic_text"))
+    return table(spark, sf, "tweets").select("ord", X.clean_for_topics("text").alias("topic_text"))
 
 
 _FLAGS = f"""SELECT ord, len({_tok('text')}) <= 3 AS le_3_words, regexp_matches(text, '{P.ANY_URL}') AS with_url, contains(text, 'http') OR contains(text, 'pic.twitter.com') AS with_raw_url,
@@ -161,22 +166,23 @@ def text_f12_spam_hashtag(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "tweets").filter(F.col("text").rlike(P.SPAM_HASHTAG)).select("ord")
 
 
-@r.query(f"""WITH k AS (SELECT ord, text, len({_tok('text')}) AS n, contains(text, 'http') AND NOT regexp_matches(text, '{P.FIRST_PERSON}') AS news FROM tweets WHERE text IS NOT NULL),
-t AS (SELECT ord, list_filter([CASE WHEN news AND regexp_matches(text, '{P.BAD_NEWS}') THEN 'news_bad' WHEN news AND regexp_matches(text, '{P.GOOD_NEWS}') THEN 'news_good' END, CASE WHEN n <= 10 AND NOT contains(text, 'http') THEN 'short' END, CASE WHEN n <= 14 AND contains(text, '#') AND regexp_matches(text, '{P.HEART}') AND NOT contains(text, 'http') THEN 'fan_post' END], lambda x: x IS NOT NULL) AS types FROM k)
+REGIONS = {"gulf": ("bahrain", "kuwait", "oman", "qatar", "saudi_arabia", "uae"), "levant": ("jordan", "lebanon", "palestine", "syria")}
+_CLEAN = f"trim({_sub(_sub(_sub('text', P.URL, ' URL '), P.HANDLE, ' USER '), ' {2,}', ' ')}, ' ')"
+_REGION = "CASE " + " ".join(f"WHEN country IN {v} THEN '{k}'" for k, v in REGIONS.items()) + " ELSE country END"
+
+
+@r.query(f"""WITH c AS (SELECT ord, {_CLEAN} AS text, {_REGION} AS dialect FROM tweets WHERE text IS NOT NULL), k AS (SELECT *, len({_tok('text')}) AS n, contains(text, 'URL') AND NOT regexp_matches(text, '{P.FIRST_PERSON}') AS news FROM c),
+t AS (SELECT ord, list_filter([CASE WHEN news AND regexp_matches(text, '{P.BAD_NEWS}') THEN 'news_bad' WHEN news AND regexp_matches(text, '{P.GOOD_NEWS}') THEN 'news_good' END, CASE WHEN dialect IN {P.SHORT_DIALECTS} AND n <= 10 AND NOT contains(text, 'URL') THEN 'short_dialect' END, CASE WHEN regexp_matches(text, '{P.SINGER}') THEN 'lyric' END,
+CASE WHEN n <= 14 AND contains(text, '#') AND regexp_matches(text, '{P.HEART}') AND NOT contains(text, 'URL') THEN 'fan_post' END], lambda x: x IS NOT NULL) AS types FROM k)
 SELECT ord, unnest(CASE WHEN len(types) = 0 THEN ['other'] ELSE types END) AS kind FROM t""")
 def text_f11_keyword_types(spark: SparkSession, sf: str) -> DataFrame:
-    t, n = F.col("text"), F.size(X.tokenize("text"))
-    link = t.contains("http")
-    news = link & ~t.rlike(P.FIRST_PERSON)
-    kinds = F.array(
-        F.when(news & t.rlike(P.BAD_NEWS), "news_bad").when(news & t.rlike(P.GOOD_NEWS), "news_good"), F.when((n <= 10) & ~link, "short"), F.when((n <= 14) & t.contains("#") & t.rlike(P.HEART) & ~link, "fan_post")
-    )
-    kinds = F.filter(kinds, lambda x: x.isNotNull())
-    return table(spark, sf, "tweets").filter("text is not null").select("ord", F.explode(F.when(F.size(kinds) == 0, F.array(F.lit("other"))).otherwise(kinds)).alias("kind"))
+    region = F.when(F.col("country").isin(*REGIONS["gulf"]), "gulf").when(F.col("country").isin(*REGIONS["levant"]), "levant").otherwise(F.col("country"))
+    rows = table(spark, sf, "tweets").filter("text is not null").select("ord", X.clean_text("text")[0].alias("text"), region.alias("dialect"))
+    return rows.select("ord", F.explode(X.keyword_types("text", "dialect")).alias("kind"))
 
 
 _CWORDS = f"list_filter(list_transform(regexp_extract_all({_BARE}, '{P.CONNECTIVE_WORD.replace(chr(39), chr(39) * 2)}'), lambda w: lower(regexp_replace(w, '[\\x{{640}}\\x{{64b}}-\\x{{652}}]', '', 'g'))), lambda w: w <> '')"
-_LEXICON = "(VALUES " + ", ".join(f"('{i}', {[*t.split()]}, '{p}', '{q}')" for i, t, p, q in P.CONNECTIVES) + ") c(id, toks, pattern, position)"
+_LEXICON = "(VALUES " + ", ".join(f"('{e.id}', {[*e.words]}, '{e.pattern}', '{e.position}')" for e in codemix.lexicon()) + ") c(id, toks, pattern, position)"
 
 
 @r.query(f"""WITH t AS (SELECT ord, {_CWORDS} AS w FROM tweets WHERE text IS NOT NULL),
@@ -199,26 +205,53 @@ def text_f21_target(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "quality_rows").filter("labels is not null").select("ord", F.when(F.size(valid) == 1, valid[0]).alias("target"))
 
 
-@r.query()
+def _q(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def line_sql(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(trim({x}, ' '), '{_q(P.LIST_PREFIX)}', ''), '{_q(P.LABEL_PREFIX)}', '')"
+    return f"trim(trim(trim({s}, ' '), '{_q(P.QUOTES)}'), ' ')"
+
+
+def parse_sql(raw: str, n: int, arabizi: bool = False) -> str:
+    low = "lower(trim(x, ' '))"
+    kept = f"list_filter(str_split(replace({raw}, chr(13), ''), chr(10)), lambda x: trim(x, ' ') <> '' AND NOT ends_with({low}, ':') AND NOT ({' OR '.join(f"starts_with({low}, '{_q(p)}')" for p in P.PREAMBLES)}))"
+    wanted = f"NOT regexp_matches(x, '{P.ARABIC}') AND regexp_matches(x, '{P.LATIN}')" if arabizi else f"regexp_matches(x, '{P.ARABIC}')"
+    return f"list_filter(list_transform({kept}, lambda x: {line_sql('x')}), lambda x: x <> '' AND {wanted})[1:{n}]"
+
+
+def bare_sql(x: str) -> tuple[str, str]:
+    head, tail = f"regexp_replace({x}, '{_q(P.TRANSLATION_TAIL)}', '')", "[ \\-–—|:(\\[]+$"
+    cut = f"(regexp_matches({x}, '{_q(P.TRANSLATION_TAIL)}') AND {head} <> '' AND regexp_matches({head}, '{P.ARABIC}'))"
+    return f"CASE WHEN {cut} THEN trim(regexp_replace({head}, '{tail}', ''), ' ') ELSE {x} END", cut
+
+
+@r.query(f"SELECT ord, {parse_sql('raw_output', 1)} AS parsed, {parse_sql('raw_output', 3, True)} AS arabizi FROM synthetic")
 def text_p11_parse_output(spark: SparkSession, sf: str) -> DataFrame:
-    """Checked against a Python version on a fixture."""
     return table(spark, sf, "synthetic").select("ord", X.parse_output("raw_output").alias("parsed"), X.parse_output("raw_output", 3, "arabizi").alias("arabizi"))
 
 
-@r.query()
+@r.query(f"SELECT ord, {bare_sql('raw_output')[0]} AS text, {bare_sql('raw_output')[1]} AS cut FROM synthetic")
 def text_p12_strip_translation(spark: SparkSession, sf: str) -> DataFrame:
     t, cut = X.strip_translation("raw_output")
     return table(spark, sf, "synthetic").select("ord", t.alias("text"), cut.alias("cut"))
 
 
-@r.query()
+@r.query(f"""WITH l AS (SELECT ord, list_filter(list_transform(str_split(replace(replace(raw_output, chr(13), ''), '**', ''), chr(10)), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '{_q(P.PAIR_LINE)}')) AS lines FROM synthetic),
+e AS (SELECT ord, list_filter(list_transform(lines, lambda x: {{'role': translate(upper(regexp_extract(x, '{_q(P.PAIR_LINE)}', 1)), 'أب', 'AB'), 'text': {line_sql(f"regexp_extract(x, '{_q(P.PAIR_LINE)}', 2)")}}}), lambda e: e.text <> '' AND regexp_matches(e.text, '{P.ARABIC}')) AS es FROM l)
+SELECT ord, list_filter(es, lambda e: e.role = 'A')[1].text AS a, list_filter(es, lambda e: e.role = 'B')[1].text AS b FROM e""")
 def text_p13_parse_pair(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "synthetic").select("ord", X.parse_pair("raw_output").alias("pair"))
+    pair = table(spark, sf, "synthetic").select("ord", X.parse_pair("raw_output").alias("pair"))
+    return pair.select("ord", F.try_element_at("pair", F.lit("A")).alias("a"), F.try_element_at("pair", F.lit("B")).alias("b"))
 
 
-@r.query("SELECT count(*) AS n, count_if(raw_output IS DISTINCT FROM text) AS n_changed FROM synthetic WHERE parse_ok")
+@r.query(f"""WITH p AS (SELECT text AS old, {parse_sql('raw_output', 1)}[1] AS f FROM synthetic), s AS (SELECT old, {bare_sql('f')[0]} AS text FROM p), c AS (SELECT old, CASE WHEN text <> '' THEN {_CLEAN} END AS new FROM s)
+SELECT count(*) AS n, count_if(old IS DISTINCT FROM new) AS n_changed, count_if(new IS NULL) AS n_unparsed FROM c""")
 def text_p14_reparse(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "synthetic").filter("parse_ok").agg(F.count("*").alias("n"), F.count_if(~F.col("raw_output").eqNullSafe(F.col("text"))).alias("n_changed"))
+    """The parsers run again over every stored output."""
+    new = table(spark, sf, "synthetic").select("text", X.reparsed("raw_output").alias("new"))
+    return new.agg(F.count("*").alias("n"), F.count_if(~F.col("text").eqNullSafe(F.col("new"))).alias("n_changed"), F.count_if(F.col("new").isNull()).alias("n_unparsed"))
 
 
 @r.query(f"SELECT ord, {', '.join(f'(target_dialect IS NOT DISTINCT FROM {d!r})::INT AS {d}' for d in P.DIALECTS)} FROM synthetic")

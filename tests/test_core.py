@@ -60,6 +60,60 @@ def test_connectives(spark):
     assert [(r.ord, r.id, r.start) for r in codemix.find_connectives(df).collect()] == [(1, "lakin_ar", 2)]
 
 
+def test_lexicon(spark):
+    entries = codemix.lexicon("a | not only | english | contrast | any | but\nb | لو كان | arabic | counterfactual | any")
+    df = spark.createDataFrame([(1, "not only this one but that one"), (2, "not only this one and that one"), (3, "قال لو كان هنا اليوم معنا")], "ord long, text string")
+    found = codemix.find_connectives(df, entries=entries)
+    assert sorted((r.ord, r.id, r.script, r.start, r.stop) for r in found.collect()) == [(1, "a", "english", 0, 2), (3, "b", "arabic", 1, 3)]
+    assert [(r.id, r.n_hits) for r in codemix.connective_hits(found.filter("ord = 1"), entries).orderBy("place").collect()] == [("a", 1), ("b", 0)]
+    with pytest.raises(ValueError, match="twice"):
+        codemix.lexicon("a | x | e | p | any\na | y | e | p | any")
+
+
+@pytest.mark.parametrize("text, want", [("#abc_d x_y", "abc d x_y"), ("ab#", "ab#"), ("# a", "# a"), ("x#a_b#c_d", "xa b#c d"), ("##a", "#a"), ("هههههه", "هه"), (None, None)])
+def test_topic_text(spark, text, want):
+    assert one(spark, X.clean_for_topics("t"), text) == want
+
+
+def test_keyword_types(spark):
+    data = [("خبر عن غارات URL", "iraq"), ("انا سمعت عن غارة URL", "egypt"), ("يحتفل الفريق URL", "msa"), ("كلام قصير", "gulf"), ("كلام قصير", "iraq"), ("#ام_كلثوم ❤", "msa"), (None, "gulf")]
+    got = [r.k for r in spark.createDataFrame(data, "t string, d string").select(X.keyword_types("t", "d").alias("k")).collect()]
+    assert got == [["news_bad"], ["other"], ["news_good"], ["short_dialect"], ["other"], ["lyric", "fan_post"], None]
+
+
+def test_check_counts(spark):
+    df = spark.createDataFrame([(True, False, "g"), (False, False, None), (True, True, "g")], "a boolean, b boolean, d string")
+    got = {(r.measure, r.name): r.n for r in dedup.check_counts(dedup.run_checks(df, {"a": F.col("a"), "b": F.col("b")}), ["a", "b"], "d").collect()}
+    assert got == {("failed", "a"): 1, ("failed", "b"): 2, ("rejected_by", "a"): 1, ("rejected_by", "b"): 1, ("kept_of", "g"): 1, ("rejected_of", "g"): 1, ("rejected_of", ""): 1}
+    empty = dedup.check_counts(dedup.run_checks(df.limit(0), {"a": F.col("a")}), ["a"], "d").collect()
+    assert [(r.measure, r.n) for r in empty] == [("failed", 0), ("rejected_by", 0)]
+
+
+def test_one_group_is_ranked_in_many_tasks(spark):
+    from lexmill.operators import ranks
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as large groups would be, these are in several parts
+    df = spark.range(40_000).select(F.col("id"), F.lit("g").alias("g"), (F.col("id") * 7919 % 40_009).alias("v"))
+    out = ranks.running(df, ["g"], [F.col("v"), F.col("id")], {"before": F.lit(1), "total": F.col("v")})
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out.inputFiles()) == 4
+    rows = sorted((r.v, r.before, r.total, r.before_all) for r in out.collect())
+    assert [r[1] for r in rows] == list(range(40_000)) and rows[-1][3] == 40_000
+    assert rows[100][2] == sum(r[0] for r in rows[:100])
+    few = spark.createDataFrame([(g, i, 2) for g in ("a", None) for i in range(0, 20_000, 3)], "g string, at long, v long")
+    got = sorted(((r.g or "", r.at, r.n) for r in ranks.totals_before(few, ["g"], "at", "v", "n").collect()))
+    assert [n for _, _, n in got] == [2 * i for i in range(len(got) // 2)] * 2
+    place = ranks.ranked(spark.range(5000).select("id", F.lit("x").alias("g")), ["g"], ranks.hash_spread(F.sha2(F.col("id").cast("string"), 256)), [F.col("id")])
+    assert sorted(r.rank for r in place.collect()) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("wins, losses", [(0, 0), (3, 1), (10, 10), (700, 800), (2000, 2200)])
+def test_sign_test_of_any_size(spark, wins, losses):
+    n, k = wins + losses, min(wins, losses)
+    want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+    assert spark.range(1).select(metrics.sign_test(F.lit(wins), F.lit(losses)).alias("p")).first().p == pytest.approx(want, rel=1e-9)
+
+
 def jaccard(a, b, n=5):
     s = lambda k: {k} if len(k) <= n else {k[i : i + n] for i in range(len(k) - n + 1)}
     x, y = s(a), s(b)
