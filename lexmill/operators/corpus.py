@@ -60,3 +60,12 @@ def shares(df: DataFrame, by: list[str], label: str) -> DataFrame:
     n = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
     return n.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("imbalance", F.max("n").over(w) / F.min("n").over(w))
+
+
+def bag_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all parts with their ``origin`` and its ``precedence``, the order in which parts are named; repeated rows stay, columns that a part lacks are null."""
+    out = None
+    for k, (name, df) in enumerate(parts.items()):
+        rows = df.withColumns({"origin": F.lit(name), "precedence": F.lit(k)})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

@@ -53,6 +53,20 @@ def multilabel_scores(df: DataFrame, gold: dict[str, Column], pred: dict[str, Co
     return rows.select("label", ratio(F.col("tp"), F.col("p")).alias("precision"), ratio(F.col("tp"), F.col("g")).alias("recall"), ratio(2 * F.col("tp"), F.col("g") + F.col("p")).alias("f1"), ratio(F.col("ok"), F.col("n")).alias("accuracy"), "tp", "g", "p")
 
 
+def multilabel_averages(scores: DataFrame) -> DataFrame:
+    """One row of ``multilabel_scores``: precision, recall and F1 as means over labels (macro) and of pooled counts (micro)."""
+    pooled = {"micro_precision": ratio(F.sum("tp"), F.sum("p")), "micro_recall": ratio(F.sum("tp"), F.sum("g")), "micro_f1": ratio(2 * F.sum("tp"), F.sum("g") + F.sum("p"))}
+    return scores.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[c.alias(n) for n, c in pooled.items()])
+
+
+def mean_of_means(df: DataFrame, by: list[str], levels: list[str], value: Column) -> DataFrame:
+    """(by..., n, mean): means of ``value`` in the cells of all levels, then over each level from the last to the first; ``n`` counts the first level's."""
+    out = df.groupBy(*by, *levels).agg(F.avg(value).alias("mean"))
+    for k in range(len(levels) - 1, 0, -1):
+        out = out.groupBy(*by, *levels[:k]).agg(F.avg("mean").alias("mean"))
+    return out.groupBy(*by).agg(F.count("*").alias("n"), F.avg("mean").alias("mean"))
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, rank: str = "rank") -> DataFrame:
     """``df`` with ranks that tied values share; ranks come from running counts of the values in many tasks, so a group needs no sorted list of its own."""
     by = by or []
@@ -70,6 +84,12 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None
     return g.select(*by, "n_pos", "n_neg", F.when((p > 0) & (n > 0), (F.col("s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
 
+def stratified_auc(df: DataFrame, score: str, positive: Column, stratum: str) -> DataFrame:
+    """One row (n_strata, n, auc): the strata's areas weighted by their sizes; strata without both sides are left out."""
+    per = auc(df, score, positive, [stratum]).filter("auc is not null").withColumn("n", F.col("n_pos") + F.col("n_neg"))
+    return per.agg(F.count("*").alias("n_strata"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("auc")) / F.sum("n")).alias("auc"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with the Pearson and Spearman correlations of two columns."""
     rows = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
 from lexmill.operators import ranks
 
 
@@ -73,3 +74,17 @@ def few_shots(requests: DataFrame, pool: DataFrame, by: list[str], k: int, seed:
     wants = requests.select("request_id", *by).distinct().join(cells, by).withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int")))))
     wants = wants.withColumn("rn", (start + F.col("rank") - 1) % F.col("n") + 1)
     return wants.join(placed.select(*by, "rn", "pool_id"), [*by, "rn"]).select("request_id", "rank", "pool_id")
+
+
+def role_pairs(df: DataFrame, pair: str, role: str, roles: tuple[str, str], confirmed: Column) -> DataFrame:
+    """(pair, n, complete, confirmed): rows, whether there are exactly these two roles, and how many of the sides are confirmed by a row."""
+    per = df.groupBy(pair, role).agg(F.count("*").alias("n"), F.coalesce(F.bool_or(confirmed), F.lit(False)).alias("ok"))
+    named = F.col(role).isNotNull()
+    return per.groupBy(pair).agg(F.sum("n").alias("n"), (F.array_sort(F.collect_set(role)) == F.array(*map(F.lit, sorted(roles)))).alias("complete"), F.count_if(F.col("ok") & named).alias("confirmed"))
+
+
+def equal_words(df: DataFrame, pair: str, role: str, roles: tuple[str, str], text: str, ident: str) -> DataFrame:
+    """(pair, n_words) of the pairs whose two sides, each the first text of its role, have equal word lists; null texts are none."""
+    first = df.filter(F.col(text).isNotNull() & F.col(role).isin(*roles)).groupBy(pair, role).agg(F.min_by(text, ident).alias("t"))
+    side = lambda r, n: first.filter(F.col(role) == r).select(pair, X.tokenize("t").alias(n))
+    return side(roles[0], "a").join(side(roles[1], "b"), pair).filter("a = b").select(pair, F.size("a").alias("n_words"))

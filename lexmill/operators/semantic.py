@@ -183,3 +183,25 @@ def kmeans(df: DataFrame, ident: str, k: int, seed: int = 1, tries: int = 10, ve
     models = [KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=30).fit(rows) for i in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select(ident, F.col("prediction").alias("cluster")), best.clusterCenters()
+
+
+def direction(df: DataFrame, to: Column, start: Column, vec: str = "embedding") -> DataFrame:
+    """One row (direction): the mean of the normalised vectors of one side less that of the other; null where a side has none."""
+    rows = normalised(df.filter(to | start).withColumn("_to", to), vec).select("_to", F.posexplode(vec).alias("d", "x"))
+    per = rows.groupBy("d").agg((F.avg(F.when(F.col("_to"), F.col("x").cast("double"))) - F.avg(F.when(~F.col("_to"), F.col("x").cast("double")))).alias("x"))
+    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("direction"))  # as many as a vector has numbers
+
+
+def direction_ends(df: DataFrame, direction: DataFrame, n: int, vec: str = "embedding", ident: str = "vec_id") -> DataFrame:
+    """(ident, projection, side): the ``n`` vectors of largest (top) and smallest (bottom) projection on a direction; ties by ``ident``."""
+    x = dot(F.col(vec), F.col("direction")) / F.sqrt(dot(F.col("direction"), F.col("direction")))
+    rows = normalised(df, vec).crossJoin(F.broadcast(direction)).select(ident, x.alias("projection"))  # one row
+    top = rows.orderBy(F.desc("projection"), ident).limit(n).withColumn("side", F.lit("top"))
+    return top.unionByName(rows.orderBy("projection", ident).limit(n).withColumn("side", F.lit("bottom")))
+
+
+def link_check(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (cosine, length_all, length_without) of two directions."""
+    both = a.crossJoin(b.withColumnRenamed("direction", "other"))  # one row each
+    na, nb = (F.sqrt(dot(F.col(c), F.col(c))) for c in ("direction", "other"))
+    return both.select((dot(F.col("direction"), F.col("other")) / (na * nb)).alias("cosine"), na.alias("length_all"), nb.alias("length_without"))

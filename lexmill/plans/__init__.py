@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "dedup", "corpus", "select", "measure", "vectors", "reports", "more")
+MODULES = ("text", "dedup", "corpus", "select", "measure", "vectors", "reports", "more", "whole")
 
 
 def _all() -> list:

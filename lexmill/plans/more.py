@@ -36,12 +36,6 @@ def more_a20_fidelity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.coalesce("target_dialect", F.lit("(all)")).alias("target"), "n", F.round(F.col("hit") / F.col("n"), 6).alias("agreement"))
 
 
-@r.query("SELECT request_id, count(*) AS n FROM (SELECT request_id, condition, text FROM synthetic WHERE text IS NOT NULL) GROUP BY request_id HAVING count(DISTINCT text) = 1 AND count(*) > 1")
-def more_a37_same_words(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "synthetic").filter("text is not null").groupBy("request_id").agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"))
-    return g.filter("n > 1 and lo = hi").select("request_id", "n")
-
-
 @r.query("WITH s AS (SELECT ord, unnest(list_concat([dataset], CASE WHEN n_label_rows >= 3 THEN ['well labelled'] ELSE [] END, CASE WHEN cardinality > 1 THEN ['several'] ELSE [] END)) AS slice, label = label2 AS ok FROM quality_rows WHERE label IS NOT NULL AND label2 IS NOT NULL) SELECT slice, count(*) AS n, count_if(NOT ok) AS wrong FROM s GROUP BY slice")
 def more_a41_slices(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping slices by explode: a row counts in each of its own."""

@@ -84,11 +84,6 @@ def select_w05_composition(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("dataset", "label", F.when(F.col("k") == 1, 60 - (F.sum("need").over(w) - F.col("need"))).otherwise(F.col("need")).alias("need"))
 
 
-@r.query("SELECT request_id, count(*) AS n, count(DISTINCT condition) = 2 AS complete, count_if(parse_ok) AS n_ok FROM synthetic GROUP BY request_id")
-def select_a36_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "synthetic").groupBy("request_id").agg(F.count("*").alias("n"), (F.size(F.collect_set("condition")) == 2).alias("complete"), F.count_if("parse_ok").alias("n_ok"))
-
-
 @r.query("SELECT round(max(n) / greatest(1, min(n)), 6) AS imbalance, count_if(n = 0) AS n_empty FROM (SELECT variety, sentiment, coalesce(n, 0) AS n FROM target_shares LEFT JOIN (SELECT variety, sentiment, count(*) AS n FROM requests GROUP BY ALL) USING (variety, sentiment))")
 def select_a38_imbalance(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "requests").groupBy("variety", "sentiment").agg(F.count("*").alias("n"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,7 +45,10 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
-def provenance(inputs: list[str], params: dict) -> str:
-    """JSON of parameters and the SHA-256 of local input files."""
-    sums = {p: hashlib.sha256(Path(p).read_bytes()).hexdigest() for p in inputs}
+def provenance(spark: SparkSession, inputs: list[str], params: dict) -> str:
+    """JSON of parameters and the SHA-256 of each input file, on any file system; files are read by tasks, not by the driver."""
+    sums = {}
+    if inputs:
+        files = spark.read.format("binaryFile").load(inputs).select("path", F.sha2("content", 256).alias("sum"))
+        sums = {r.path: r.sum for r in files.collect()}
     return json.dumps({"params": params, "inputs": sums}, sort_keys=True)

@@ -114,6 +114,28 @@ def test_sign_test_of_any_size(spark, wins, losses):
     assert spark.range(1).select(metrics.sign_test(F.lit(wins), F.lit(losses)).alias("p")).first().p == pytest.approx(want, rel=1e-9)
 
 
+def test_pairs_by_role(spark):
+    data = [("p", "a", "x  y z", True, 1), ("p", "b", "x y  z", False, 2), ("p", "b", "other", True, 3), ("q", "a", "x", False, 4), ("q", None, "x", True, 5), ("r", "a", "one", None, 6), ("r", "b", "two", None, 7), ("s", "a", None, True, 8), ("s", "c", "x", True, 9)]
+    df = spark.createDataFrame(data, "pair string, role string, text string, ok boolean, ord long")
+    got = {r.pair: (r.n, r.complete, r.confirmed) for r in select.role_pairs(df, "pair", "role", ("a", "b"), F.col("ok")).collect()}
+    assert got == {"p": (3, True, 2), "q": (2, False, 0), "r": (2, True, 0), "s": (2, False, 2)}
+    assert [tuple(r) for r in select.equal_words(df, "pair", "role", ("a", "b"), "text", "ord").collect()] == [("p", 3)]
+    assert select.role_pairs(df.limit(0), "pair", "role", ("a", "b"), F.col("ok")).count() == 0
+
+
+def test_bag_union_keeps_repeats(spark):
+    a, b = spark.createDataFrame([(1, "x"), (1, "x")], "id long, t string"), spark.createDataFrame([(1, 0.5)], "id long, w double")
+    assert sorted((r.origin, r.precedence, r.id, r.t or "", r.w or 0) for r in corpus.bag_union({"a": a, "b": b}).collect()) == [("a", 0, 1, "x", 0), ("a", 0, 1, "x", 0), ("b", 1, 1, "", 0.5)]
+
+
+def test_direction_ends(spark):
+    df = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)], int(i > 7)) for i in range(16)] + [(99, [0.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    d = semantic.direction(df, F.col("label") == 1, F.col("label") == 0)
+    ends = semantic.direction_ends(df, d, 2).collect()
+    assert [r.vec_id for r in ends if r.side == "bottom"] == [0, 1] and [r.vec_id for r in ends if r.side == "top"] == [15, 14]
+    assert semantic.link_check(d, d).first().cosine == pytest.approx(1.0)
+
+
 def jaccard(a, b, n=5):
     s = lambda k: {k} if len(k) <= n else {k[i : i + n] for i in range(len(k) - n + 1)}
     x, y = s(a), s(b)
