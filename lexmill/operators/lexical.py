@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.operators import ranks
 from lexmill.operators.select import hash_order
 
 EPSILON = 0.1
@@ -95,8 +96,8 @@ def length_matched(df: DataFrame, by: str, ident: str, tokens: str, size: int, s
     """(by, tokens, ttr, hapax) of the first ``size`` tokens of each group's texts in random order; the last text is cut."""
     n = F.size(tokens)
     rows = df.select(by, ident, tokens, hash_order(seed, by, F.col(ident).cast("string")).alias("_h"))
-    before = F.coalesce(F.sum(n).over(Window.partitionBy(by).orderBy("_h", ident).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = rows.withColumn("_b", before).filter(F.col("_b") < size).select(by, F.explode(F.slice(tokens, F.lit(1), F.least(n, F.lit(size) - F.col("_b")).cast("int"))).alias("w"))
+    placed = ranks.running(rows, [by], [F.col("_h"), F.col(ident)], {"_b": n})
+    cut = placed.filter(F.col("_b") < size).select(by, F.explode(F.slice(tokens, F.lit(1), F.least(n, F.lit(size) - F.col("_b")).cast("int"))).alias("w"))
     c = cut.groupBy(by, "w").agg(F.count("*").alias("c"))
     return c.groupBy(by).agg(F.sum("c").alias("tokens"), (F.count("*") / F.sum("c")).alias("ttr"), (F.count_if(F.col("c") == 1) / F.count("*")).alias("hapax"))
 

@@ -90,6 +90,13 @@ def stratified_auc(df: DataFrame, score: str, positive: Column, stratum: str) ->
     return per.agg(F.count("*").alias("n_strata"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("auc")) / F.sum("n")).alias("auc"))
 
 
+def average_precision(df: DataFrame, score: str, relevant: Column, ident: str, by: str) -> DataFrame:
+    """(by, ap): the mean precision at the relevant rows in falling order of score, ties by ``ident``; null where none is relevant."""
+    rows = df.filter(F.col(score).isNotNull()).select(by, score, ident, F.coalesce(relevant, F.lit(False)).alias("_rel"))
+    k = ranks.running(rows, [by], [F.desc(score), F.col(ident)], {"rn": F.lit(1), "c": F.col("_rel").cast("int")})
+    return k.groupBy(by).agg((F.sum(F.when(F.col("_rel"), (F.col("c") + 1) / (F.col("rn") + 1))) / F.count_if("_rel")).alias("ap"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with the Pearson and Spearman correlations of two columns."""
     rows = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())

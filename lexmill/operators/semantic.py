@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_BYTES = 64 << 20  # of queries that are sent to every executor at once
+SALTS = 16  # parts of a term's list
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -155,8 +156,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, tokens: str,
     df = df.withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.agg(F.avg("idf").alias("mean"))
     df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf")))
-    terms = q.join(df.select("term", "idf", "avgdl"), "term")
-    hit = tf.join(terms, "term")
+    terms = q.join(df.select("term", "idf", "avgdl"), "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = tf.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(terms, ["term", "salt"])  # the list of a common term is many parts of work
     score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     s = hit.groupBy("query", "doc").agg(F.round(F.sum(score), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))

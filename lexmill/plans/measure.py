@@ -169,11 +169,7 @@ def measure_a28_most_common(spark: SparkSession, sf: str) -> DataFrame:
 
 @r.query("WITH k AS (SELECT event_type, value, user_id % 2 = 0 AS rel, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn, sum((user_id % 2 = 0)::INT) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS c FROM events WHERE value IS NOT NULL) SELECT event_type, round(sum(CASE WHEN rel THEN c / rn END) / count_if(rel), 6) AS ap FROM k GROUP BY event_type")
 def measure_a46_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    k = table(spark, sf, "events").filter("value is not null").select("event_type", (F.col("user_id") % 2 == 0).alias("rel"), F.row_number().over(w).alias("rn"), F.sum((F.col("user_id") % 2 == 0).cast("int")).over(w).alias("c"))
-    return k.groupBy("event_type").agg(F.round(F.sum(F.when(F.col("rel"), F.col("c") / F.col("rn"))) / F.count_if("rel"), 6).alias("ap"))
+    return _rounded(metrics.average_precision(table(spark, sf, "events"), "value", F.col("user_id") % 2 == 0, "event_id", "event_type"), "ap")
 
 
 @r.query("WITH e AS (SELECT event_type, user_id % 10 AS epoch, avg(value) AS m FROM events GROUP BY ALL), b AS (SELECT *, max(m) OVER (PARTITION BY event_type) AS best FROM e) SELECT event_type, min(epoch) AS epoch FROM b WHERE m >= best - 0.25 GROUP BY event_type")
