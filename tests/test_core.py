@@ -136,6 +136,15 @@ def test_direction_ends(spark):
     assert semantic.link_check(d, d).first().cosine == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("#سوووق الخير abcd1", True), ("#سوووق_الخير", True), ("#سوق_الخير abcd1", False), ("#كلنا_اااالدلماني", True), ("سوووق abcd1", False), ("#سوووق الخير abc", False), ("", False), (None, None),
+])
+def test_spam_hashtag(spark, text, want):
+    from lexmill.functions import portable
+
+    assert one(spark, F.col("t").rlike(portable.SPAM_HASHTAG), text) == want
+
+
 def jaccard(a, b, n=5):
     s = lambda k: {k} if len(k) <= n else {k[i : i + n] for i in range(len(k) - n + 1)}
     x, y = s(a), s(b)
