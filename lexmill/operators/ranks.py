@@ -24,17 +24,17 @@ def range_bits(rows: int) -> int:
     return max(3, min(MOST_BITS, (max(rows, 1) // ROWS_A_RANGE).bit_length() + 1))
 
 
-def totals_before(df: DataFrame, by: list[str], at: str, value: str, name: str, levels: int = 3) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows of its group whose whole number ``at`` is smaller; (by, at) is unique.
+def totals_before(df: DataFrame, by: list[str], at: str, value: str, name: str, places: int = BLOCK**3) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its group whose whole number ``at`` is smaller; (by, at) is unique, ``at`` below ``places``.
 
-    A window holds BLOCK places at most on all levels but the last, whose rows are fewer by BLOCK to the power ``levels`` - 1.
+    A window holds BLOCK places at most: more of them are summed by blocks, and blocks by blocks of blocks.
     """
-    if levels == 1:
+    if places <= BLOCK:
         before = F.sum(value).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn(name, F.coalesce(before, F.lit(0)))
     rows = df.withColumn("_block", F.floor(F.col(at) / BLOCK).cast("long"))
     blocks = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_n"))
-    blocks = totals_before(blocks.withColumnRenamed("_block", "_at"), by, "_at", "_n", "_all", levels - 1).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_at").alias("_of"), F.col("_all").alias("_earlier"))
+    blocks = totals_before(blocks.withColumnRenamed("_block", "_at"), by, "_at", "_n", "_all", -(-places // BLOCK)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_at").alias("_of"), F.col("_all").alias("_earlier"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_block") == F.col("_of"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_inside", inside).join(blocks, same).withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", "_block", "_of", *[f"_by_{c}" for c in by])
@@ -49,7 +49,7 @@ def ranked(df: DataFrame, by: list[str], spread: Column, order: list[Column], na
     bits = range_bits(df.count())
     rows = rows.withColumn("_range", F.shiftright("_spread", MOST_BITS - bits).cast("long"))
     ranges = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    ranges = totals_before(ranges, by, "_range", "_n", "_before", 2 if bits <= 12 else 3).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), "_before")
+    ranges = totals_before(ranges, by, "_range", "_n", "_before", 1 << bits).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), "_before")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_of"))
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_spread", *order))
     return rows.withColumn("_inside", inside).join(ranges, same).withColumn(name, F.col("_inside") + F.col("_before")).drop("_spread", "_range", "_of", "_before", "_inside", *[f"_by_{c}" for c in by])
