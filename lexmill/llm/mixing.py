@@ -98,7 +98,7 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int | None = None, seed: i
     bits = ranks.range_bits(uses.count())
     uses = uses.withColumn("range", F.shiftrightunsigned("h", 64 - bits))
     ranges = uses.groupBy("source", "repetition", "range").agg(F.sum("n_tokens").alias("n"))
-    ranges = ranks.totals_before(ranges, ["source", "repetition"], "range", "n", "before").drop("n")
+    ranges = ranks.totals_before(ranges, ["source", "repetition"], "range", "n", "before", 1 << bits).drop("n")
     inside = Window.partitionBy("source", "repetition", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     uses = uses.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(ranges, ["source", "repetition", "range"])
     uses = uses.withColumn("at", F.col("repetition") * F.col("available") + F.col("before") + F.col("inside"))

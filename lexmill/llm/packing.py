@@ -85,8 +85,8 @@ def pack(sizes: DataFrame, capacity: int, ident: str = "doc_id", source: str = "
     items = durable(items)
     per = items.groupBy("mixed", "shard", "source").agg(F.sum("n_tokens").alias("n"))
     of_all = per.groupBy("mixed", "source").agg((F.sum("n") / F.when(F.col("mixed"), F.lit(all_first)).otherwise(F.lit(all_rest))).alias("share"))
-    earlier = ranks.totals_before(per.groupBy("mixed", "shard").agg(F.sum("n").alias("all")), ["mixed"], "shard", "all", "earlier").select("shard", "earlier")
-    owed = ranks.totals_before(per, ["mixed", "source"], "shard", "n", "had").join(of_all, ["mixed", "source"]).join(earlier, "shard")
+    earlier = ranks.totals_before(per.groupBy("mixed", "shard").agg(F.sum("n").alias("all")), ["mixed"], "shard", "all", "earlier", sum(shards.values())).select("shard", "earlier")
+    owed = ranks.totals_before(per, ["mixed", "source"], "shard", "n", "had", sum(shards.values())).join(of_all, ["mixed", "source"]).join(earlier, "shard")
     owed = owed.select("shard", "source", "share", (F.col("share") * F.col("earlier") - F.col("had")).alias("owed"))
 
     rows = items.join(owed, ["shard", "source"])
