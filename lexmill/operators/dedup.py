@@ -1,17 +1,20 @@
 """Exact and near duplicates.
 
-Near duplicates compare sets of character n-grams. Texts of one key are one class; only classes are compared, through inverted
-lists of the rarest shingles (exact mode) or MinHash bands (LSH mode), and every candidate is verified exactly. A record's match is
-the most similar earlier record, the earliest on ties; matches aren't transitive and make no clusters.
+Near duplicates compare sets of character n-grams. Texts of one key are one class; only classes are compared, through equal parts of
+their sets (exact mode; inverted lists of the rarest shingles at low thresholds and against references) or MinHash bands (LSH mode),
+and every candidate is verified exactly. A record's match is the most similar earlier record, the earliest on ties; matches aren't
+transitive and make no clusters. Texts aren't shuffled: records travel as digests, and only the texts of candidates are fetched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmill.functions import text as X
 from lexmill.session import durable
@@ -19,6 +22,11 @@ from lexmill.session import durable
 
 FREQUENT_SHARE = 1 / 1_000_000  # of all shingles, from which one is put behind the others: at most a million, of 16 bytes, are
 TOGETHER = 6  # shingles that the first ones of two similar sets share, where the sets are large enough
+LEAST_BY_PARTS = 0.7  # threshold under which sets differ in so many parts that empty ones would have to be compared
+PARTS = 16  # parts of a set that make a group; a group has a row of 64 parities besides
+ROWS_TOGETHER = 500_000  # records from which the signatures of a group of parts are split by their value
+PAIRS_AT_ONCE = 4_000_000  # pairs that a task holds at once
+FEW = 500_000  # records whose numbers are sent to every executor to fetch their texts; more are joined by shuffle
 
 
 def exact_duplicates(df: DataFrame, key: Column, ident: str) -> DataFrame:
@@ -109,6 +117,132 @@ def minhash_bands(sets: DataFrame, bands: int = 16, rows: int = 8, seed: int = 1
     return sets.select("cls", "sh").mapInPandas(sign, "cls long, n int, s long")
 
 
+def set_windows(n: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(window, groups, kept) of a set of ``n`` for each window of sizes in which it may meet a similar one.
+
+    Window i is for pairs whose larger set has 2**i to 2**(i+1) - 1 shingles. Two sets of Jaccard ``threshold`` differ in at most
+    (1 - threshold) / (1 + threshold) of their summed sizes, so in at most that by ``groups`` in some group of PARTS parts. Of the
+    ``kept`` first parts of either set in that group, in an order that hangs on the parts alone, one at least is equal in both.
+    """
+    i = n.bit_length() - 1
+    while threshold * 2**i <= n + 1e-9:
+        top = 2 ** (i + 1) - 1
+        groups = _groups(i, threshold)
+        yield i, groups, _apart(n + min(int(n / threshold + 1e-9), top), threshold) // groups + 1
+        i += 1
+
+
+def _apart(both: int, threshold: float) -> int:
+    return int((1 - threshold) / (1 + threshold) * both + 1e-9)
+
+
+def _groups(window: int, threshold: float) -> int:
+    """Groups of parts of the sets of a window: fewer than PARTS parts of one may differ between two similar sets."""
+    return _apart(2 * (2 ** (window + 1) - 1), threshold) // (PARTS - 1) + 1
+
+
+@lru_cache(maxsize=64)
+def _edges(parts: int) -> np.ndarray:
+    return (np.arange(1, parts) / parts * 2.0**64 - 2.0**63).astype(np.int64)
+
+
+def set_signatures(sh: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, part, signature, parities) of the kept parts of a sorted set, the largest ones of each group; parts are ranges of the hashes.
+
+    The parities of a group are those of the counts of its shingles in 64 classes: two sets have no more different ones than shingles.
+    """
+    x = sh.view(np.uint64)
+    none = np.zeros(1, dtype=np.uint64)
+    sums = np.concatenate([none, np.cumsum((x ^ (x >> np.uint64(31))) * _STEP, dtype=np.uint64)])
+    odd = np.concatenate([none, np.bitwise_xor.accumulate(np.uint64(1) << (x & np.uint64(63)))])
+    for window, groups, kept in set_windows(len(sh), threshold):
+        ends = np.concatenate([[0], np.searchsorted(sh, _edges(groups * PARTS)), [len(sh)]])
+        first = np.argsort((ends[:-1] - ends[1:]).reshape(groups, PARTS), axis=1, kind="stable")[:, :kept]
+        part = (np.sort(first, axis=1) + np.arange(0, groups * PARTS, PARTS)[:, None]).ravel()
+        sign = sums[ends[part + 1]] - sums[ends[part]] + part.astype(np.uint64)
+        sign = (sign ^ (sign >> np.uint64(29))) * _STEP
+        yield window, part, (sign >> np.uint64(32)).astype(np.uint32), odd[ends[PARTS::PARTS]] ^ odd[ends[:-1:PARTS]]
+
+
+def _signatures(rows: DataFrame, n: int, threshold: float, splits: int) -> DataFrame:
+    """(win, grp, ids, sizes, odd, counts, signs): the signatures of a batch of records (id, key) for one group of parts, packed."""
+
+    def packed(batches):
+        for batch in batches:
+            batch = batch[batch["key"].fillna("") != ""].drop_duplicates(["id", "key"])
+            ids, sizes = batch["id"].to_numpy(np.int64), np.zeros(len(batch), dtype=np.uint32)
+            rec, at, signs, odd = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint64)]
+            for r, key in enumerate(batch["key"]):
+                sh = shingle_hashes(key, n)
+                sizes[r] = len(sh)
+                for window, part, sign, parities in set_signatures(sh, threshold):
+                    rec.append(np.full(len(part), r, dtype=np.int32))
+                    at.append((window << 48) + part // PARTS * splits + (sign.astype(np.int64) * splits >> 32))
+                    signs.append(sign)
+                    odd.append(parities[part // PARTS])
+            rec, at, signs, odd = np.concatenate(rec), np.concatenate(at), np.concatenate(signs), np.concatenate(odd)
+            order = np.argsort(at, kind="stable")
+            rec, at, signs, odd = rec[order], at[order], signs[order], odd[order]
+            cut = np.flatnonzero(np.diff(at)) + 1
+            out = []
+            for lo, hi in zip([0, *cut], [*cut, len(at)]):
+                if lo < hi:
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(rec[lo:hi])) + 1])
+                    of = rec[lo:hi][first]
+                    counts = np.diff(np.append(first, hi - lo)).astype(np.uint8)
+                    out.append((int(at[lo] >> 48), int(at[lo] & ((1 << 48) - 1)), ids[of].tobytes(), sizes[of].tobytes(), odd[lo:hi][first].tobytes(), counts.tobytes(), signs[lo:hi].tobytes()))
+            yield pd.DataFrame(out, columns=["win", "grp", "ids", "sizes", "odd", "counts", "signs"])
+
+    return rows.select("id", "key").mapInPandas(packed, "win int, grp long, ids binary, sizes binary, odd binary, counts binary, signs binary")
+
+
+def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
+    """(a, b) of the ids of records (id, key) with an equal part in a group that isn't too different by its parities, whose sizes allow the threshold."""
+    rate = (1 - threshold) / (1 + threshold)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
+        names, rec = np.unique(whole("ids", np.int64), return_inverse=True)
+        size, odd = np.zeros(len(names)), np.zeros(len(names), dtype=np.uint64)
+        size[rec], odd[rec] = whole("sizes", np.uint32), whole("odd", np.uint64)
+        groups = _groups(int(pdf["win"].iat[0]), threshold)
+        entry = np.unique(whole("signs", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(rec, whole("counts", np.uint8)).astype(np.uint64))
+        sign, rec = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = np.arange(len(entry))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], sign[1:] != sign[:-1]]), place, 0))
+        later = np.flatnonzero(place > start)
+        before = (place - start)[later]
+        sums, lo, out = np.cumsum(before), 0, [np.zeros(0, dtype=np.int64)]
+        while lo < len(later):
+            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS_AT_ONCE)))
+            many = before[lo:hi]
+            left = rec[np.repeat(start[later[lo:hi]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            right = np.repeat(rec[later[lo:hi]], many)
+            a, b = size[left], size[right]
+            near = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.bitwise_count(odd[left] ^ odd[right]) <= (rate * (a + b) + 1e-9) / groups)
+            out.append(np.unique(right[near] << 32 | left[near]))
+            lo = hi
+        pair = np.unique(np.concatenate(out))
+        return pd.DataFrame({"a": names[pair >> 32], "b": names[pair & 0xFFFFFFFF]})
+
+    met = _signatures(rows, n, threshold, 1 + total // ROWS_TOGETHER).groupBy("win", "grp").applyInPandas(meet, "a long, b long")
+    return met.distinct()
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs at ``threshold`` or more, from the texts of their records among ``rows`` (ord, key)."""
+    wanted = durable(pairs.select(F.col("a").alias("ord")).unionAll(pairs.select("b")).distinct())
+    texts = durable(rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "ord", "left_semi").select("ord", "key"))
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        sets = lru_cache(maxsize=1000)(lambda key: shingle_hashes(key, n))
+        return pd.Series([(o := len(np.intersect1d(p, q, assume_unique=True))) / (len(p) + len(q) - o) for p, q in zip(map(sets, x), map(sets, y))], dtype=float)
+
+    both = pairs.join(texts.toDF("a", "ka"), "a").join(texts.toDF("b", "kb"), "b")
+    return both.select("a", "b", jaccard("ka", "kb").alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(left.select(F.col("cls").alias("a"), F.col("sh").alias("sa"), F.col("grp").alias("ga")), "a").join(right.select(F.col("cls").alias("b"), F.col("sh").alias("sb"), F.col("grp").alias("gb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -131,18 +265,32 @@ def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: floa
     Records of one non-null group are never compared. Null and empty texts match nothing. ``mode`` ``lsh`` finds candidates by MinHash
     bands (16 of 8: nearly all at 0.9 and above), ``exact`` finds all.
     """
-    classes = durable(_classes(df, text, ident, group))
-    sets = durable(_shingled(classes, n))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0, at most 1")
+    g = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    texts = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key"), g.alias("grp"))  # filtered where it is read: a filter here would work out each key twice
+    digest, salt = F.unhex(F.sha2("key", 256)), F.coalesce(F.concat(F.lit("g"), "grp"), F.lit(""))
+    if group:
+        digest = F.unhex(F.sha2(F.concat(digest, salt.cast("binary")), 256))
+    ident_of = F.xxhash64("key", salt)
+    named = durable(texts.select("ord", "grp", F.when(F.col("key") != "", digest).alias("digest"), ident_of.alias("id"))).filter("digest is not null")
+    classes = durable(named.groupBy("digest").agg(F.min("ord").alias("cls"), F.first("grp").alias("grp"), F.first("id").alias("id")))
+    keyed = texts.select(ident_of.alias("id"), "key", "grp")
     if mode == "lsh":
-        keys = durable(minhash_bands(sets))
+        keys = durable(minhash_bands(_shingled(keyed.filter("key <> ''").select(F.col("id").alias("cls"), "grp", "key"), n)).distinct())
+        met = _candidates(keys, keys, threshold, 1, within=True)
+    elif threshold >= LEAST_BY_PARTS:
+        met = _equal_parts(keyed, n, threshold, named.count())
     else:
+        sets = durable(_shingled(keyed.filter("key <> ''").dropDuplicates().select(F.col("id").alias("cls"), "grp", "key"), n))
         keys = durable(_prefixes(sets, threshold, frequent_shingles(sets)))
-    pairs = _candidates(keys, keys, threshold, 1 if mode == "lsh" else TOGETHER, within=True)
-    links = _verified(pairs, sets, sets, threshold)
+        met = _candidates(keys, keys, threshold, TOGETHER, within=True)
+    c = classes.select("id", "cls", "grp")
+    met = met.join(c.toDF("a", "ca", "ga"), "a").join(c.toDF("b", "cb", "gb"), "b").filter("ca <> cb and coalesce(ga <> gb, true)")
+    pairs = durable(met.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")))
+    links = _similar(pairs, texts, n, threshold)
     top = F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m")
-    g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    rows = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key"), g.alias("grp")).filter("key <> ''")
-    rows = rows.join(classes, (rows["key"] == classes["key"]) & rows["grp"].eqNullSafe(classes["grp"])).select("ord", rows["grp"], "cls")
+    rows = named.join(classes.select("digest", "cls"), "digest").select("ord", "grp", "cls")
     if group:  # later members of a group's class may meet classes that began after their own
         links = durable(links)
         both = links.select("a", "b", "jaccard").unionAll(links.select("b", "a", "jaccard"))

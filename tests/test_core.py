@@ -4,10 +4,13 @@ import math
 import random
 import zipfile
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill import session
 from lexmill.functions import text as X
 from lexmill.operators import codemix, corpus, dedup, lexical, metrics, runs, scorer, select, semantic
 from lexmill.sources import readers, sinks
@@ -399,3 +402,41 @@ def test_kmeans_starts_ten_times():
     import inspect
 
     assert inspect.signature(semantic.kmeans).parameters["tries"].default == 10
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.95])
+def test_similar_sets_have_an_equal_part(threshold):
+    rng = np.random.default_rng(3)
+    for size in [1, 2, 5, 17, 40, 120, 500, 3000] * 6:
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+        drop = int(rng.integers(0, len(a) * (1 - threshold) + 1))
+        add = int(rng.integers(0, max(0, (len(a) - drop) / threshold - len(a)) + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(-(2**63), 2**63 - 1, add)]))
+        if len(np.intersect1d(a, b)) < threshold * len(np.union1d(a, b)):
+            continue
+        parts = [{(w, p, s): odd[p // dedup.PARTS] for w, part, sign, odd in dedup.set_signatures(x, threshold) for p, s in zip(part, sign)} for x in (a, b)]
+        most = {w: dedup._apart(len(a) + len(b), threshold) / groups for w, groups, _ in dedup.set_windows(len(a), threshold)}
+        assert any(bin(int(parts[0][k] ^ parts[1][k])).count("1") <= most[k[0]] for k in parts[0].keys() & parts[1].keys())
+
+
+def test_near_duplicates_move_no_texts(spark):
+    """What is written to disk for texts without duplicates is a small part of what whole sets of shingles take, 8 bytes a character."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(600))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, text string")
+    here = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(here.iterdir())
+    assert dedup.near_duplicates_within(df, "text", "i").count() == 0
+    new = [p for d in set(here.iterdir()) - before for p in d.rglob("*.parquet")]
+    assert new and sum(p.stat().st_size for p in new) < 400 * 600
+
+
+@pytest.mark.parametrize("splits", [1, 100])
+def test_pairs_are_the_same_in_many_tasks(spark, monkeypatch, splits):
+    monkeypatch.setattr(dedup, "ROWS_TOGETHER", 90 // splits + 1)
+    monkeypatch.setattr(dedup, "PAIRS_AT_ONCE", 3)
+    monkeypatch.setattr(dedup, "FEW", 5)
+    rng = random.Random(9)
+    rows = [(i, "abcdefgh ijklmnop qrstuvwx"[: 20 + i % 7] + rng.choice("xyz"), None) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, text string, g string")
+    assert {r.i: (r.duplicate_of, round(r.jaccard, 6)) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
