@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexmill.functions import text as X
 from lexmill.session import durable
@@ -31,6 +32,8 @@ FEW = 500_000  # records whose numbers are sent to every executor to fetch their
 
 def exact_duplicates(df: DataFrame, key: Column, ident: str) -> DataFrame:
     """``df`` with ``duplicate_of``: the first record with the same key, or null for that record itself and for null keys."""
+    long = isinstance(df.select(key.alias("_key")).schema["_key"].dataType, StringType)
+    key = F.unhex(F.sha2(key, 256)) if long else key  # texts needn't move to be compared
     first = df.groupBy(key.alias("_key")).agg(F.min(ident).alias("_first"), F.count("*").alias("_n")).filter("_key is not null and _n > 1").drop("_n")
     rows = df.withColumn("_key", key)  # rows without a key meet nothing and don't all go to one task
     out = rows.filter("_key is not null").join(first, "_key", "left").unionByName(rows.filter("_key is null").withColumn("_first", F.lit(None).cast(df.schema[ident].dataType)))
@@ -55,7 +58,13 @@ def shingle_hashes(key: str, n: int) -> np.ndarray:
     for i in range(m):
         h = (h ^ cps[i : len(cps) - m + 1 + i]) * _STEP
         h ^= h >> np.uint64(29)
-    return np.unique(h.view(np.int64))
+    return _distinct(h.view(np.int64))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; ``x`` itself is sorted."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _shingled(classes: DataFrame, n: int) -> DataFrame:
@@ -206,7 +215,7 @@ def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataF
         size, odd = np.zeros(len(names)), np.zeros(len(names), dtype=np.uint64)
         size[rec], odd[rec] = whole("sizes", np.uint32), whole("odd", np.uint64)
         groups = _groups(int(pdf["win"].iat[0]), threshold)
-        entry = np.unique(whole("signs", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(rec, whole("counts", np.uint8)).astype(np.uint64))
+        entry = _distinct(whole("signs", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(rec, whole("counts", np.uint8)).astype(np.uint64))
         sign, rec = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
         place = np.arange(len(entry))
         start = np.maximum.accumulate(np.where(np.concatenate([[True], sign[1:] != sign[:-1]]), place, 0))
@@ -220,9 +229,9 @@ def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataF
             right = np.repeat(rec[later[lo:hi]], many)
             a, b = size[left], size[right]
             near = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.bitwise_count(odd[left] ^ odd[right]) <= (rate * (a + b) + 1e-9) / groups)
-            out.append(np.unique(right[near] << 32 | left[near]))
+            out.append(_distinct(right[near] << 32 | left[near]))
             lo = hi
-        pair = np.unique(np.concatenate(out))
+        pair = _distinct(np.concatenate(out))
         return pd.DataFrame({"a": names[pair >> 32], "b": names[pair & 0xFFFFFFFF]})
 
     met = _signatures(rows, n, threshold, 1 + total // ROWS_TOGETHER).groupBy("win", "grp").applyInPandas(meet, "a long, b long")

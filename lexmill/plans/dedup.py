@@ -10,6 +10,7 @@ from lexmill.functions import text as X
 from lexmill.operators import dedup
 from lexmill.plans.registry import Registry
 from lexmill.plans.text import _n, _sub, _tok
+from lexmill.session import durable
 from lexmill.sources.tables import table
 
 r = Registry()
@@ -104,7 +105,8 @@ FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {KEY}) < doc_id AS exact FRO
 def dedup_n08_measures(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     near = dedup.near_duplicates_within(docs, "text", "doc_id").select("doc_id", F.lit(True).alias("near"))
-    rows = dedup.exact_duplicates(docs, X.dedup_key("text"), "doc_id").join(near, "doc_id", "left")
+    digests = durable(docs.select("doc_id", F.unhex(F.sha2(X.dedup_key("text"), 256)).alias("digest")))
+    rows = dedup.exact_duplicates(digests, F.col("digest"), "doc_id").join(near, "doc_id", "left")
     rate = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
     exact, close = F.col("duplicate_of").isNotNull(), F.col("near").isNotNull()
     return rows.agg(F.count("*").alias("n"), rate(exact).alias("exact_rate"), rate(close).alias("near_rate"), rate(exact | close).alias("repeats"))
