@@ -440,3 +440,22 @@ def test_pairs_are_the_same_in_many_tasks(spark, monkeypatch, splits):
     rows = [(i, "abcdefgh ijklmnop qrstuvwx"[: 20 + i % 7] + rng.choice("xyz"), None) for i in range(90)]
     df = spark.createDataFrame(rows, "i long, text string, g string")
     assert {r.i: (r.duplicate_of, round(r.jaccard, 6)) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
+
+
+def test_checks_of_documents_move_no_texts(spark):
+    from lexmill import plans
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("flow_a17_check_counts", "flow_n11_checks", "flow_filter_stats", "dedup_n08_measures"):
+            plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "text#" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_exact_duplicates_meet_by_digest(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, "b"), (5, None), (6, "")], "i long, k string")
+    out = dedup.exact_duplicates(df, F.col("k"), "i")
+    assert {r.i: r.duplicate_of for r in out.collect()} == {1: None, 2: None, 3: 1, 4: None, 5: None, 6: None}
+    assert "hashpartitioning(k#" not in out._jdf.queryExecution().executedPlan().toString()
