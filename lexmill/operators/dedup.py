@@ -25,8 +25,10 @@ FREQUENT_SHARE = 1 / 1_000_000  # of all shingles, from which one is put behind
 TOGETHER = 6  # shingles that the first ones of two similar sets share, where the sets are large enough
 LEAST_BY_PARTS = 0.7  # threshold under which sets differ in so many parts that empty ones would have to be compared
 PARTS = 16  # parts of a set that make a group; a group has a row of 64 parities besides
-ROWS_TOGETHER = 500_000  # records from which the signatures of a group of parts are split by their value
+ROWS_TOGETHER = 2_000_000  # records from which the signatures of a group of parts are split by their value; a split names its records again
+ENTRIES_AT_ONCE = 4_000_000  # signatures that a task sorts at once
 PAIRS_AT_ONCE = 4_000_000  # pairs that a task holds at once
+KNOWN = 1_000_000  # records that a task remembers, to leave out their copies
 FEW = 500_000  # records whose numbers are sent to every executor to fetch their texts; more are joined by shuffle
 
 
@@ -174,11 +176,20 @@ def set_signatures(sh: np.ndarray, threshold: float) -> Iterator[tuple[int, np.n
 
 
 def _signatures(rows: DataFrame, n: int, threshold: float, splits: int) -> DataFrame:
-    """(win, grp, ids, sizes, odd, counts, signs): the signatures of a batch of records (id, key) for one group of parts, packed."""
+    """(win, grp, ids, sizes, odd, counts, signs): the signatures of a batch of records (id, key) for one group of parts, packed.
+
+    A signature has 24 bits: others that meet by chance differ in their parities. Copies in one task are left out, where it remembers them.
+    """
 
     def packed(batches):
+        known: set[int] = set()
         for batch in batches:
             batch = batch[batch["key"].fillna("") != ""].drop_duplicates(["id", "key"])
+            marks = [i << 64 | hash(key) & (1 << 64) - 1 for i, key in zip(batch["id"].tolist(), batch["key"])]
+            batch = batch[np.array([m not in known for m in marks], dtype=bool)]
+            if len(known) > KNOWN:
+                known.clear()
+            known.update(marks)
             ids, sizes = batch["id"].to_numpy(np.int64), np.zeros(len(batch), dtype=np.uint32)
             rec, at, signs, odd = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint64)]
             for r, key in enumerate(batch["key"]):
@@ -199,7 +210,7 @@ def _signatures(rows: DataFrame, n: int, threshold: float, splits: int) -> DataF
                     first = np.concatenate([[0], np.flatnonzero(np.diff(rec[lo:hi])) + 1])
                     of = rec[lo:hi][first]
                     counts = np.diff(np.append(first, hi - lo)).astype(np.uint8)
-                    out.append((int(at[lo] >> 48), int(at[lo] & ((1 << 48) - 1)), ids[of].tobytes(), sizes[of].tobytes(), odd[lo:hi][first].tobytes(), counts.tobytes(), signs[lo:hi].tobytes()))
+                    out.append((int(at[lo] >> 48), int(at[lo] & ((1 << 48) - 1)), ids[of].tobytes(), sizes[of].tobytes(), odd[lo:hi][first].tobytes(), counts.tobytes(), signs[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
             yield pd.DataFrame(out, columns=["win", "grp", "ids", "sizes", "odd", "counts", "signs"])
 
     return rows.select("id", "key").mapInPandas(packed, "win int, grp long, ids binary, sizes binary, odd binary, counts binary, signs binary")
@@ -209,19 +220,14 @@ def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataF
     """(a, b) of the ids of records (id, key) with an equal part in a group that isn't too different by its parities, whose sizes allow the threshold."""
     rate = (1 - threshold) / (1 + threshold)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
-        names, rec = np.unique(whole("ids", np.int64), return_inverse=True)
-        size, odd = np.zeros(len(names)), np.zeros(len(names), dtype=np.uint64)
-        size[rec], odd[rec] = whole("sizes", np.uint32), whole("odd", np.uint64)
-        groups = _groups(int(pdf["win"].iat[0]), threshold)
-        entry = _distinct(whole("signs", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(rec, whole("counts", np.uint8)).astype(np.uint64))
+    def together(sign: np.ndarray, rec: np.ndarray, size: np.ndarray, odd: np.ndarray, groups: int) -> list[np.ndarray]:
+        entry = _distinct(sign.astype(np.uint64) << np.uint64(32) | rec.astype(np.uint64))
         sign, rec = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
         place = np.arange(len(entry))
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], sign[1:] != sign[:-1]]), place, 0))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], sign[1:] != sign[:-1]])[: len(entry)], place, 0))
         later = np.flatnonzero(place > start)
         before = (place - start)[later]
-        sums, lo, out = np.cumsum(before), 0, [np.zeros(0, dtype=np.int64)]
+        sums, lo, out = np.cumsum(before), 0, []
         while lo < len(later):
             hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS_AT_ONCE)))
             many = before[lo:hi]
@@ -231,6 +237,23 @@ def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataF
             near = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.bitwise_count(odd[left] ^ odd[right]) <= (rate * (a + b) + 1e-9) / groups)
             out.append(_distinct(right[near] << 32 | left[near]))
             lo = hi
+        return out
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
+        names, rec = np.unique(whole("ids", np.int64), return_inverse=True)
+        size, odd = np.zeros(len(names)), np.zeros(len(names), dtype=np.uint64)
+        size[rec], odd[rec] = whole("sizes", np.uint32), whole("odd", np.uint64)
+        groups = _groups(int(pdf["win"].iat[0]), threshold)
+        rec = np.repeat(rec.astype(np.uint32), whole("counts", np.uint8))
+        sign = np.zeros((len(rec), 4), dtype=np.uint8)
+        sign[:, :3] = whole("signs", np.uint8).reshape(-1, 3)
+        sign = sign.view("<u4").ravel()
+        slices = 1 + len(sign) // ENTRIES_AT_ONCE
+        out = [np.zeros(0, dtype=np.int64)]
+        for k in range(slices):
+            own = (sign >= (k << 24) // slices) & (sign < (k + 1 << 24) // slices)
+            out += together(sign[own], rec[own], size, odd, groups)
         pair = _distinct(np.concatenate(out))
         return pd.DataFrame({"a": names[pair >> 32], "b": names[pair & 0xFFFFFFFF]})
 

@@ -459,3 +459,41 @@ def test_exact_duplicates_meet_by_digest(spark):
     out = dedup.exact_duplicates(df, F.col("k"), "i")
     assert {r.i: r.duplicate_of for r in out.collect()} == {1: None, 2: None, 3: 1, 4: None, 5: None, 6: None}
     assert "hashpartitioning(k#" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["flow_n11_checks"])
+def test_signatures_of_a_million_documents_fit_the_disk(spark, monkeypatch, name):
+    """Bytes a document as they are moved where the table has 1,100,000 of them; four times the input are 1,200 and more."""
+    from lexmill import plans
+
+    moved, real = [], dedup._signatures
+
+    def at_a_million(rows, n, threshold, splits):
+        out = real(rows, n, threshold, 1 + 1_100_000 // dedup.ROWS_TOGETHER)
+        moved.append(out.agg(F.sum(sum(F.length(c) for c in ("ids", "sizes", "odd", "counts", "signs")))).first()[0])
+        return out
+
+    monkeypatch.setattr(dedup, "_signatures", at_a_million)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    plans.queries()[name](spark, "/root/testdata/sf0.01")
+    assert len(moved) == 1 and 0 < moved[0] < 900 * docs
+
+
+def test_copies_in_one_task_are_named_once(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.createDataFrame([(i % 7, f"text number {i % 7} that comes again and again") for i in range(90)], "id long, key string").coalesce(1)
+        named, once = (Counter(i for r in dedup._signatures(x, 5, 0.8, 1).collect() for i in np.frombuffer(r.ids, dtype=np.int64)) for x in (rows, rows.dropDuplicates().coalesce(1)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert named == once and set(named) == set(range(7))
+
+
+@pytest.mark.parametrize("at_once", [1, 50])
+def test_pairs_are_the_same_in_slices(spark, monkeypatch, at_once):
+    monkeypatch.setattr(dedup, "ENTRIES_AT_ONCE", at_once)
+    monkeypatch.setattr(dedup, "KNOWN", 3)
+    rng = random.Random(19)
+    rows = [(i, "abcdefgh ijklmnop qrstuvwx"[: 20 + i % 7] + rng.choice("xyz"), None) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, text string, g string")
+    assert {r.i: (r.duplicate_of, round(r.jaccard, 6)) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
