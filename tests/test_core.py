@@ -461,7 +461,7 @@ def test_exact_duplicates_meet_by_digest(spark):
     assert "hashpartitioning(k#" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["flow_n11_checks"])
+@pytest.mark.parametrize("name", ["flow_n11_checks", "flow_filter_stats"])
 def test_signatures_of_a_million_documents_fit_the_disk(spark, monkeypatch, name):
     """Bytes a document as they are moved where the table has 1,100,000 of them; four times the input are 1,200 and more."""
     from lexmill import plans
