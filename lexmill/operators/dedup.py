@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 from lexmill.functions import text as X
 from lexmill.session import durable
@@ -27,7 +27,7 @@ LEAST_BY_PARTS = 0.7  # threshold under which sets differ in so many parts that
 PARTS = 16  # parts of a set that make a group; a group has a row of 64 parities besides
 ROWS_TOGETHER = 2_000_000  # records from which the signatures of a group of parts are split by their value; a split names its records again
 ENTRIES_AT_ONCE = 4_000_000  # signatures that a task sorts at once
-PAIRS_AT_ONCE = 4_000_000  # pairs that a task holds at once
+PAIRS_AT_ONCE = 2_000_000  # pairs that a task holds at once
 KNOWN = 1_000_000  # records that a task remembers, to leave out their copies
 FEW = 500_000  # records whose numbers are sent to every executor to fetch their texts; more are joined by shuffle
 
@@ -178,8 +178,10 @@ def set_signatures(sh: np.ndarray, threshold: float) -> Iterator[tuple[int, np.n
 def _signatures(rows: DataFrame, n: int, threshold: float, splits: int) -> DataFrame:
     """(win, grp, ids, sizes, odd, counts, signs): the signatures of a batch of records (id, key) for one group of parts, packed.
 
-    A signature has 24 bits: others that meet by chance differ in their parities. Copies in one task are left out, where it remembers them.
+    ``sizes`` are the first 8 bits of each size, ``counts`` a bit for each part of the group that has a signature. A signature has 16 bits, 24
+    where they are split by their value: others that meet by chance differ in their parities. Copies in one task are left out, where it remembers them.
     """
+    kind, width = _kind(rows), 2 if splits == 1 else 3
 
     def packed(batches):
         known: set[int] = set()
@@ -190,81 +192,111 @@ def _signatures(rows: DataFrame, n: int, threshold: float, splits: int) -> DataF
             if len(known) > KNOWN:
                 known.clear()
             known.update(marks)
-            ids, sizes = batch["id"].to_numpy(np.int64), np.zeros(len(batch), dtype=np.uint32)
-            rec, at, signs, odd = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint64)]
+            ids, sizes = batch["id"].to_numpy(kind), np.zeros(len(batch), dtype=np.int64)
+            rec, at, bits, signs, odd = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint64)]
             for r, key in enumerate(batch["key"]):
                 sh = shingle_hashes(key, n)
                 sizes[r] = len(sh)
                 for window, part, sign, parities in set_signatures(sh, threshold):
                     rec.append(np.full(len(part), r, dtype=np.int32))
                     at.append((window << 48) + part // PARTS * splits + (sign.astype(np.int64) * splits >> 32))
+                    bits.append((1 << part % PARTS).astype(np.uint16))
                     signs.append(sign)
                     odd.append(parities[part // PARTS])
-            rec, at, signs, odd = np.concatenate(rec), np.concatenate(at), np.concatenate(signs), np.concatenate(odd)
+            rec, at, bits, signs, odd = map(np.concatenate, (rec, at, bits, signs, odd))
             order = np.argsort(at, kind="stable")
-            rec, at, signs, odd = rec[order], at[order], signs[order], odd[order]
+            rec, at, bits, signs, odd = rec[order], at[order], bits[order], signs[order], odd[order]
             cut = np.flatnonzero(np.diff(at)) + 1
             out = []
             for lo, hi in zip([0, *cut], [*cut, len(at)]):
                 if lo < hi:
                     first = np.concatenate([[0], np.flatnonzero(np.diff(rec[lo:hi])) + 1])
-                    of = rec[lo:hi][first]
-                    counts = np.diff(np.append(first, hi - lo)).astype(np.uint8)
-                    out.append((int(at[lo] >> 48), int(at[lo] & ((1 << 48) - 1)), ids[of].tobytes(), sizes[of].tobytes(), odd[lo:hi][first].tobytes(), counts.tobytes(), signs[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()))
+                    of, window = rec[lo:hi][first], int(at[lo] >> 48)
+                    size = (sizes[of] >> _unkept(window)).astype(np.uint8)
+                    own = np.bitwise_or.reduceat(bits[lo:hi], first).astype("<u2")
+                    out.append((window, int(at[lo] & ((1 << 48) - 1)), ids[of].tobytes(), size.tobytes(), odd[lo:hi][first].tobytes(), own.tobytes(), signs[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()))
             yield pd.DataFrame(out, columns=["win", "grp", "ids", "sizes", "odd", "counts", "signs"])
 
     return rows.select("id", "key").mapInPandas(packed, "win int, grp long, ids binary, sizes binary, odd binary, counts binary, signs binary")
 
 
+def _kind(rows: DataFrame) -> type:
+    return np.int32 if isinstance(rows.schema["id"].dataType, IntegerType) else np.int64
+
+
+def _unkept(window: int) -> int:
+    """Bits of the sizes in a window besides the first 8."""
+    return max(0, window - 7)
+
+
 def _equal_parts(rows: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
-    """(a, b) of the ids of records (id, key) with an equal part in a group that isn't too different by its parities, whose sizes allow the threshold."""
-    rate = (1 - threshold) / (1 + threshold)
+    """(a, b) of the ids of records (id, key) with an equal part in a group that isn't too different by its parities, whose sizes allow the threshold.
+
+    Records of one id are told apart where they differ in the parities of a group, but aren't paired with each other for sure.
+    """
+    rate, kind, splits = (1 - threshold) / (1 + threshold), _kind(rows), 1 + total // ROWS_TOGETHER
+    width = 2 if splits == 1 else 3
 
-    def together(sign: np.ndarray, rec: np.ndarray, size: np.ndarray, odd: np.ndarray, groups: int) -> list[np.ndarray]:
+    def together(sign: np.ndarray, rec: np.ndarray, least: np.ndarray, most: np.ndarray, odd: np.ndarray, groups: int) -> list[np.ndarray]:
         entry = _distinct(sign.astype(np.uint64) << np.uint64(32) | rec.astype(np.uint64))
-        sign, rec = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sign, rec = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int32)
         place = np.arange(len(entry))
         start = np.maximum.accumulate(np.where(np.concatenate([[True], sign[1:] != sign[:-1]])[: len(entry)], place, 0))
         later = np.flatnonzero(place > start)
         before = (place - start)[later]
         sums, lo, out = np.cumsum(before), 0, []
+        apart = (2 * rate * most.max(initial=0) + 1e-9) / groups
         while lo < len(later):
             hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS_AT_ONCE)))
             many = before[lo:hi]
             left = rec[np.repeat(start[later[lo:hi]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             right = np.repeat(rec[later[lo:hi]], many)
-            a, b = size[left], size[right]
-            near = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.bitwise_count(odd[left] ^ odd[right]) <= (rate * (a + b) + 1e-9) / groups)
+            differ = np.bitwise_count(odd[left] ^ odd[right])
+            some = np.flatnonzero(differ <= apart)
+            left, right = left[some].astype(np.int64), right[some].astype(np.int64)
+            near = (most[left] >= threshold * least[right] - 1e-9) & (most[right] >= threshold * least[left] - 1e-9) & (differ[some] <= (rate * (most[left] + most[right]) + 1e-9) / groups)
             out.append(_distinct(right[near] << 32 | left[near]))
             lo = hi
         return out
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
-        names, rec = np.unique(whole("ids", np.int64), return_inverse=True)
-        size, odd = np.zeros(len(names)), np.zeros(len(names), dtype=np.uint64)
-        size[rec], odd[rec] = whole("sizes", np.uint32), whole("odd", np.uint64)
-        groups = _groups(int(pdf["win"].iat[0]), threshold)
-        rec = np.repeat(rec.astype(np.uint32), whole("counts", np.uint8))
+        window = int(pdf["win"].iat[0])
+        names, size, odd = whole("ids", kind), whole("sizes", np.uint8), whole("odd", np.uint64)
+        order = np.lexsort((size, odd, names))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (names, odd, size)])
+        rec = np.zeros(len(order), dtype=np.uint32)
+        rec[order] = np.cumsum(new) - 1
+        names, size, odd = names[order[new]], size[order[new]].astype(np.int64), odd[order[new]]
+        least, most = (size << _unkept(window)).astype(float), ((size + 1 << _unkept(window)) - 1).astype(float)
+        part = np.flatnonzero(np.unpackbits(whole("counts", np.uint8), bitorder="little"))
+        rec = rec[part // PARTS]
         sign = np.zeros((len(rec), 4), dtype=np.uint8)
-        sign[:, :3] = whole("signs", np.uint8).reshape(-1, 3)
-        sign = sign.view("<u4").ravel()
+        sign[:, :width] = whole("signs", np.uint8).reshape(-1, width)
+        sign[:, width] = part % PARTS
+        sign, bits = sign.view("<u4").ravel(), 8 * width + (PARTS - 1).bit_length()
         slices = 1 + len(sign) // ENTRIES_AT_ONCE
         out = [np.zeros(0, dtype=np.int64)]
         for k in range(slices):
-            own = (sign >= (k << 24) // slices) & (sign < (k + 1 << 24) // slices)
-            out += together(sign[own], rec[own], size, odd, groups)
+            own = (sign >= (k << bits) // slices) & (sign < (k + 1 << bits) // slices)
+            out += together(sign[own], rec[own], least, most, odd, _groups(window, threshold))
         pair = _distinct(np.concatenate(out))
         return pd.DataFrame({"a": names[pair >> 32], "b": names[pair & 0xFFFFFFFF]})
 
-    met = _signatures(rows, n, threshold, 1 + total // ROWS_TOGETHER).groupBy("win", "grp").applyInPandas(meet, "a long, b long")
+    met = _signatures(rows, n, threshold, splits).groupBy("win", "grp").applyInPandas(meet, "a {0}, b {0}".format("int" if kind is np.int32 else "long"))
     return met.distinct()
 
 
+def _light(df: DataFrame) -> DataFrame:
+    """``df`` for a join, sent to every executor where it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs at ``threshold`` or more, from the texts of their records among ``rows`` (ord, key)."""
     wanted = durable(pairs.select(F.col("a").alias("ord")).unionAll(pairs.select("b")).distinct())
-    texts = durable(rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "ord", "left_semi").select("ord", "key"))
+    texts = durable(rows.join(_light(wanted), "ord", "left_semi").select("ord", "key"))
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -291,40 +323,75 @@ def _candidates(a: DataFrame, b: DataFrame, threshold: float, together: int = 1,
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), need.alias("need")).filter("n >= need").select("a", "b")
 
 
-def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: float = 0.8, n: int = 5, group: str | None = None, mode: str = "exact") -> DataFrame:
-    """(ident, duplicate_of, jaccard) of records with an earlier record of Jaccard ``threshold`` or more.
+def _repeated(df: DataFrame, text: str, ident: str, threshold: float, n: int, group: str | None = None, mode: str = "exact", keep: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is found in one scan of ``df`` and one of its signatures, without moving a text that isn't compared.
 
-    Records of one non-null group are never compared. Null and empty texts match nothing. ``mode`` ``lsh`` finds candidates by MinHash
-    bands (16 of 8: nearly all at 0.9 and above), ``exact`` finds all.
+    ``named`` (ord, grp, some, digest, id, and what to ``keep``): a row a record; some: the key isn't empty. ``marks`` (digest, cls): the classes
+    of several records or with a similar one, and their first records. ``links`` (a, b, jaccard): similar classes, b the earlier one.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, at most 1")
+    by_parts = mode != "lsh" and threshold >= LEAST_BY_PARTS
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    texts = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key"), g.alias("grp"))  # filtered where it is read: a filter here would work out each key twice
+    texts = df.select(F.col(ident).alias("ord"), X.dedup_key(text).alias("key"), g.alias("grp"), *[c.alias(k) for k, c in (keep or {}).items()])  # filtered where it is read: a filter here would work out each key twice
     digest, salt = F.unhex(F.sha2("key", 256)), F.coalesce(F.concat(F.lit("g"), "grp"), F.lit(""))
     if group:
         digest = F.unhex(F.sha2(F.concat(digest, salt.cast("binary")), 256))
     ident_of = F.xxhash64("key", salt)
-    named = durable(texts.select("ord", "grp", F.when(F.col("key") != "", digest).alias("digest"), ident_of.alias("id"))).filter("digest is not null")
-    classes = durable(named.groupBy("digest").agg(F.min("ord").alias("cls"), F.first("grp").alias("grp"), F.first("id").alias("id")))
-    keyed = texts.select(ident_of.alias("id"), "key", "grp")
+    if by_parts:  # records that share 32 bits are compared by their texts
+        ident_of = F.shiftright(ident_of, 32).cast("int")
+    named = durable(texts.select("ord", "grp", (F.col("key") != "").alias("some"), F.substring(digest, 1, 16).alias("digest"), ident_of.alias("id"), *(keep or {})))
+    full = named.filter("some").select("ord", "grp", "digest", "id")
+    total = full.count()
+    again = durable(named.filter("digest is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    shared = durable(named.filter("digest is not null").join(_light(again), "id", "left_semi").groupBy("digest").agg(F.min("ord").alias("cls"), F.first("id").alias("id"), F.first("some").alias("some"), F.count("*").alias("n")))
+    copied = shared.filter("n > 1")
+    twins = shared.filter("some").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    keyed = texts.select("ord", ident_of.alias("id"), "key", "grp")
     if mode == "lsh":
-        keys = durable(minhash_bands(_shingled(keyed.filter("key <> ''").select(F.col("id").alias("cls"), "grp", "key"), n)).distinct())
+        keys = durable(minhash_bands(_shingled(keyed.filter("key <> ''").select(F.col("id").alias("cls"), "grp", "key"), n)).distinct(), free=True)
         met = _candidates(keys, keys, threshold, 1, within=True)
-    elif threshold >= LEAST_BY_PARTS:
-        met = _equal_parts(keyed, n, threshold, named.count())
+    elif by_parts:
+        met = _equal_parts(_first_ones(keyed, full, copied, total), n, threshold, total)
     else:
-        sets = durable(_shingled(keyed.filter("key <> ''").dropDuplicates().select(F.col("id").alias("cls"), "grp", "key"), n))
+        sets = durable(_shingled(keyed.select("id", "key", "grp").filter("key <> ''").dropDuplicates().select(F.col("id").alias("cls"), "grp", "key"), n))
         keys = durable(_prefixes(sets, threshold, frequent_shingles(sets)))
         met = _candidates(keys, keys, threshold, TOGETHER, within=True)
-    c = classes.select("id", "cls", "grp")
-    met = met.join(c.toDF("a", "ca", "ga"), "a").join(c.toDF("b", "cb", "gb"), "b").filter("ca <> cb and coalesce(ga <> gb, true)")
-    pairs = durable(met.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")))
-    links = _similar(pairs, texts, n, threshold)
+    met = durable(met.unionByName(twins), free=True)
+    wanted = durable(met.select(F.col("a").alias("id")).unionAll(met.select("b")).distinct())
+    c = durable(full.join(_light(wanted), "id", "left_semi").groupBy("digest").agg(F.min("ord").alias("cls"), F.first("grp").alias("grp"), F.first("id").alias("id")))
+    own = c.select("id", "cls", "grp")
+    met = met.join(own.toDF("a", "ca", "ga"), "a").join(own.toDF("b", "cb", "gb"), "b").filter("ca <> cb and coalesce(ga <> gb, true)")
+    pairs = durable(met.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), free=True)
+    links = durable(_similar(pairs, texts.select("ord", "key"), n, threshold), free=True)
+    linked = links.select(F.col("a").alias("cls")).unionAll(links.select("b")).distinct()
+    return named, durable(copied.select("digest", "cls").unionByName(c.join(linked, "cls", "left_semi").select("digest", "cls")).distinct(), free=True), links
+
+
+def _first_ones(keyed: DataFrame, full: DataFrame, copied: DataFrame, total: int) -> DataFrame:
+    """``keyed`` without the copies of earlier records, or with the records that begin a class only, where either are few."""
+    again = copied.filter("some").select("digest", "cls", "n")
+    copies = again.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    if not copies or min(copies, total - copies) > FEW:
+        return keyed
+    begins = full.join(_light(again), "digest", "left").select("ord", F.coalesce(F.col("cls") == F.col("ord"), F.lit(True)).alias("begins"))
+    if copies > FEW:
+        return keyed.join(F.broadcast(durable(begins.filter("begins").select("ord"), free=True)), "ord", "left_semi")
+    later = durable(begins.filter("not begins").select("ord").distinct(), free=True)
+    both = begins.filter("begins").join(F.broadcast(later), "ord", "left_semi").select("ord")  # where one number stands for several records
+    return keyed.join(F.broadcast(durable(later.join(both, "ord", "left_anti"), free=True)), "ord", "left_anti")
+
+
+def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: float = 0.8, n: int = 5, group: str | None = None, mode: str = "exact") -> DataFrame:
+    """(ident, duplicate_of, jaccard) of records with an earlier record of Jaccard ``threshold`` or more.
+
+    Records of one non-null group are never compared. Null and empty texts match nothing. ``mode`` ``lsh`` finds candidates by MinHash
+    bands (16 of 8: nearly all at 0.9 and above), ``exact`` finds all.
+    """
+    named, marks, links = _repeated(df, text, ident, threshold, n, group, mode)
     top = F.max(F.struct("jaccard", (-F.col("b")).alias("b"))).alias("m")
-    rows = named.join(classes.select("digest", "cls"), "digest").select("ord", "grp", "cls")
+    rows = named.filter("some").join(_light(marks), "digest").select("ord", "grp", "cls")
     if group:  # later members of a group's class may meet classes that began after their own
-        links = durable(links)
         both = links.select("a", "b", "jaccard").unionAll(links.select("b", "a", "jaccard"))
         best = rows.join(both, F.col("cls") == F.col("a")).filter("b < ord").groupBy("ord").agg(top)
         rows = rows.join(best, "ord", "left")
@@ -336,6 +403,18 @@ def near_duplicates_within(df: DataFrame, text: str, ident: str, threshold: floa
     return out.filter("duplicate_of is not null")
 
 
+def repeats(df: DataFrame, text: str, ident: str, keep: dict[str, Column], threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """(ident, what to ``keep``, present, duplicate_of, near): every record of ``df`` with the first record of its key, as ``exact_duplicates``
+    has it, and whether ``near_duplicates_within`` has a row for it. Keys are worked out once for both, and no record is shuffled where few are repeated."""
+    named, marks, links = _repeated(df, text, ident, threshold, n, keep=keep)
+    marks = durable(marks.join(links.select(F.col("a").alias("cls"), F.lit(True).alias("linked")).distinct(), "cls", "left"), free=True)
+    keyed, none = named.filter("digest is not null"), named.filter("digest is null")  # rows without a key meet nothing and don't all go to one task
+    rows = keyed.join(_light(marks), "digest", "left").unionByName(none, allowMissingColumns=True)
+    later = F.coalesce(F.col("cls") < F.col("ord"), F.lit(False))
+    near = F.coalesce("some", F.lit(False)) & (later | F.coalesce("linked", F.lit(False)))
+    return rows.select(F.col("ord").alias(ident), *keep, F.coalesce("some", F.lit(False)).alias("present"), F.when(later, F.col("cls")).alias("duplicate_of"), near.alias("near"))
+
+
 def near_duplicates_against(df: DataFrame, refs: DataFrame, text: str, ident: str, ref_text: str, ref_ident: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(ident, duplicate_of, jaccard): the most similar reference of each record at ``threshold`` or more, the earliest on ties."""
     cls, ref = durable(_classes(df, text, ident, None)), _classes(refs, ref_text, ref_ident, None)

@@ -64,14 +64,11 @@ CHECKS = ("present", "exact_dup", "near_dup", "script", "length")
 
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "dialect", "text")
-    near = dedup.near_duplicates_within(docs, "text", "doc_id").select("doc_id", F.lit(True).alias("near"))
-    t = F.col("text")
+    docs, t = table(spark, sf, "documents").select("doc_id", "source", "dialect", "text"), F.col("text")
     counted = {"arabic": X.count(t, P.ARABIC), "letters": X.count(t, r"\p{L}"), "words": F.size(X.tokenize("text"))}
-    seen = durable(docs.select("doc_id", "source", "dialect", F.unhex(F.sha2(X.dedup_key("text"), 256)).alias("digest"), *[c.alias(k) for k, c in counted.items()]))  # texts aren't shuffled
-    rows = dedup.exact_duplicates(seen, F.col("digest"), "doc_id").join(near, "doc_id", "left")
+    rows = dedup.repeats(docs, "text", "doc_id", {"source": F.col("source"), "dialect": F.col("dialect"), **counted})
     return dedup.run_checks(rows, {
-        "present": F.coalesce(F.col("digest") != F.unhex(F.sha2(F.lit(""), 256)), F.lit(False)), "exact_dup": F.col("duplicate_of").isNull(), "near_dup": F.col("near").isNull(),
+        "present": F.col("present"), "exact_dup": F.col("duplicate_of").isNull(), "near_dup": ~F.col("near"),
         "script": (F.col("letters") > 0) & (F.col("arabic") >= 0.7 * F.col("letters")), "length": F.col("words").between(20, 400),
     })
 

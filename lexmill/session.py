@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(app: str = "lexmill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are written for. On a cluster leave ``master`` unset."""
@@ -44,14 +46,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` computed once and kept as a compressed table in the shared checkpoint folder, removed when the driver ends.
 
-    Its lineage ends there, so that it survives lost executors and is never computed twice.
+    Its lineage ends there, so that it survives lost executors and is never computed twice. ``free``: what was shuffled for it is removed
+    at once, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

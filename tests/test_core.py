@@ -497,3 +497,86 @@ def test_pairs_are_the_same_in_slices(spark, monkeypatch, at_once):
     rows = [(i, "abcdefgh ijklmnop qrstuvwx"[: 20 + i % 7] + rng.choice("xyz"), None) for i in range(90)]
     df = spark.createDataFrame(rows, "i long, text string, g string")
     assert {r.i: (r.duplicate_of, round(r.jaccard, 6)) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
+
+
+def test_checks_shuffle_no_records(spark):
+    """Where few keys are repeated, the only thing shuffled for the counts of a source is a row for it and a task."""
+    from lexmill import plans
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plans.queries()["flow_filter_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(source#" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_signatures_take_less_than_six_hundred_bytes_a_document(spark, monkeypatch):
+    from lexmill import plans
+
+    moved, real = [], dedup._signatures
+
+    def measured(rows, n, threshold, splits):
+        out = real(rows, n, threshold, 1 + 1_100_000 // dedup.ROWS_TOGETHER)
+        moved.append(out.agg(F.sum(sum(F.length(c) for c in ("ids", "sizes", "odd", "counts", "signs")))).first()[0])
+        return out
+
+    monkeypatch.setattr(dedup, "_signatures", measured)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    plans.queries()["flow_filter_stats"](spark, "/root/testdata/sf0.01")
+    assert len(moved) == 1 and 0 < moved[0] < 600 * docs
+
+
+@pytest.mark.parametrize("few", [500_000, 20])
+def test_copies_in_many_tasks_are_named_once(spark, monkeypatch, few):
+    named, real = Counter(), dedup._signatures
+
+    def counted(rows, n, threshold, splits):
+        out = real(rows, n, threshold, splits)
+        named.update(r.win << 40 | r.grp for r in out.collect())
+        return out
+
+    monkeypatch.setattr(dedup, "_signatures", counted)
+    monkeypatch.setattr(dedup, "FEW", few)
+    rows = [(i, "one text that comes again and again", None) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, text string, g string").repartition(8)
+    assert {r.i: (r.duplicate_of, r.jaccard) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
+    assert named and set(named.values()) == {1}
+
+
+def test_records_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(dedup.F, "shiftright", lambda c, n: F.lit(7), raising=True)
+    rng = random.Random(29)
+    rows = [(i, "abcdefgh ijklmnop qrstuvwx"[: 20 + i % 7] + rng.choice("xyz"), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, text string, g string")
+    assert {r.i: (r.duplicate_of, round(r.jaccard, 6)) for r in dedup.near_duplicates_within(df, "text", "i").collect()} == near_brute(rows)
+
+
+def test_one_number_of_several_records(spark):
+    """A copy doesn't take another text of its number with it."""
+    rows = [(1, "the first text that is written here"), (2, "the first text that is written here"), (2, "quite another one and not like it"), (3, "quite another one and not like it!")]
+    got = {(r.i, r.duplicate_of) for r in dedup.near_duplicates_within(spark.createDataFrame(rows, "i long, text string"), "text", "i").collect()}
+    assert {(2, 1), (3, 2)} <= got
+
+
+def test_repeats(spark):
+    a, b = "some words that are written here for a test", "none of these"
+    rows = [(1, a, "x"), (2, a, None), (3, a + "!", "y"), (4, None, "z"), (5, None, "z"), (6, " ", "z"), (7, "", "z"), (8, b, "x")]
+    got = {r.i: (r.source, r.present, r.duplicate_of, r.near) for r in dedup.repeats(spark.createDataFrame(rows, "i long, text string, source string"), "text", "i", {"source": F.col("source")}).collect()}
+    assert got == {
+        1: ("x", True, None, False), 2: (None, True, 1, True), 3: ("y", True, None, True), 4: ("z", False, None, False), 5: ("z", False, None, False), 6: ("z", False, None, False),
+        7: ("z", False, 6, False), 8: ("x", True, None, False),
+    }
+
+
+def test_durable_frees_what_was_shuffled(spark):
+    import time
+
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    out = session.durable(spark.range(1000).groupBy(F.col("id") % 10).count(), free=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 10 and spark.conf.get(session.FREE, "false") == "false"
