@@ -21,6 +21,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_chars(text: Column, chars: str) -> Column:
+    """``count`` of a pattern that is one character long, without a match for each."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{chars}+", ""))
+
+
 def tokenize(text: Column | str) -> Column:
     """Words between white space of any kind."""
     return F.filter(F.split(_c(text), f"{P.WS}+"), lambda w: w != "")

@@ -580,3 +580,24 @@ def test_durable_frees_what_was_shuffled(spark):
             break
         time.sleep(0.1)
     assert files() <= before and out.count() == 10 and spark.conf.get(session.FREE, "false") == "false"
+
+
+def test_checks_count_characters_and_words_in_runs(spark, tmp_path):
+    """The counts of the checks are those of the patterns, and none of them lists its matches."""
+    from lexmill import plans
+    from lexmill.functions import portable
+
+    odd = ["", " ", "\u00a0a\u2003b ", "نص word نص 12", "İstanbul \U00010400\U0001f600 x", "\u001cنص\u0085\n", "a" * 3, "ﭐ ٣ ـ", None]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    for chars in (portable.ARABIC, r"\p{L}"):
+        assert df.filter(~X.count(F.col("text"), chars).eqNullSafe(X.count_chars(F.col("text"), chars))).count() == 0
+    kept, real = {}, dedup.repeats
+    docs = df.select(F.monotonically_increasing_id().alias("doc_id"), F.lit("s").alias("source"), F.lit("d").alias("dialect"), "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        dedup.repeats = lambda df, text, ident, keep: kept.update(keep) or real(df, text, ident, keep)
+        plans.queries()["flow_filter_stats"](spark, str(tmp_path))
+    finally:
+        dedup.repeats = real
+    assert df.filter(~kept["words"].eqNullSafe(F.size(X.tokenize("text")))).count() == 0
+    assert "regexp_extract_all" not in df.select(*[kept[k] for k in ("arabic", "letters", "words")])._jdf.queryExecution().executedPlan().toString()
